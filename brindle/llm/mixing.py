@@ -15,11 +15,13 @@ from brindle.session import Scratch, ship
 #: Domains by the labels of a document, and the share of tokens that each should have.
 DOMAINS = ("clean", "low_quality", "toxic")
 TARGETS = {"clean": 0.93, "low_quality": 0.05, "toxic": 0.02}
-BITS = 14
+BITS = 17
 #: Labelled rows of a domain from which words are counted, at most (about); chosen by a hash of the id.
 LABELLED_ROWS = 4000
-TEMPERATURES = (0.05, 0.1, 0.2, 0.4, 0.7, 1.0)
-ROUNDS, TOLERANCE = 30, 1e-4
+TEMPERATURES = (0.03, 0.06, 0.12, 0.25, 0.5, 1.0)
+ROUNDS, TOLERANCE = 20, 1e-3
+#: Documents that a bucket's overall share weighs as.
+SMOOTHING = 5.0
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -35,12 +37,12 @@ class Posterior:
     """
 
     def __init__(self, counts: np.ndarray, sizes: np.ndarray, temperature: float = 1.0):
-        share = (counts + 0.5) / (sizes[:, None] + 1.0)
+        # a bucket's share in a domain is drawn towards its share in all, so that rare ones favour none
+        overall = (counts.sum(axis=0) + 0.5) / (sizes.sum() + 1.0)
+        share = (counts + SMOOTHING * overall) / (sizes[:, None] + SMOOTHING)
         rest = np.log1p(-np.minimum(share, 1 - 1e-9))
         self.weights = (np.log(share) - rest).T.copy()
         self.weights -= self.weights.mean(axis=1, keepdims=True)
-        # without evidence a bucket says nothing; rare ones say little
-        self.weights[counts.sum(axis=0) < 2] = 0
         self.prior = np.log((sizes + 1.0) / (sizes.sum() + len(sizes)))
         self.temperature = temperature
 
@@ -59,6 +61,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Pos
     Half of the sample gives bucket counts and the other half the temperature; what comes to the
     driver are 2 ** BITS counts a domain and a loss for each temperature.
     """
+    ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("id"), domain_of(F.col("quality"), F.col("toxic")).alias("domain")).where("id is not null and domain is not null").groupBy("id").agg(F.max("domain").alias("domain"))
     found = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     k = len(DOMAINS)
@@ -78,8 +81,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Pos
 
     try:
         sums = np.zeros((2, k, (1 << BITS) + 1))
-        for r in rows.mapInArrow(count, "half int, domain int, bucket int, n long").groupBy("half", "domain", "bucket").agg(F.sum("n").alias("n")).collect():
-            sums[r["half"], r["domain"], r["bucket"]] = r["n"]
+        counted = rows.mapInArrow(count, "half int, domain int, bucket int, n long").groupBy("half", "domain", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        sums[tuple(counted.column(c).to_numpy() for c in ("half", "domain", "bucket"))] = counted.column("n").to_numpy()
         model = Posterior(sums[0, :, :-1], sums[0, :, -1])
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,32 +128,41 @@ def fit_steps(members: DataFrame, targets: dict[str, float]) -> list[list[float]
     """Steps to nonnegative document rates, by projected-gradient least squares.
 
     A document gives a domain rate * n_tokens * probability. The rates minimise the squares of what
-    domains miss, weighted by the inverse of the domains' matrix of products, so that overlapping
-    domains don't slow the descent; rates that meet all targets are best under any weights. Steps of
-    length one are taken in the metric that weighs documents by tokens, starting from 1, so among all
-    solutions a near one is found. A step needs one number for each domain from all documents.
+    domains miss, relative to their targets. The gradient is scaled by the inverse of the domains'
+    matrix of products over documents of a positive rate, so that overlapping domains don't slow the
+    descent, and taken in the metric that weighs documents by tokens; it starts from 1, so among all
+    solutions a near one is found. A step that makes the miss larger is halved. Each round needs a few
+    numbers for each pair of domains from all documents, and nothing else comes to the driver.
     Domains without tokens are left out and the other targets scaled up.
     """
     k = len(DOMAINS)
     n, p = F.col("n_tokens"), [F.col(f"p{i}") for i in range(k)]
-    first = members.agg(*[F.sum(n * p[i]).alias(f"s{i}") for i in range(k)], *[F.sum(n * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
-    start = np.array([first[f"s{i}"] or 0.0 for i in range(k)])
-    want = np.array([targets[d] for d in DOMAINS]) * (start > 0)
+    def measure(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each domain, and the matrix of products of the documents in play."""
+        rate = _rate(steps)
+        active = F.when(rate > 0, n).otherwise(0)
+        row = members.agg(*[F.sum(n * p[i] * rate).alias(f"s{i}") for i in range(k)], *[F.sum(active * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+        m = np.array([[row[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+        return np.array([row[f"s{i}"] or 0.0 for i in range(k)]), m
+
+    total, m = measure([])
+    want = np.array([targets[d] for d in DOMAINS]) * (total > 0)
     if not want.sum():
         return []
-    goal = start.sum() * want / want.sum()
+    goal = total.sum() * want / want.sum()
     scale = np.where(goal > 0, 1 / np.maximum(goal, 1e-9), 0)
-    m = np.array([[first[f"m{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)]) * scale[:, None] * scale[None, :]
-    weights = np.linalg.pinv(m, rcond=1e-6, hermitian=True)
-    steps, total = [], start
+    steps, miss, factor = [], (total - goal) * scale, 1.0
     for _ in range(ROUNDS):
-        miss = (total - goal) * scale
         if np.abs(miss).max() < TOLERANCE:
             break
-        steps.append((-(weights @ miss) * scale).tolist())
-        rate = _rate(steps)
-        row = members.agg(*[F.sum(n * p[i] * rate).alias(f"s{i}") for i in range(k)]).first()
-        total = np.array([row[f"s{i}"] for i in range(k)])
+        weights = np.linalg.pinv(m * scale[:, None] * scale[None, :], rcond=1e-9, hermitian=True)
+        step = (-factor * (weights @ miss) * scale).tolist()
+        after, m_after = measure([*steps, step])
+        if np.linalg.norm((after - goal) * scale) < np.linalg.norm(miss):
+            steps.append(step)
+            miss, m, factor = (after - goal) * scale, m_after, min(1.0, 2 * factor)
+        else:
+            factor /= 2
     return steps
 
 
