@@ -14,9 +14,9 @@ EDITS = 2
 #: Shorter lines, in code points, only match exactly.
 NEAR_CHARS = 20
 #: Letters whose counts are compared before texts are; any choice gives the same result.
-LETTERS = "etaonrhs"
+LETTERS = "etaonrhsidlucmpw"
 #: Rows of a list of line ids that are broadcast; longer lists are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
@@ -50,19 +50,19 @@ def probe_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
 
 
 def letter_counts(line: Column) -> Column:
-    """How often each of LETTERS occurs, modulo 256, as the bytes of a long."""
-    counts = [((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))) % 256).cast("long") for c in LETTERS]
-    return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(c, 8 * i) for i, c in enumerate(counts)])
+    """How often each of LETTERS occurs, modulo 16, as the half bytes of a long."""
+    counts = [((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 16).cast("long") for c in LETTERS]
+    return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(c, 4 * i) for i, c in enumerate(counts)])
 
 
 def counts_apart(x: Column, y: Column) -> Column:
-    """The sum of differences of two letter_counts; an edit changes it by two at most."""
+    """At most the sum of differences of two letter_counts, which an edit changes by two at most."""
 
-    def byte(z: Column, i: int) -> Column:
-        return F.shiftright(z, 8 * i).bitwiseAND(F.lit(255)).cast("int")
+    def half(z: Column, i: int) -> Column:
+        return F.shiftright(z, 4 * i).bitwiseAND(F.lit(15)).cast("int")
 
-    gaps = [F.abs(byte(x, i) - byte(y, i)) for i in range(len(LETTERS))]
-    return reduce(lambda a, b: a + b, [F.least(g, 256 - g) for g in gaps])
+    gaps = [F.abs(half(x, i) - half(y, i)) for i in range(len(LETTERS))]
+    return reduce(lambda a, b: a + b, [F.least(g, 16 - g) for g in gaps])
 
 
 def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -127,11 +127,10 @@ def _explode_lines(docs: DataFrame) -> DataFrame:
 
 
 def near_pairs(classes: DataFrame, scratch: Scratch, edits: int = EDITS) -> DataFrame:
-    """(a, b) with a < b: ids of distinct lines within `edits` of each other. classes: id, len, line."""
+    """(a, b) with a < b: ids of distinct lines within `edits` of each other. classes: id, len, c (letter_counts), line."""
     long_enough = classes.where(F.col("len") >= NEAR_CHARS)
-    counted = long_enough.withColumn("c", letter_counts(F.col("line")))
-    index = counted.select(F.explode(segment_keys(F.col("line"), F.col("len"), edits)).alias("key"), F.col("id").alias("a"), F.col("c").alias("ca"))
-    probes = counted.select(F.explode(probe_keys(F.col("line"), F.col("len"), edits)).alias("key"), F.col("id").alias("b"), F.col("c").alias("cb"))
+    index = long_enough.select(F.explode(segment_keys(F.col("line"), F.col("len"), edits)).alias("key"), F.col("id").alias("a"), F.col("c").alias("ca"))
+    probes = long_enough.select(F.explode(probe_keys(F.col("line"), F.col("len"), edits)).alias("key"), F.col("id").alias("b"), F.col("c").alias("cb"))
     # pairs whose letters rule them out end in the join, so a common segment doesn't bring out all pairs of its lines
     met = index.join(probes, "key").where((F.col("a") != F.col("b")) & (counts_apart(F.col("ca"), F.col("cb")) <= 2 * edits))
     pairs = scratch.save(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -163,8 +162,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
     lines = _explode_lines(keyed)
     first = lines.groupBy("h", "g").agg(F.min(F.struct("doc", "th", "pos")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
-    classes = scratch.save(first.select(F.monotonically_increasing_id().alias("id"), "h", "g", "first", "n", F.length("line").alias("len"), "line"))
-    pairs = scratch.save(near_pairs(classes.select("id", "len", "line"), scratch, edits))
+    classes = scratch.save(first.select(F.monotonically_increasing_id().alias("id"), "h", "g", "first", "n", F.length("line").alias("len"), letter_counts(F.col("line")).alias("c"), "line"))
+    pairs = scratch.save(near_pairs(classes.select("id", "len", "c", "line"), scratch, edits))
     ends = _bounded(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     places = scratch.save(classes.join(ends, "id", "left_semi").select("id", "first"))
     ordered = pairs.join(places.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(places.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
