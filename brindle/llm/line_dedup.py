@@ -120,6 +120,11 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The ids that pairs (a, b) name, once each."""
+    return pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
+
+
 def _explode_lines(docs: DataFrame) -> DataFrame:
     """(doc, th, pos, line, h, g) for each line with a character other than white space."""
     lines = docs.select("doc", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"\S"))
@@ -134,7 +139,7 @@ def near_pairs(classes: DataFrame, scratch: Scratch, edits: int = EDITS) -> Data
     # pairs whose letters rule them out end in the join, so a common segment doesn't bring out all pairs of its lines
     met = index.join(probes, "key").where((F.col("a") != F.col("b")) & (counts_apart(F.col("ca"), F.col("cb")) <= 2 * edits))
     pairs = scratch.save(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ids = _bounded(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    ids = _bounded(_ends(pairs))
     texts = scratch.save(long_enough.join(ids, "id", "left_semi").select("id", "len", "line"))
     left = texts.select(F.col("id").alias("a"), F.col("len").alias("la"), F.col("line").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("len").alias("lb"), F.col("line").alias("tb"))
@@ -164,7 +169,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = lines.groupBy("h", "g").agg(F.min(F.struct("doc", "th", "pos")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
     classes = scratch.save(first.select(F.monotonically_increasing_id().alias("id"), "h", "g", "first", "n", F.length("line").alias("len"), letter_counts(F.col("line")).alias("c"), "line"))
     pairs = scratch.save(near_pairs(classes.select("id", "len", "c", "line"), scratch, edits))
-    ends = _bounded(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    ends = _bounded(_ends(pairs))
     places = scratch.save(classes.join(ends, "id", "left_semi").select("id", "first"))
     ordered = pairs.join(places.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(places.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
     near = _bounded(ordered.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
