@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from brindle.session import ship
 #: Labelled documents of each class from which lexicon and weights are learned, at most (about).
 TOXIC_DOCS, OTHER_DOCS = 1200, 3600
 #: A term's log-likelihood ratio against independence, its precision, and how many terms there may be.
-LEAST_RATIO, LEAST_PRECISION, MOST_TERMS = 20.0, 0.7, 400
+LEAST_RATIO, LEAST_PRECISION, MOST_TERMS = 20.0, 0.97, 400
 SHORTEST, LONGEST_STEM = 3, 8
 #: Terms of this length on are found within one edit.
 FUZZY_FROM = 5
@@ -142,7 +143,7 @@ class Lexicon:
         """2: a term; 1: within EDITS of one; 0: neither."""
         k = self.kept.get(word)
         if k is None:
-            if word in self.whole or any(word[:n] in s for n, s in self.stems.items()):
+            if word in self.whole or any(len(word) > n and word[:n] in s for n, s in self.stems.items()):
                 k = 2
             else:
                 k = int(len(word) >= FUZZY_FROM - EDITS and self._maybe(word) and self.near(word))
@@ -185,15 +186,34 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> list[float]:
         return list(PRIOR)
     x = np.column_stack([np.ones(len(x)), x])
     w, scale = prior.copy(), np.r_[0.1, np.full(x.shape[1] - 1, penalty)]
-    for _ in range(50):
+
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float((np.logaddexp(0, z) - y * z).sum() + (scale * (v - prior) ** 2).sum() / 2)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(scale), x.T @ (p - y) + scale * (w - prior))
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        size, now = 1.0, loss(w)
+        while loss(w - size * step) > now and size > 1e-9:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-7:
             break
     return w.tolist()
 
 
+def _with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds a hash of the two words of a text with the smallest hashes, which copies mostly share."""
+    for b in batches:
+        out = []
+        for text in b.column(1).to_pylist():
+            low = sorted(xxhash.xxh64_intdigest(w) for w in set(WORD.findall((text or "").lower())))[:2]
+            out.append(xxhash.xxh64_intdigest(repr(low)) >> 1)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=["id", "text", "toxic", "half", "sketch"])
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[list[str], list[float]]:
     """Terms and weights, from a bounded sample of labelled documents.
 
@@ -208,7 +228,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tup
     rate = {1: min(1.0, TOXIC_DOCS / max(1, sizes.get(1, 0))), 0: min(1.0, OTHER_DOCS / max(1, sizes.get(0, 0)))}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     sample = known.where(place < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]) * (1 << 20)).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("half"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("id", "text", "toxic", "half").dropDuplicates(["id"]).persist()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("id", "text", "toxic", "half").mapInArrow(_with_sketch, "id long, text string, toxic int, half int, sketch long")
+    # copies of one text would make all its words look like terms
+    rows = rows.dropDuplicates(["toxic", "sketch"]).persist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
