@@ -25,6 +25,21 @@ def contains_all(text: Column, keywords: list[str]) -> Column:
     return reduce(lambda p, q: p & q, [text.ilike(f"%{k}%") for k in keywords])
 
 
+def contains_any(columns: list[str], part: str) -> Column:
+    return reduce(lambda p, q: p | q, [F.coalesce(F.col(c).cast("string"), F.lit("")).ilike(f"%{like_escape(part)}%") for c in columns])
+
+
+def like_escape(part: str) -> str:
+    """A text as a LIKE pattern that matches only itself."""
+    return "".join("\\" + c if c in "\\%_" else c for c in part)
+
+
+def code_numbers(code: Column) -> tuple[Column, Column]:
+    """The first and the second number in a code, null where there is none; codes sort by these and then by text."""
+    numbers = F.regexp_extract_all(code, F.lit("([0-9]+)"), F.lit(1))
+    return F.get(numbers, F.lit(0)).try_cast("long"), F.get(numbers, F.lit(1)).try_cast("long")
+
+
 def relevance(text: Column, keywords: list[str], required: set[str]) -> Column:
     """Weights of the keywords found: 10 for the first, 3 for required ones, 1 for others."""
     weights = [10 if i == 0 else 3 if k in required else 1 for i, k in enumerate(keywords)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.session import Scratch
+
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key. The order must be total, so that the result is the same each time."""
@@ -16,6 +18,31 @@ def top1_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key:
     return left.join(top_per_key(right, [right_key], order), left[left_key] == right[right_key], "left")
 
 
+def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    """A page of a total order, with has_more: whether rows follow it."""
+    total = df.agg(F.count("*").alias("brindle_total"))
+    rows = df.orderBy(*order).offset(offset).limit(limit)
+    return rows.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("brindle_total") > offset + limit).drop("brindle_total")
+
+
+def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Numbers the rows of each key from 1 in a total order, also where one key holds most rows.
+
+    Rows are dealt by ranges of key and order and written with the number of their part, so that a key goes over
+    many tasks; what earlier parts hold of it is added from counts, of which there is one a key and part.
+    """
+    scratch = Scratch(df.sparkSession, "places")
+    part = scratch.save(df.repartitionByRange(*keys, *order).withColumn("brindle_pid", F.spark_partition_id()))
+    counts = part.groupBy(*keys, "brindle_pid").agg(F.count("*").alias("brindle_n"))
+    before = F.sum("brindle_n").over(Window.partitionBy(*keys).orderBy("brindle_pid")) - F.col("brindle_n")
+    base = counts.select(*[F.col(k).alias(f"brindle_{k}") for k in keys], F.col("brindle_pid").alias("brindle_at"), before.alias("brindle_base"))
+    here = part.withColumn("brindle_rn", F.row_number().over(Window.partitionBy(*keys, "brindle_pid").orderBy(*order)))
+    same = F.col("brindle_pid") == F.col("brindle_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"brindle_{k}"))
+    return here.join(base, same).select(*df.columns, (F.col("brindle_rn") + F.col("brindle_base")).alias(name))
+
+
 def nearest_rank(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
     """(share, value): the value at place round-half-even((n - 1) * share) of the sorted column.
 

@@ -187,9 +187,9 @@ def u01_union(spark, sf_dir):
     return a.union(table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey")).distinct()
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 150000")
 def u02_except(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    o = table(spark, sf_dir, "orders").where("o_totalprice > 150000").select(F.col("o_custkey").alias("k"))
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).distinct().join(o, "k", "left_anti")
 
 
@@ -239,7 +239,7 @@ def t05_enum_order(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", place.alias("place"), "o_orderdate").orderBy(F.coalesce("place", F.lit(99)), "o_orderdate", "o_orderkey").limit(100).select("o_orderkey", "place")
 
 
-@query("""SELECT event_id, sum(turn) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM (
+@query("""SELECT event_id, (sum(turn) OVER (PARTITION BY user_id ORDER BY event_id))::BIGINT AS island FROM (
 SELECT event_id, user_id, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS turn FROM events)""")
 def z08_islands(spark, sf_dir):
     """Numbers each user's runs of equal events."""
