@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from brindle.plans import catalogue, relational, texts  # noqa: F401
+from brindle.plans import catalogue, flows, relational, texts  # noqa: F401
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
