@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text
-from brindle.operators import facets, merge, queue, ranking, threads
+from brindle.operators import facets, merge, queue, ranking, sampling, threads
 from brindle.plans.catalogue import query, table
 
 
@@ -343,3 +343,10 @@ def z06_tail(spark, sf_dir):
 @query("SELECT user_id, ts::DATE AS day, count(*) AS used, greatest(0, 3 - count(*)) AS \"left\" FROM events GROUP BY user_id, ts::DATE")
 def z11_daily_left(spark, sf_dir):
     return queue.daily_left(table(spark, sf_dir, "events"), "user_id", "ts", 3)
+
+
+@query("SELECT range AS o_custkey FROM range(1, 401) WHERE range NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def x75_sample(spark, sf_dir):
+    """A sample as large as its range: all ids from 1 to 400 but the excluded ones."""
+    held = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return sampling.sample_ids(held, "o_custkey", 1, 400, 400)

@@ -78,3 +78,14 @@ def test_insert_absent(spark):
     old = spark.createDataFrame([(3, "a")], "id int, k string")
     new = spark.createDataFrame([("a", 1), ("c", 1), ("b", 1), ("b", 2)], "k string, x int")
     assert rows(merge.insert_absent(old, new, "k", "id")) == [(3, "a"), (4, "b"), (5, "c")]
+
+
+def test_samples_avoid_what_is_excluded(spark):
+    from brindle.operators import sampling
+
+    out = spark.createDataFrame([(2,), (4,), (None,)], "tid long")
+    assert rows(sampling.sample_ids(out, "tid", 1, 5, 10)) == [(1,), (3,), (5,)]
+    first = rows(sampling.sample_ids(out, "tid", 100, 200, 10))
+    assert len(set(first)) == 10 and all(100 <= r[0] <= 200 for r in first)
+    assert first == rows(sampling.sample_ids(out, "tid", 100, 200, 10)) and first != rows(sampling.sample_ids(out, "tid", 100, 200, 10, seed=1))
+    assert sampling.window_quotas([(0, 9, 1.0), (10, 19, 2.0)], 10) == [3, 7] and sampling.window_quotas([], 5) == []
