@@ -16,8 +16,6 @@ from brindle.session import Scratch, ship
 DOMAINS = ("clean", "low_quality", "toxic")
 TARGETS = {"clean": 0.93, "low_quality": 0.05, "toxic": 0.02}
 BITS = 17
-#: Labelled rows of a domain from which words are counted, at most (about); chosen by a hash of the id.
-LABELLED_ROWS = 4000
 TEMPERATURES = (0.03, 0.06, 0.12, 0.25, 0.5, 1.0)
 ROUNDS, TOLERANCE = 20, 1e-3
 #: Documents that a bucket's overall share weighs as.
@@ -56,19 +54,17 @@ class Posterior:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Posterior:
-    """The classifier, from about LABELLED_ROWS labelled documents of each domain.
+    """The classifier, from all labelled documents: its prior is their mix at every size.
 
-    Half of the sample gives bucket counts and the other half the temperature; what comes to the
-    driver are 2 ** BITS counts a domain and a loss for each temperature.
+    Half of them give bucket counts and the other half the temperature; what comes to the driver
+    are 2 ** BITS counts a domain and a loss for each temperature.
     """
     ship(docs.sparkSession)
+    scratch, k = Scratch(docs.sparkSession, "mixing_train"), len(DOMAINS)
     known = labels.select(F.col("doc_id").cast("long").alias("id"), domain_of(F.col("quality"), F.col("toxic")).alias("domain")).where("id is not null and domain is not null").groupBy("id").agg(F.max("domain").alias("domain"))
-    found = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    k = len(DOMAINS)
-    rates = F.element_at(F.array(*[F.lit(min(1.0, LABELLED_ROWS / max(1, found.get(d, 0)))) for d in range(k)]), F.col("domain") + 1)
-    sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rates * (1 << 20)).withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int"))
-    # at most about LABELLED_ROWS rows of three numbers a domain: small enough to broadcast
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("text", "domain", "half").persist()
+    known = known.withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int"))
+    # labels grow with the documents: they are merged at every size
+    rows = scratch.save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(known.hint("merge"), "id").select("text", "domain", "half"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, k, (1 << BITS) + 1), np.int64)
@@ -96,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Pos
 
         losses = {r["t"]: r["loss"] for r in rows.mapInArrow(judge, "t int, loss double").groupBy("t").agg(F.sum("loss").alias("loss")).collect()}
     finally:
-        rows.unpersist()
+        scratch.drop(rows)
     best = min(range(len(TEMPERATURES)), key=lambda t: (losses.get(t, 0.0), t))
     return Posterior(sums[:, :, :-1].sum(axis=0), sums[:, :, -1].sum(axis=0), TEMPERATURES[best])
 
