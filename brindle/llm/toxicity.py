@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +13,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.session import ship
+from brindle.session import Scratch, ship
 
-#: Labelled documents of each class from which lexicon and weights are learned, at most (about).
-TOXIC_DOCS, OTHER_DOCS = 1200, 3600
 #: A term's log-likelihood ratio against independence, its precision, and how many terms there may be.
 LEAST_RATIO, LEAST_PRECISION, MOST_TERMS = 20.0, 0.97, 400
 SHORTEST, LONGEST_STEM = 3, 8
+#: Words of the smallest hashes by which copies of a text are told.
+SKETCH = 8
 #: Terms of this length on are found within one edit.
 FUZZY_FROM = 5
 EDITS = 1
@@ -53,6 +53,14 @@ def ratio(a: float, b: float, toxic: float, other: float) -> float:
     return 2 * sum(x * math.log(x * total / e) for x, e in cells if x > 0 and e > 0)
 
 
+def _strong(a: Column, b: Column, toxic: int, other: int) -> Column:
+    """Whether choose_terms() may take a key of these counts; what it leaves out is decided there."""
+    total, seen = float(toxic + other), a + b
+    cells = ((a, seen * float(toxic)), (b, seen * float(other)), (F.lit(toxic) - a, (total - seen) * float(toxic)), (F.lit(other) - b, (total - seen) * float(other)))
+    r = 2 * sum((F.when((x > 0) & (e > 0), x * F.log(x * total / e)).otherwise(0.0) for x, e in cells), F.lit(0.0))
+    return (a > 0) & (a * float(other) > b * float(toxic)) & (a * float(other) >= (LEAST_PRECISION - 1e-6) * (a * float(other) + b * float(toxic))) & (r >= LEAST_RATIO - 1e-3)
+
+
 def choose_terms(counts: list[tuple[str, int, int]], toxic: int, other: int) -> list[str]:
     """The lexicon, from (key, toxic documents, other documents): the strongest keys, none covered by another."""
     scored = []
@@ -179,58 +187,63 @@ class Lexicon:
         return [*(math.log1p(c) for c in counts), math.log1p(close), math.log1p(100 * len(at) / len(words))]
 
 
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> list[float]:
-    """Bias and weights of a logistic regression, by Newton's method, drawn towards PRIOR."""
-    prior = np.array(PRIOR)
-    if not len(y) or y.min() == y.max():
-        return list(PRIOR)
+def sums(x: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Loss, gradient and Hessian at w, in one row, of rows x with labels y that count n times."""
     x = np.column_stack([np.ones(len(x)), x])
-    w, scale = prior.copy(), np.r_[0.1, np.full(x.shape[1] - 1, penalty)]
+    z = x @ w
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return np.r_[(n * (np.logaddexp(0, z) - y * z)).sum(), x.T @ (n * (p - y)), ((x.T * (n * p * (1 - p))) @ x).ravel()]
+
 
+def fit(measure: Callable[[np.ndarray], np.ndarray], penalty: float = 1.0) -> list[float]:
+    """Bias and weights of a logistic regression, by Newton's method, drawn towards PRIOR; measure gives sums() at weights."""
+    prior, k = np.array(PRIOR), len(PRIOR)
+    w, scale = prior.copy(), np.r_[0.1, np.full(k - 1, penalty)]
 
-    def loss(v: np.ndarray) -> float:
-        z = x @ v
-        return float((np.logaddexp(0, z) - y * z).sum() + (scale * (v - prior) ** 2).sum() / 2)
+    def at(v: np.ndarray) -> tuple[float, np.ndarray]:
+        found, off = measure(v), v - prior
+        return found[0] + (scale * off**2).sum() / 2, np.linalg.solve(found[k + 1 :].reshape(k, k) + np.diag(scale), found[1 : k + 1] + scale * off)
 
+    now, step = at(w)
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(scale), x.T @ (p - y) + scale * (w - prior))
-        size, now = 1.0, loss(w)
-        while loss(w - size * step) > now and size > 1e-9:
+        size = 1.0
+        after, next_step = at(w - step)
+        while after > now * (1 + 1e-12) and size > 1e-9:
             size /= 2
-        w = w - size * step
-        if np.abs(size * step).max() < 1e-7:
+            after, next_step = at(w - size * step)
+        w, now, last, step = w - size * step, after, size * step, next_step
+        if np.abs(last).max() < 1e-6:
             break
     return w.tolist()
 
 
 def _with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds a hash of the two words of a text with the smallest hashes, which copies mostly share."""
+    """Adds a hash of the SKETCH words of a text with the smallest hashes, which copies mostly share."""
     for b in batches:
         out = []
         for text in b.column(1).to_pylist():
-            low = sorted(xxhash.xxh64_intdigest(w) for w in set(WORD.findall((text or "").lower())))[:2]
+            low = sorted(xxhash.xxh64_intdigest(w) for w in set(WORD.findall((text or "").lower())))[:SKETCH]
             out.append(xxhash.xxh64_intdigest(repr(low)) >> 1)
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=["id", "text", "toxic", "half", "sketch"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[list[str], list[float]]:
-    """Terms and weights, from a bounded sample of labelled documents.
+    """Terms and weights, from all labelled documents, of copies one.
 
-    The sample is chosen by a hash of the id, so that each class has about TOXIC_DOCS or OTHER_DOCS
-    documents at most; it is small enough to be broadcast against documents, and what comes to the
-    driver is the keys frequent in toxic documents and a few numbers for each document. Weights are fitted on features
-    that come from a lexicon of the other half of the sample.
+    What comes to the driver are the keys that are strong enough for a lexicon and a few sums for each
+    step of the fit. Weights are fitted on features that come from a lexicon of the other half of the documents.
     """
     ship(docs.sparkSession)
-    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rate = {1: min(1.0, TOXIC_DOCS / max(1, sizes.get(1, 0))), 0: min(1.0, OTHER_DOCS / max(1, sizes.get(0, 0)))}
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    sample = known.where(place < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]) * (1 << 20)).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("half"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("id", "text", "toxic", "half").mapInArrow(_with_sketch, "id long, text string, toxic int, half int, sketch long")
-    # copies of one text would make all its words look like terms
-    rows = rows.dropDuplicates(["toxic", "sketch"]).persist()
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = known.withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int"))
+    # labels grow with the documents: they are merged at every size
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(known.hint("merge"), "id").select("id", "text", "toxic", "half").mapInArrow(_with_sketch, "id long, text string, toxic int, half int, sketch long")
+    labelled = scratch.save(rows)
+    # copies of one text would make all its words look like terms; the same ids stay in each run
+    firsts = labelled.groupBy("toxic", "sketch").agg(F.min("id").alias("id"))
+    rows = labelled.join(firsts.hint("merge"), ["toxic", "sketch", "id"], "left_semi").dropDuplicates(["toxic", "sketch", "id"])
+    rows = scratch.save(rows.select("id", "text", "toxic", "half"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,12 +253,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tup
             keys = list(set().union(*seen))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([s[k] for k in keys], pa.int64()) for s in seen)], names=["key", "n0", "n1", "t0", "t1"])
 
+    measured = None
     try:
         totals = Counter({(r["toxic"], r["half"]): r["n"] for r in rows.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()})
         by_key = rows.mapInArrow(count, "key string, n0 long, n1 long, t0 long, t1 long").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "t0", "t1")])
         toxic, other = totals[1, 0] + totals[1, 1], totals[0, 0] + totals[0, 1]
-        # a term needs this many toxic documents for its ratio
-        found = by_key.where((F.col("t0") + F.col("t1") >= 3) & ((F.col("t0") + F.col("t1")) * max(1, other) * 2 > (F.col("n0") + F.col("n1")) * max(1, toxic))).collect()
+        found = by_key.where((F.col("t0") + F.col("t1") >= 3) & (_strong(F.col("t0") + F.col("t1"), F.col("n0") + F.col("n1"), toxic, other) | _strong(F.col("t0"), F.col("n0"), totals[1, 0], totals[0, 0]) | _strong(F.col("t1"), F.col("n1"), totals[1, 1], totals[0, 1]))).collect()
         terms = choose_terms([(r["key"], r["t0"] + r["t1"], r["n0"] + r["n1"]) for r in found], toxic, other)
         halves = [choose_terms([(r["key"], r[f"t{h}"], r[f"n{h}"]) for r in found], totals[1, h], totals[0, h]) for h in (0, 1)]
 
@@ -255,10 +268,24 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tup
                 f = [made[1 - half].features(text) for text, half in zip(b.column(1).to_pylist(), b.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(2), pa.array(f, pa.list_(pa.float64()))], names=["toxic", "f"])
 
-        sampled = rows.mapInArrow(measure, "toxic int, f array<double>").collect()
+        measured = scratch.save(rows.mapInArrow(measure, "toxic int, f array<double>").groupBy("toxic", "f").agg(F.count("*").alias("n")))
+        if not toxic or not other:
+            return terms, list(PRIOR)
+
+        def at(w: np.ndarray) -> np.ndarray:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                out = np.zeros(1 + len(w) + len(w) ** 2)
+                for b in batches:
+                    out += sums(np.array(b.column(1).to_pylist()).reshape(-1, FEATURES), b.column(0).to_numpy(), b.column(2).to_numpy(), w)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], names=["i", "s"])
+
+            got = {r["i"]: r["s"] for r in measured.mapInArrow(run, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()}
+            return np.array([got[i] for i in range(len(got))])
+
+        return terms, fit(at)
     finally:
-        rows.unpersist()
-    return terms, fit(np.array([r["f"] for r in sampled]).reshape(-1, FEATURES), np.array([r["toxic"] for r in sampled], float))
+        for t in (labelled, rows, measured):
+            scratch.drop(t)
 
 
 def score(docs: DataFrame, terms: list[str], weights: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
