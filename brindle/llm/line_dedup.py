@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.names import unused
 from brindle.session import Scratch
 
 #: Edits within which two lines are the same.
@@ -65,54 +66,104 @@ def counts_apart(x: Column, y: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.least(g, 16 - g) for g in gaps])
 
 
-def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
-    """Edit distance of two arrays of characters whose sizes differ by at most `edits`, if that is within
-    `edits`, else more. size(a) >= size(b) and size(a) > edits.
+def _let(value: Column, f) -> Column:
+    """f(value) with the value computed once, as a lambda's variable."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
-    Bit-parallel over a diagonal band: a word of 2 * edits + 2 bits holds the vertical differences of
-    the rows around the diagonal, and each character of b moves it one row down.
+
+def _long(c: Column) -> Column:
+    return F.coalesce(c, F.lit(0).cast("long"))
+
+
+def _ones_from(place: Column) -> Column:
+    """A word whose bits are set from a place on, which may lie before or behind the word."""
+    return F.when(place <= 0, F.lit(-1).cast("long")).when(place >= 64, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(-1).cast("long"), place))
+
+
+def pack(line: Column, length: Column) -> Column:
+    """The bits of a line's code points: one array of longs for each bit, from the lowest.
+
+    Bit i of word w of plane p is bit p of the character at 64 * w + i. There are as many planes as the greatest
+    code point needs, and a word for each 64 characters begun. A line is packed once for all its pairs.
     """
-    width = 2 * edits + 2
-    full, top = (1 << width) - 1, 1 << (width - 1)
-    na, nb = F.size(a), F.size(b)
-    limit = 2 * edits + nb - na  # a higher sum on the way never comes down to edits
+    last = F.greatest(F.lit(0), F.floor((length - 1) / 64).cast("int"))
 
-    def let(value: Column, f) -> Column:
-        return F.get(F.transform(F.array(value), f), 0)
+    def word(part: Column, p: Column) -> Column:
+        return F.aggregate(part, F.lit(0).cast("long"), lambda s, c: F.shiftleft(s, 1).bitwiseOR(F.call_function("shiftright", c, p).bitwiseAND(F.lit(1)).cast("long")))
 
-    def flip(x: Column) -> Column:
-        return F.lit(full).bitwiseXOR(x)
+    def planes(codes: Column) -> Column:
+        top = F.length(F.bin(F.coalesce(F.array_max(codes), F.lit(0)).cast("long"))) - 1
+        parts = F.transform(F.sequence(F.lit(0), last), lambda w: F.reverse(F.slice(codes, w * 64 + 1, F.lit(64))))
+        return _let(parts, lambda cut: F.transform(F.sequence(F.lit(0), top), lambda p: F.transform(cut, lambda part: word(part, p))))
+
+    return _let(F.transform(F.split(line, ""), lambda c: F.ascii(c)), planes)
+
+
+def _lane(a: Column, b: Column, na: Column, nb: Column, d: int) -> Column:
+    """Words in which bit i is set where character i of a isn't character i + d of b, and from the end of either on.
+
+    a, b: packed lines. A word of b is put together from two neighbours for the shift by d.
+    """
+    end, shift = F.least(na, nb - d), abs(d)
 
-    def step(s: Column, i: Column) -> Column:
-        c = F.get(b, i)
-        match = reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.get(a, i + edits - (width - 1 - k)) == c, 1 << k).otherwise(0) for k in range(width)])
+    def differ(p: Column, w: Column) -> Column:
+        plane = F.get(b, p)
+        here = _long(F.get(plane, w))
+        if d > 0:
+            here = F.shiftrightunsigned(here, shift).bitwiseOR(F.shiftleft(_long(F.get(plane, w + 1)), 64 - shift))
+        elif d < 0:
+            here = F.shiftleft(here, shift).bitwiseOR(F.shiftrightunsigned(_long(F.get(plane, w - 1)), 64 - shift))
+        return _long(F.get(F.get(a, p), w)).bitwiseXOR(here)
 
-        def with_d0(d: Column) -> Column:
-            hp = F.lit(full).bitwiseAND(s["vn"].bitwiseOR(flip(d.bitwiseOR(s["vp"]))))
-            hn = d.bitwiseAND(s["vp"])
+    def word(w: Column) -> Column:
+        planes = F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b)) - 1)
+        return F.aggregate(planes, _ones_from(end - w * 64), lambda s, p: s.bitwiseOR(differ(p, w)))
 
-            def with_h(h: Column) -> Column:
-                down = F.shiftright(d, 1)
-                diagonal = F.when(d.bitwiseAND(F.lit(top)) == 0, 1).otherwise(0)
-                across = F.when(h["p"].bitwiseAND(s["at"]) != 0, 1).otherwise(0) - F.when(h["n"].bitwiseAND(s["at"]) != 0, 1).otherwise(0)
-                on_diagonal = i < na - edits
-                return F.struct(
-                    h["n"].bitwiseOR(flip(down.bitwiseOR(h["p"]))).alias("vp"),
-                    down.bitwiseAND(h["p"]).alias("vn"),
-                    (s["dist"] + F.when(on_diagonal, diagonal).otherwise(across)).alias("dist"),
-                    F.when(on_diagonal, s["at"]).otherwise(F.shiftright(s["at"], 1)).alias("at"),
-                )
+    return F.transform(F.sequence(F.lit(0), F.floor(na / 64).cast("int")), word)
 
-            return let(F.struct(hp.alias("p"), hn.alias("n")), with_h)
 
-        def with_match(x: Column) -> Column:
-            d0 = ((x.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"])).bitwiseOR(x).bitwiseOR(s["vn"])
-            return let(F.lit(full).bitwiseAND(d0), with_d0)
+def _run(lane: Column, start: Column) -> Column:
+    """The first place from start on that is set in a lane: where the run of equal characters from start ends."""
 
-        return F.when(s["dist"] > limit, s).otherwise(let(match, with_match))
+    def first(x: Column, w: Column) -> Column:
+        # the zeros below the lowest set bit, counted
+        low = lambda y: F.when(y != 0, w * 64 + F.coalesce(F.bit_count(F.bitwise_not(y).bitwiseAND(F.try_subtract(y, F.lit(1).cast("long")))), F.lit(63)))
+        return _let(x.bitwiseAND(_ones_from(start - w * 64)), low)
 
-    start = F.struct(F.lit(full & (full << (width - edits - 1))).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("dist"), F.lit(top >> 1).alias("at"))
-    return F.aggregate(F.sequence(F.lit(0), nb - 1), start, step, lambda s: s["dist"])
+    return F.array_min(F.transform(lane, first)).cast("int")
+
+
+def within(pa: Column, na: Column, pb: Column, nb: Column, edits: int = EDITS) -> Column:
+    """Whether two packed lines (of lengths na and nb) are within `edits` of each other.
+
+    Bit-parallel over a diagonal band: each of the 2 * edits + 1 diagonals around the main one is a lane of words
+    that hold 64 comparisons of characters each. With one edit more, a lane is reached furthest from its own
+    place (a character replaced) or from a neighbour's (a character more or less), and then along the run
+    of equal characters there, whose end is the lowest bit set behind it. Lines match if the lane on which
+    both end is reached to its end.
+    """
+    k, none = edits, F.lit(None).cast("int")
+
+    def further(lanes: Column, reach: Column, e: int) -> Column:
+        out = []
+        for d in range(-k, k + 1):
+            own, left, right = (F.get(reach, F.lit(x + k)) if abs(x) <= k else none for x in (d, d - 1, d + 1))
+            start = F.least(F.greatest(own + 1, left, right + 1), na, nb - d)
+            reached = F.coalesce(own, left, right).isNotNull() & (start >= 0)
+            out.append(F.when(reached, _run(F.get(lanes, F.lit(d + k)), start)) if abs(d) <= e else none)
+        return F.array(*out)
+
+    def walk(lanes: Column, reach: Column, e: int) -> Column:
+        if e > k:
+            return F.coalesce(F.get(reach, nb - na + k) >= na, F.lit(False))
+        return _let(further(lanes, reach, e), lambda r: walk(lanes, r, e + 1))
+
+    def begin(lanes: Column) -> Column:
+        first = F.array(*[_run(F.get(lanes, F.lit(k)), F.lit(0)) if d == 0 else none for d in range(-k, k + 1)])
+        return _let(first, lambda r: walk(lanes, r, 1))
+
+    lanes = F.array(*[_lane(pa, pb, na, nb, d) for d in range(-k, k + 1)])
+    return F.when(F.abs(na - nb) <= k, _let(lanes, begin)).otherwise(False)
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -139,53 +190,61 @@ def near_pairs(classes: DataFrame, scratch: Scratch, edits: int = EDITS) -> Data
     # pairs whose letters rule them out end in the join, so a common segment doesn't bring out all pairs of its lines
     met = index.join(probes, "key").where((F.col("a") != F.col("b")) & (counts_apart(F.col("ca"), F.col("cb")) <= 2 * edits))
     pairs = scratch.save(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ids = _bounded(_ends(pairs))
-    texts = scratch.save(long_enough.join(ids, "id", "left_semi").select("id", "len", "line"))
-    left = texts.select(F.col("id").alias("a"), F.col("len").alias("la"), F.col("line").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("len").alias("lb"), F.col("line").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b")
-    # Spark's own banded distance cuts what can't match; the bit-parallel one, costly as an expression, decides the rest
-    maybe = both.where(F.levenshtein("ta", "tb", edits) >= 0)
-    swap = F.col("la") < F.col("lb")
-    x, y = F.split(F.when(swap, F.col("tb")).otherwise(F.col("ta")), ""), F.split(F.when(swap, F.col("ta")).otherwise(F.col("tb")), "")
-    ready = scratch.save(maybe.select("a", "b", x.alias("x"), y.alias("y")))
-    return ready.where(banded_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
-    """docs with text_col rewritten and the columns brindle_lines, brindle_exact and brindle_near added.
+    ends = scratch.save(_ends(pairs))
+    texts = scratch.save(long_enough.join(_bounded(ends), "id", "left_semi").select("id", "len", pack(F.col("line"), F.col("len")).alias("bits")))
+    left = texts.select(F.col("id").alias("a"), F.col("len").alias("na"), F.col("bits").alias("pa"))
+    right = texts.select(F.col("id").alias("b"), F.col("len").alias("nb"), F.col("bits").alias("pb"))
+    near = pairs.join(left, "a").join(right, "b").where(within(F.col("pa"), F.col("na"), F.col("pb"), F.col("nb"), edits))
+    out = scratch.save(near.select("a", "b"))
+    for t in (pairs, ends, texts):
+        scratch.drop(t)
+    return out
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, counts: str | None = None) -> DataFrame:
+    """docs with text_col rewritten and, if counts names it, a struct column (lines, exact, near) added.
 
     A line goes if the same line occurs earlier, or if a different line within `edits` does (both of
     NEAR_CHARS code points at least). Earlier is by id (null first), then by a hash of the text, then
-    by place in the text; for near lines the first places of both lines count. Blank lines stay. The
-    added columns hold the number of lines that aren't blank, and how many of these went as exact and
-    as near repeats. Null texts stay null, empty ones empty. Rows of equal id and text are one
-    document, so that all of them lose the same lines. An empty table gives no rows. Other columns
-    come back as they are.
+    by place in the text; for near lines the first places of both lines count. Blank lines stay.
+    counts has the number of lines that aren't blank, and how many of these went as exact and as near
+    repeats. Null texts stay null, empty ones empty. Rows of equal id and text are one document, so that
+    all of them lose the same lines. An empty table gives no rows. Other columns come back as they are,
+    whatever their names; counts must be a name that docs doesn't have.
     """
+    if counts and unused(counts, docs.columns) != counts:
+        raise ValueError(f"docs has a column {counts}")
     scratch = Scratch(docs.sparkSession, "lines")
     keyed = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
     lines = _explode_lines(keyed)
     first = lines.groupBy("h", "g").agg(F.min(F.struct("doc", "th", "pos")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
     classes = scratch.save(first.select(F.monotonically_increasing_id().alias("id"), "h", "g", "first", "n", F.length("line").alias("len"), letter_counts(F.col("line")).alias("c"), "line"))
-    pairs = scratch.save(near_pairs(classes.select("id", "len", "c", "line"), scratch, edits))
-    ends = _bounded(_ends(pairs))
-    places = scratch.save(classes.join(ends, "id", "left_semi").select("id", "first"))
+    pairs = near_pairs(classes.select("id", "len", "c", "line"), scratch, edits)
+    ends = scratch.save(_ends(pairs))
+    places = scratch.save(classes.join(_bounded(ends), "id", "left_semi").select("id", "first"))
     ordered = pairs.join(places.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(places.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
-    near = _bounded(ordered.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
-    decided = scratch.save(classes.select("id", "h", "g", "first", "n").join(near.withColumn("near", F.lit(True)), "id", "left").where("n > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near")))
+    near = scratch.save(ordered.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
+    decided = scratch.save(classes.select("id", "h", "g", "first", "n").join(_bounded(near).withColumn("near", F.lit(True)), "id", "left").where("n > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near")))
+    for t in (classes, pairs, ends, places, near):
+        scratch.drop(t)
     # what goes is found by hash; only lines that go are gathered by document
     here = lines.select("doc", "th", "pos", "h", "g").join(_bounded(decided), ["h", "g"])
     repeat = ~F.struct("doc", "th", "pos").eqNullSafe(F.col("first"))
     gone = here.select("doc", "th", "pos", repeat.alias("exact"), "near").where("exact or near").distinct()
     gone = gone.groupBy("doc", "th").agg(F.collect_set("pos").alias("pos"), F.count_if("exact").alias("exact"), F.count_if(~F.col("exact")).alias("near"))
-    names = {c: f"brindle_own_{i}" for i, c in enumerate(docs.columns)}
-    own = docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.col(id_col).cast("long").alias("brindle_doc"), F.xxhash64(F.col(text_col)).alias("brindle_th"))
-    text = F.col(names[text_col])
-    marks = gone.select(F.col("doc").alias("brindle_d"), F.col("th").alias("brindle_t"), F.col("pos").alias("brindle_pos"), F.col("exact").alias("brindle_exact"), F.col("near").alias("brindle_near"))
-    joined = own.join(marks, F.col("brindle_doc").eqNullSafe(F.col("brindle_d")) & (F.col("brindle_th") == F.col("brindle_t")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("brindle_pos"), i)), "\n")
-    count = F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S"))), F.lit(0))
-    rewritten = F.when(F.col("brindle_pos").isNull(), text).otherwise(kept)
-    back = [(rewritten if c == text_col else F.col(n)).alias(c) for c, n in names.items()]
-    return joined.select(*back, count.alias("brindle_lines"), F.coalesce("brindle_exact", F.lit(0)).alias("brindle_exact"), F.coalesce("brindle_near", F.lit(0)).alias("brindle_near"))
+    # all other names are set aside, so that no column of docs can clash with one made here
+    own = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), F.col(id_col).cast("long").alias("own_doc"), F.xxhash64(F.col(text_col)).alias("own_th"))
+    joined = own.join(gone, F.col("own_doc").eqNullSafe(F.col("doc")) & (F.col("own_th") == F.col("th")), "left")
+    text = F.col(f"row.c{docs.columns.index(text_col)}")
+
+    def without(parts: Column) -> Column:
+        """The lines that stay: their places by one set difference, so that the work is linear in a document."""
+        places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("pos"))
+        return F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n")
+
+    rewritten = F.when(F.col("pos").isNull(), text).otherwise(_let(F.split(text, "\n"), without))
+    back = [(rewritten if c == text_col else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)]
+    if counts:
+        n = F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S"))), F.lit(0))
+        back.append(F.struct(n.alias("lines"), F.coalesce("exact", F.lit(0)).alias("exact"), F.coalesce("near", F.lit(0)).alias("near")).alias(counts))
+    return joined.select(*back)

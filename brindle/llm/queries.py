@@ -56,8 +56,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many go as exact and near repeats, and the size and digest of what stays."""
-    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("brindle_lines").alias("n_lines"), F.col("brindle_exact").alias("n_exact"), F.col("brindle_near").alias("n_near"), F.length("text").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts="gone")
+    return out.select("doc_id", F.col("gone.lines").alias("n_lines"), F.col("gone.exact").alias("n_exact"), F.col("gone.near").alias("n_near"), F.length("text").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.graph import connected_components
+from brindle.llm.names import unused
 from brindle.session import Scratch, ship
 
 BITS = 64
@@ -204,10 +205,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows that share an id one stays. Rows without an id stay.
     """
+    scratch, key = Scratch(docs.sparkSession, "simhash-kept"), unused("key", docs.columns)
     found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, shingle)
-    first = found.where("id = component_id").groupBy("id").agg(F.count("*").alias("n"))
-    kept = Scratch(docs.sparkSession, "simhash-kept").save(first)
-    rows = docs.join(kept.select(F.col("id").alias("brindle_id")), docs[id_col] == F.col("brindle_id"), "left_semi")
+    kept = scratch.save(found.where("id = component_id").groupBy("id").agg(F.count("*").alias("n")))
+    rows = docs.join(kept.select(F.col("id").alias(key)), docs[id_col].cast("long") == F.col(key), "left_semi")
     if not kept.where("n > 1").isEmpty():
         rows = rows.dropDuplicates([id_col])
     return rows.unionByName(docs.where(docs[id_col].isNull()))

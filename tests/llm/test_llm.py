@@ -125,18 +125,37 @@ def test_lines(spark):
 
 
 def test_banded(spark):
-    pairs = []
-    for _ in range(300):
-        a = "".join(random.choice("abé") for _ in range(random.randrange(6, 30)))
+    rng = random.Random(11)
+    pairs = [("a" * 64, "a" * 64), ("a" * 64, "a" * 65), ("a" * 128, "b" + "a" * 127), ("x" * 63 + "yz", "x" * 63 + "zy"), ("", "ab"), ("", "abc")]
+    for _ in range(500):
+        a = "".join(rng.choice("abé\U0001f600") for _ in range(rng.choice((3, 9, 30, 63, 64, 65, 127, 130, 200))))
         b = list(a)
-        for _ in range(random.randrange(5)):
-            b[random.randrange(len(b)) : random.randrange(len(b)) + 1] = random.choice(["", "c", "ab"])
-            b = list("".join(b)) or ["a"]
-        b = "".join(b)
-        if abs(len(a) - len(b)) <= 2 and min(len(a), len(b)) > 2:
-            pairs.append((a, b) if len(a) >= len(b) else (b, a))
-    found = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup.banded_distance(F.split("a", ""), F.split("b", "")).alias("d")).collect()
-    assert all(min(r["d"], 3) == min(edit(r["a"], r["b"]), 3) for r in found)
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "c", "ab", "漢"])
+        pairs.append((a, "".join(b)))
+    table = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", F.length("a").alias("na"), F.length("b").alias("nb"), line_dedup.pack(F.col("a"), F.length("a")).alias("pa"), line_dedup.pack(F.col("b"), F.length("b")).alias("pb"))
+    for k in (1, 2, 3):
+        found = {r["i"]: r["w"] for r in table.select("i", line_dedup.within(F.col("pa"), F.col("na"), F.col("pb"), F.col("nb"), k).alias("w")).collect()}
+        assert [found[i] for i in range(len(pairs))] == [edit(a, b) <= k for a, b in pairs]
+
+
+def test_lines_are_judged_by_the_band(spark, monkeypatch):
+    rows = [(1, "a line of more than twenty characters"), (2, "a line of more than twenty charakters"), (3, "a line of fewer than thirty characters")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(table).collect()} == {1: rows[0][1], 2: "", 3: rows[2][1]}
+    monkeypatch.setattr(line_dedup, "within", lambda *_: F.lit(False))
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(table).collect()} == dict(rows)
+
+
+def test_lines_of_one_long_document(spark):
+    text = "\n".join(["the same line again and again"] * 60000 + ["another"])
+    rows = [(1, text, "x"), (2, "another", "y")]
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, pos string"), counts="near").collect()}
+    assert out[1]["text"] == "the same line again and again\nanother" and tuple(out[1]["near"]) == (60001, 59999, 0)
+    assert out[2]["text"] == "" and out[2]["pos"] == "y"
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, pos string"), counts="pos")
 
 
 def test_bpe(docs):
