@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe, line_dedup, mixing, simhash, toxicity
+from brindle.llm.names import unused
 from brindle.session import Scratch
 
 
@@ -20,9 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines and with n_chars to match; those left without text go."""
-    out = line_dedup.dedup_lines(docs)
-    emptied = (F.col("brindle_lines") > 0) & (F.col("brindle_exact") + F.col("brindle_near") >= F.col("brindle_lines"))
-    out = out.where(~emptied)
+    gone = unused("gone", docs.columns)
+    out = line_dedup.dedup_lines(docs, counts=gone)
+    out = out.where((F.col(f"`{gone}`.lines") == 0) | (F.col(f"`{gone}`.exact") + F.col(f"`{gone}`.near") < F.col(f"`{gone}`.lines")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
