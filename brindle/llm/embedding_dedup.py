@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm.graph import connected_components
+from brindle.llm.skew import join_per_key
 from brindle.session import Scratch, ship
 
-#: Vectors of a tile, at most; a task holds two tiles.
-TILE = 1024
+#: Vectors that are compared at once, and values and vectors of a block, at most; a task holds two blocks.
+TILE, BLOCK_VALUES, BLOCK_ROWS = 1024, 1 << 21, 1 << 14
 #: Leading components that order the vectors and bound the tiles, and those added in each step of a comparison.
 BOX, STEP = 6, 16
+#: Dimensions, the most frequent first, and the largest of them that get principal axes; others are compared along
+#: their own axes, which gives the same links.
+AXES, AXES_DIM = 8, 2048
 SLACK = 1e-9
 
 
@@ -31,11 +35,13 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """For each dimension of vectors (label, dim, vec), the axes of their second moments, widest first.
+    """For the most frequent dimensions of vectors (dim, vec), the axes of their second moments, widest first.
 
-    Each task sends the upper half of one dim x dim matrix a batch of its rows; their sum is all that the
-    driver gets. Axes through the origin keep inner products as they are.
+    Each task sends the upper half of a dim x dim matrix, summed over its rows; their sum is all that the driver
+    gets, of AXES dimensions up to AXES_DIM. Axes through the origin keep inner products as they are.
     """
+    sizes = vectors.where(F.col("dim") <= AXES_DIM).groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(AXES).collect()
+    chosen = [r["dim"] for r in sizes if r["n"] > 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -48,18 +54,29 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
             i, j = np.triu_indices(d)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), d, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(m[i, j])], names=["dim", "i", "j", "v"])
 
-    out: dict[int, np.ndarray] = {}
-    for r in vectors.mapInArrow(run, "dim int, i int, j int, v double").groupBy("dim", "i", "j").agg(F.sum("v").alias("v")).collect():
-        m = out.setdefault(r["dim"], np.zeros((r["dim"], r["dim"])))
-        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["v"]
-    return {d: np.ascontiguousarray(np.linalg.eigh(m)[1][:, ::-1]) for d, m in out.items()}
+    if not chosen:
+        return {}
+    summed = vectors.where(F.col("dim").isin(chosen)).mapInArrow(run, "dim int, i int, j int, v double").groupBy("dim", "i", "j").agg(F.sum("v").alias("v")).toArrow()
+    dims, i, j, v = (summed.column(c).to_numpy() for c in ("dim", "i", "j", "v"))
+    out = {}
+    for d in chosen:
+        at, m = dims == d, np.zeros((d, d))
+        m[i[at], j[at]] = m[j[at], i[at]] = v[at]
+        out[d] = np.ascontiguousarray(np.linalg.eigh(m)[1][:, ::-1])
+    return out
 
 
-def tiles(vectors: DataFrame, axes: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """Vectors in runs of at most TILE of one label and dimension, sorted by cells of their leading components.
+def _along(x: np.ndarray, axes: dict[int, np.ndarray], n: int | None = None) -> np.ndarray:
+    """The first n components of unit vectors along their axes."""
+    a = axes.get(x.shape[1])
+    return x[:, :n] if a is None else x @ a[:, :n]
 
-    A range partitioning whose last key is the id deals out labels of any size. Each row has a tile's
-    ids, vectors and the box around its leading components.
+
+def blocks(classes: DataFrame, axes: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """Vectors in blocks of one label and dimension, sorted by cells of their leading components.
+
+    classes: label, dim, h1, h2, m, vec. A range partitioning whose last keys are the hashes deals out labels of any
+    size. Each row has a block's hashes, weights m, vectors and the box around its leading components.
     """
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
@@ -69,7 +86,7 @@ def tiles(vectors: DataFrame, axes: dict[int, np.ndarray], threshold: float) ->
             cells = np.zeros((b.num_rows, 3), np.int32)
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
-                x = _unit(_vectors(b.take(pa.array(at)).column("vec"), d)) @ axes[d][:, :3]
+                x = _along(_unit(_vectors(b.take(pa.array(at)).column("vec"), d)), axes, 3)
                 cells[at, : x.shape[1]] = np.floor(x / (reach / 2 + SLACK))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in cells.T)], names=[*b.schema.names, "c1", "c2", "c3"])
 
@@ -88,9 +105,10 @@ def tiles(vectors: DataFrame, axes: dict[int, np.ndarray], threshold: float) ->
                 elif held is not None:
                     yield pack(held)
                 kind = (labels[i], dims[i])
-                while part.num_rows > TILE:
-                    yield pack(part.slice(0, TILE))
-                    part = part.slice(TILE)
+                most = max(1, min(BLOCK_ROWS, BLOCK_VALUES // int(dims[i])))
+                while part.num_rows > most:
+                    yield pack(part.slice(0, most))
+                    part = part.slice(most)
                 held = part
         if held is not None:
             yield pack(held)
@@ -98,110 +116,153 @@ def tiles(vectors: DataFrame, axes: dict[int, np.ndarray], threshold: float) ->
     def pack(t: pa.Table) -> pa.RecordBatch:
         d = t.column("dim")[0].as_py()
         raw = _vectors(t.column("vec").combine_chunks(), d)
-        z = _unit(raw) @ axes[d][:, :BOX]
-        ids = t.column("id").to_pylist()
+        z = _along(_unit(raw), axes, BOX)
+        z = np.pad(z, ((0, 0), (0, BOX - z.shape[1])))
+        longs = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array([t.column("label")[0].as_py()], pa.int64()), pa.array([d], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.ascontiguousarray(raw).tobytes()], pa.binary()), pa.array([raw.dtype.str]), pa.array([z.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([z.max(axis=0).tolist()], pa.list_(pa.float64()))],
-            names=["label", "dim", "ids", "data", "kind", "low", "high"],
+            [pa.array([t.column("label")[0].as_py()], pa.int64()), pa.array([d], pa.int32()), *(pa.array([t.column(c).to_numpy()], longs) for c in ("h1", "h2", "m")), pa.array([np.ascontiguousarray(raw).tobytes()], pa.binary()), pa.array([raw.dtype.str]), *(pa.array([x.tolist()], pa.list_(pa.float64())) for x in (z.min(axis=0), z.max(axis=0)))],
+            names=["label", "dim", "h1", "h2", "m", "data", "kind", "low", "high"],
         )
 
-    placed = vectors.mapInArrow(place, T.StructType([*vectors.schema.fields, *(T.StructField(c, T.IntegerType()) for c in ("c1", "c2", "c3"))]))
-    parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = placed.repartitionByRange(parts, "label", "dim", "c1", "c2", "c3", "id", F.xxhash64("vec")).sortWithinPartitions("label", "dim", "c1", "c2", "c3", "id")
-    return dealt.mapInArrow(cut, "label long, dim int, ids array<long>, data binary, kind string, low array<double>, high array<double>")
+    placed = classes.mapInArrow(place, T.StructType([*classes.schema.fields, *(T.StructField(c, T.IntegerType()) for c in ("c1", "c2", "c3"))]))
+    order = ["label", "dim", "c1", "c2", "c3", "h1", "h2"]
+    dealt = placed.repartitionByRange(max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
+    return dealt.mapInArrow(cut, "label long, dim int, h1 array<long>, h2 array<long>, m array<long>, data binary, kind string, low array<double>, high array<double>")
+
+
+class Side:
+    """A block's unit vectors, their components along the axes, and the norms of what is left from each component on."""
+
+    def __init__(self, raw: np.ndarray, axes: dict[int, np.ndarray], tile: int):
+        self.tile, self.u = tile, _unit(raw)
+        self.z = _along(self.u, axes)
+        self.rest = np.sqrt(np.maximum(0, np.cumsum((self.z**2)[:, ::-1], axis=1)[:, ::-1]))
+        self.rest = np.column_stack([self.rest, np.zeros(len(raw))])
+
+    def box(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        z = self.z[i : i + self.tile, :BOX]
+        return z.min(axis=0), z.max(axis=0)
 
 
-def compare(a: np.ndarray, b: np.ndarray | None, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of rows of a and b (None: i < j within a) whose cosine is at least the threshold.
+def compare(a: Side, b: Side, i0: int, j0: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of rows of the tiles at i0 of a and j0 of b whose cosine is at least the threshold; i < j if a is b.
 
     Products of leading components are summed first. What is left of a product is at most the product
     of both suffix norms, so pairs that can't reach the threshold any more go after each step.
     """
-    ua = _unit(a)
-    ub = ua if b is None else _unit(b)
-    za, zb = ua @ axes, ub @ axes
+    za, zb, ra, rb = a.z[i0 : i0 + a.tile], b.z[j0 : j0 + b.tile], a.rest[i0 : i0 + a.tile], b.rest[j0 : j0 + b.tile]
     d = za.shape[1]
-    suffix = lambda z: np.sqrt(np.maximum(0, np.cumsum((z * z)[:, ::-1], axis=1)[:, ::-1]))
-    sa, sb = suffix(za), suffix(zb)
-    rest = lambda s, at: s[:, at] if at < d else np.zeros(len(s))
     k = min(STEP, d)
-    sums = za[:, :k] @ zb[:, :k].T
-    i, j = np.nonzero(sums + rest(sa, k)[:, None] * rest(sb, k)[None, :] >= threshold - SLACK)
-    if b is None:
-        keep = i < j
+    i, j = np.nonzero(za[:, :k] @ zb[:, :k].T + ra[:, k, None] * rb[None, :, k] >= threshold - SLACK)
+    if a is b:
+        keep = i + i0 < j + j0
         i, j = i[keep], j[keep]
-    partial = sums[i, j]
-    while k < d and len(i):
-        to = min(k + STEP, d)
-        partial = partial + np.einsum("ij,ij->i", za[i, k:to], zb[j, k:to])
-        k = to
-        keep = partial + rest(sa, k)[i] * rest(sb, k)[j] >= threshold - SLACK
-        i, j, partial = i[keep], j[keep], partial[keep]
-    hit = np.concatenate([np.einsum("ij,ij->i", ua[i[s : s + 65536]], ub[j[s : s + 65536]]) >= threshold for s in range(0, len(i), 65536)] or [np.zeros(0, bool)])
-    return i[hit], j[hit]
-
-
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93) -> DataFrame:
+    steps = [(s, min(s + STEP, d)) for s in range(k, d, STEP)]
+    hits = []
+    for s in range(0, len(i), 65536):  # bounded whatever the number of pairs
+        p, q = i[s : s + 65536], j[s : s + 65536]
+        partial = np.einsum("ij,ij->i", za[p, :k], zb[q, :k])
+        for low, high in steps:
+            partial = partial + np.einsum("ij,ij->i", za[p, low:high], zb[q, low:high])
+            keep = partial + ra[p, high] * rb[q, high] >= threshold - SLACK
+            p, q, partial = p[keep], q[keep], partial[keep]
+        p, q = p + i0, q + j0
+        hit = np.einsum("ij,ij->i", a.u[p], b.u[q]) >= threshold
+        hits.append((p[hit], q[hit]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(p for p, _ in hits)]), np.concatenate([none, *(q for _, q in hits)])
+
+
+def _lowest(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest place linked with each, from what was known and links (i, j)."""
+    i, j = np.concatenate([i, np.arange(len(root))]), np.concatenate([j, root])
+    while True:
+        low, before = np.minimum(root[i], root[j]), root.copy()
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        root = root[root]
+        if np.array_equal(before, root):
+            return root
+
+
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, tile: int = TILE) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Vectors of equal, non-null label and equal dimension link at a cosine of at least the threshold.
-    Null, empty and zero vectors and those with null or non-finite values have no links. Each pair of
-    tiles whose boxes are near enough is compared in one task, which returns a count for each linked
-    vector and a star for each group it found, never the pairs. Repeated rows, and rows that share an
-    id, each count as a vector of their own. A null id stays null; its component has the smallest of
-    the other ids, if any. kept: vec_id = component_id (false for null). Other columns are ignored. An
-    empty table gives no rows.
+    Null, empty and zero vectors and those with null or non-finite values have no links. Equal vectors of a
+    label are one class with a weight. Blocks whose boxes are near enough meet in one task, which compares their
+    near tiles and returns a sum of weights for each linked class and a star for each group it found, never
+    the pairs. Repeated rows, and rows that share an id, each count as a vector of their own. A null id stays
+    null; its component has the smallest of the other ids, if any. kept: vec_id = component_id (false for null).
+    Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     spark = ship(df.sparkSession)
     scratch = Scratch(spark, "vectors")
     vec = F.col(vec_col)
     usable = F.col(label_col).isNotNull() & vec.isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.coalesce(F.size(vec), F.lit(0)).alias("dim"), vec.alias("vec"), F.coalesce(usable, F.lit(False)).alias("usable"))
-    vectors = rows.where("usable").drop("usable")
-    axes = principal_axes(vectors)
-    made = scratch.save(tiles(vectors, axes, threshold).select(F.monotonically_increasing_id().alias("tile"), "*"))
-    # near tiles: those whose boxes are within the greatest distance of linked unit vectors
+    keys = ["label", "dim", "h1", "h2"]
+    # two hashes stand for a vector where rows find their class again
+    vectors = rows.where("usable").select("id", "label", "dim", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"), "vec")
+    classes = scratch.save(vectors.groupBy(*keys, "vec").agg(F.count("*").alias("m"), F.min("id").alias("first")))
+    axes = principal_axes(classes.select("dim", "vec"))
+    made = scratch.save(blocks(classes.select(*keys, "m", "vec"), axes, threshold).select(F.monotonically_increasing_id().alias("block"), "*"))
+    # near blocks: those whose boxes are within the greatest distance of linked unit vectors; they meet by cells of two components
     reach = (2 - 2 * threshold) ** 0.5 + SLACK
-    first, second = F.floor(F.get("low", F.lit(0)) / reach), F.floor(F.get("high", F.lit(0)) / reach)
-    boxes = made.select("tile", "label", "dim", "low", "high", first.alias("from"), second.alias("to"))
-    here = boxes.withColumn("cell", F.explode(F.sequence("from", "to"))).alias("a")
-    there = boxes.withColumn("cell", F.explode(F.sequence(F.col("from") - 1, F.col("to") + 1))).alias("b")
+    boxes = made.select("block", "label", "dim", "low", "high")
+
+    def cells(df: DataFrame, wider: int) -> DataFrame:
+        for k, name in enumerate(("x", "y")):
+            df = df.withColumn(name, F.explode(F.sequence(F.floor(F.get("low", F.lit(k)) / reach) - wider, F.floor(F.get("high", F.lit(k)) / reach) + wider)))
+        return df
+
     sides = F.zip_with(F.zip_with("a.low", "b.high", lambda x, y: x - y), F.zip_with("b.low", "a.high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     gap = F.aggregate(sides, F.lit(0.0), lambda s, x: s + x * x)
-    same = (F.col("a.label") == F.col("b.label")) & (F.col("a.dim") == F.col("b.dim")) & (F.col("a.cell") == F.col("b.cell"))
-    pairs = here.join(there, same & (F.col("a.tile") <= F.col("b.tile")) & (gap <= reach * reach)).select(F.col("a.tile").alias("a"), F.col("b.tile").alias("b")).distinct()
-    load = made.select("tile", "dim", "kind", "data")
-    work = pairs.join(load.select(F.col("tile").alias("a"), "dim", F.col("kind").alias("ka"), F.col("data").alias("da")), "a").join(load.select(F.col("tile").alias("b"), F.col("kind").alias("kb"), F.col("data").alias("db")), "b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("label", "dim", "x", "y")]
+    near = cells(boxes, 0).alias("a").join(cells(boxes, 1).alias("b"), [*same, F.col("a.block") <= F.col("b.block"), gap <= reach * reach])
+    pairs = near.select(F.col("a.block").alias("a"), F.col("b.block").alias("b")).distinct()
+    load = made.select("block", "dim", "kind", "data", "m")
+    left = load.select(F.col("block").alias("a"), "dim", F.col("kind").alias("ka"), F.col("data").alias("da"), F.col("m").alias("ma"))
+    right = load.select(F.col("block").alias("b"), F.col("kind").alias("kb"), F.col("data").alias("db"), F.col("m").alias("mb"))
+    work = pairs.join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                ta, tb, d = (batch.column(c)[r].as_py() for c in ("a", "b", "dim"))
-                a = np.frombuffer(batch.column("da")[r].as_py(), batch.column("ka")[r].as_py()).reshape(-1, d)
-                b = None if ta == tb else np.frombuffer(batch.column("db")[r].as_py(), batch.column("kb")[r].as_py()).reshape(-1, d)
-                i, j = compare(a, b, axes[d], threshold)
-                if b is not None:
-                    j = j + len(a)
-                n = len(a) + (0 if b is None else len(b))
-                links = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
-                root = np.arange(n)
-                while True:
-                    low, before = np.minimum(root[i], root[j]), root.copy()
-                    np.minimum.at(root, i, low)
-                    np.minimum.at(root, j, low)
-                    root = root[root]
-                    if np.array_equal(before, root):
-                        break
+                ka, kb, d = (batch.column(c)[r].as_py() for c in ("a", "b", "dim"))
+                side = lambda x: Side(np.frombuffer(batch.column(f"d{x}")[r].as_py(), batch.column(f"k{x}")[r].as_py()).reshape(-1, d), axes, tile)  # noqa: B023, E731
+                a = side("a")
+                b = a if ka == kb else side("b")
+                na, shift = len(a.u), 0 if a is b else len(a.u)
+                m = np.concatenate([batch.column(c)[r].values.to_numpy() for c in (("ma",) if a is b else ("ma", "mb"))])
+                links, root = np.zeros(len(m), np.int64), np.arange(len(m))
+                for i0 in range(0, na, tile):
+                    low_a, high_a = a.box(i0)
+                    for j0 in range(i0 if a is b else 0, len(b.u), tile):
+                        low_b, high_b = b.box(j0)
+                        if (np.maximum(0, np.maximum(low_a - high_b, low_b - high_a)) ** 2).sum() > reach * reach:
+                            continue
+                        i, j = compare(a, b, i0, j0, threshold)
+                        j = j + shift
+                        np.add.at(links, i, m[j])
+                        np.add.at(links, j, m[i])
+                        root = _lowest(root, i, j)
                 hit = np.flatnonzero(links)
-                key = lambda x: np.where(x < len(a), ta * TILE + x, tb * TILE + x - len(a))
+                key = lambda x: np.where(x < na, ka * BLOCK_ROWS + x, kb * BLOCK_ROWS + x - shift)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([pa.array(key(hit)), pa.array(links[hit]), pa.array(key(root[hit]))], names=["node", "n", "root"])
 
     found = scratch.save(work.mapInArrow(run, "node long, n long, root long"))
     parts = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
-    counts = found.groupBy("node").agg(F.sum("n").alias("n_links"))
-    members = made.select("tile", F.posexplode("ids").alias("at", "id")).select((F.col("tile") * TILE + F.col("at")).alias("node"), "id")
-    rooted = members.join(counts, "node", "left").join(parts, "node", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "node").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    linked = rooted.join(lowest, "root").select("id", "n_links", "component_id")
+    counts = found.groupBy("node").agg(F.sum("n").alias("others"))
+    nodes = made.select("label", "dim", "block", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).select("label", "dim", "h.h1", "h.h2", (F.col("block") * BLOCK_ROWS + F.col("at")).alias("node"))
+    named = nodes.join(classes.select(*keys, "m", "first"), keys).join(counts, "node", "left").join(parts, "node", "left")
+    named = scratch.save(named.select(*keys, "m", "first", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("component", "node").alias("root")))
+    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    # a class: links of each of its vectors, those with its own copies included
+    result = scratch.save(named.join(lowest, "root").select(*keys, F.col("m").alias("n"), (F.col("others") + F.col("m") - 1).alias("n_links"), "component_id"))
+    total = result.agg(F.sum("n")).first()[0] or 0
+    for t in (classes, made, found, named):
+        scratch.drop(t)
+    linked = join_per_key(vectors.drop("vec"), keys, result, total).select("id", "n_links", "component_id")
     alone = rows.where("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -13,14 +13,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector: other vectors of its label within a cosine of 0.93, and the smallest id of its component."""
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: its language by text, declaration, address suffix and host, and the probability of that."""
     return language_id.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation, and for one that is full of control strings: digests of what is read back from its formatted text."""
     said = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
@@ -51,6 +54,7 @@ FROM sized GROUP BY conv_id
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: a score of its text, learned from rows that aren't held out."""
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
@@ -61,25 +65,30 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its fingerprint, and the smallest id of those linked with it."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its tokens' number and digest, and the digest of what they decode to."""
     return bpe.encode(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its tokens under a unigram model, counted without keeping pieces."""
     return token_count.token_counts(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its words and domains, and how often the mix takes it."""
     out = mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     shares = [F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)]
-    return out.select(F.col("id").alias("doc_id"), "n_tokens", *shares, "rate", "copies")
+    return out.select(F.col("id").alias("doc_id"), "n_tokens", *shares, "rate", "copies", "missed")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: statistics of its words and lines, the fixed rules, and the verdict of the trees."""
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 

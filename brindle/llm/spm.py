@@ -52,16 +52,26 @@ def bpe_model(ranks: list[bytes]) -> bytes:
     return model.SerializeToString()
 
 
+def check_plain(model: pb.ModelProto) -> None:
+    """Raise unless texts reach the pieces as they are, but for spaces that become marks."""
+    n = model.normalizer_spec
+    if n.precompiled_charsmap or n.remove_extra_whitespaces or not n.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
+        raise ValueError("the model's normaliser rewrites texts")
+    if any(p.type == pb.ModelProto.SentencePiece.USER_DEFINED for p in model.pieces):
+        raise ValueError("the model has pieces defined by users")
+
+
 def unigram_model(path: str) -> bytes:
     """The pieces of a model file as a unigram model with byte fallback.
 
     A piece at place r of the vocabulary has the log probability -ln(r + 2), in steps of 1/256, so
     sums over a stretch of text are exact in single precision. Byte, control and unknown pieces
-    and the normaliser stay as they are.
+    and the normaliser stay as they are. Models that rewrite texts or have pieces of their users aren't taken.
     """
     model = pb.ModelProto()
     with open(path, "rb") as f:
         model.ParseFromString(f.read())
+    check_plain(model)
     place = 0
     for p in model.pieces:
         if p.type == pb.ModelProto.SentencePiece.NORMAL:

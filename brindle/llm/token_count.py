@@ -34,6 +34,7 @@ class Counter:
     def __init__(self, model: bytes):
         proto = pb.ModelProto()
         proto.ParseFromString(model)
+        spm.check_plain(proto)
         kind = pb.ModelProto.SentencePiece
         scores = {p.piece: p.score for p in proto.pieces if p.type == kind.NORMAL}
         if any(spm.SPACE in p.lstrip(spm.SPACE) for p in scores):

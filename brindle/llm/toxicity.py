@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from brindle.session import Scratch, ship
 
-#: A term's log-likelihood ratio against independence, its precision, and how many terms there may be.
-LEAST_RATIO, LEAST_PRECISION, MOST_TERMS = 20.0, 0.97, 400
+#: A term's log-likelihood ratio against independence, its precision, and the toxic documents that it must be in.
+LEAST_RATIO, LEAST_PRECISION, LEAST_DOCS = 20.0, 0.97, 3
 SHORTEST, LONGEST_STEM = 3, 8
 #: Words of the smallest hashes by which copies of a text are told.
 SKETCH = 8
@@ -28,7 +29,9 @@ WINDOW = 8
 THRESHOLD = 0.7
 KEPT = 300_000
 WORD = re.compile(r"\w+")
-OPENING, CLOSING = "\"“„«‹", "\"”“»›"
+#: Quotation marks: what each may close, from the mark that opened; one that closes nothing opens.
+CLOSES = {'"': '"', "”": "“„", "“": "„", "«": "»", "»": "«", "‹": "›", "›": "‹"}
+MARK = re.compile("[\"“”„«»‹›\n]")
 FEATURES = 6
 #: Bias and weights where there is nothing to learn from.
 PRIOR = (-3.0, 2.5, 0.5, 0.5, 0.1, 0.5, 0.1)
@@ -68,16 +71,37 @@ def choose_terms(counts: list[tuple[str, int, int]], toxic: int, other: int) ->
         r = ratio(a, b, toxic, other)
         if r >= LEAST_RATIO and a * other >= LEAST_PRECISION * (a * other + b * toxic):
             scored.append((-r, key.endswith("*"), -len(key), key, a))
-    chosen: list[tuple[str, int]] = []
+    chosen: list[str] = []
+    stems: set[str] = set()
+    begun: dict[str, int] = {}  # the most documents of a chosen term that begins so
     for _, _, _, key, a in sorted(scored):
         stem = key.rstrip("*")
-        covered = any(stem.startswith(t[:-1]) if t.endswith("*") else False for t, _ in chosen)
-        covered |= any(t.rstrip("*").startswith(stem) and a <= 1.1 * n for t, n in chosen)
-        if not covered:
-            chosen.append((key, a))
-        if len(chosen) == MOST_TERMS:
-            break
-    return [t for t, _ in chosen]
+        if any(stem[:n] in stems for n in range(SHORTEST, len(stem) + 1)) or a <= 1.1 * begun.get(stem, 0):
+            continue
+        chosen.append(key)
+        if key.endswith("*"):
+            stems.add(stem)
+        for n in range(1, len(stem) + 1):
+            begun[stem[:n]] = max(a, begun.get(stem[:n], 0))
+    return chosen
+
+
+def quotations(text: str) -> list[tuple[int, int]]:
+    """The places of the marks of each closed quotation of a text, inner ones first.
+
+    Marks pair up as on a stack, within a line: “…”, „…“, „…”, "…", «…», »…«, ‹…› and ›…‹. A mark that closes
+    the quotation opened last does so; any other opens one, but ” never does. What a line leaves open is none.
+    """
+    found, open_ = [], []
+    for m in MARK.finditer(text):
+        c = m[0]
+        if c == "\n":
+            open_.clear()
+        elif open_ and open_[-1][1] in CLOSES.get(c, ""):
+            found.append((open_.pop()[0], m.start()))
+        elif c != "”":
+            open_.append((m.start(), c))
+    return found
 
 
 class Lexicon:
@@ -164,7 +188,7 @@ class Lexicon:
     def features(self, text: str | None) -> list[float]:
         """Of a document: hits outside and inside quotations (terms, near terms), hits near others, hits per 100 words.
 
-        A hit is quoted if its context has an opening mark before it, unclosed, and a closing one after.
+        A hit is quoted if both marks of a quotation around it are in its context, within WINDOW words on each side.
         """
         text = text or ""
         low = text.lower()
@@ -174,15 +198,13 @@ class Lexicon:
             return [0.0] * FEATURES
         spans = [(m.start(), m.end()) for m in WORD.finditer(low)]
         at = [i for i, w in enumerate(words) if kind(w)]
+        around = sorted(quotations(low))
+        starts = [a for a, _ in around]
         counts = [0, 0, 0, 0]
         for i in at:
-            before = low[spans[max(0, i - WINDOW)][0] : spans[i][0]].rpartition("\n")[2]
-            after = low[spans[i][1] : spans[min(len(words) - 1, i + WINDOW)][1] + 1].partition("\n")[0]
-            opened = sum(map(before.count, OPENING)) > sum(before.count(c) for c in "”»›")
-            if '"' in before and before.count('"') % 2 == 0 and not any(c in before for c in OPENING[1:]):
-                opened = False
-            quoted = opened and any(c in after for c in CLOSING)
-            counts[(kind(words[i]) == 1) * 2 + quoted] += 1
+            first, last = spans[max(0, i - WINDOW)][0] - 1, spans[min(len(words) - 1, i + WINDOW)][1]
+            here = around[bisect_left(starts, first) : bisect_left(starts, spans[i][0])]
+            counts[(kind(words[i]) == 1) * 2 + any(spans[i][1] <= b <= last for _, b in here)] += 1
         close = sum(b - a <= WINDOW for a, b in zip(at, at[1:]))
         return [*(math.log1p(c) for c in counts), math.log1p(close), math.log1p(100 * len(at) / len(words))]
 
@@ -224,7 +246,7 @@ def _with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in b.column(1).to_pylist():
             low = sorted(xxhash.xxh64_intdigest(w) for w in set(WORD.findall((text or "").lower())))[:SKETCH]
             out.append(xxhash.xxh64_intdigest(repr(low)) >> 1)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=["id", "text", "toxic", "half", "sketch"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "sketch"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[list[str], list[float]]:
@@ -238,11 +260,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tup
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int"))
     # labels grow with the documents: they are merged at every size
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(known.hint("merge"), "id").select("id", "text", "toxic", "half").mapInArrow(_with_sketch, "id long, text string, toxic int, half int, sketch long")
-    labelled = scratch.save(rows)
-    # copies of one text would make all its words look like terms; the same ids stay in each run
-    firsts = labelled.groupBy("toxic", "sketch").agg(F.min("id").alias("id"))
-    rows = labelled.join(firsts.hint("merge"), ["toxic", "sketch", "id"], "left_semi").dropDuplicates(["toxic", "sketch", "id"])
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = named.join(known.hint("merge"), "id").select("id", "text", "toxic", "half", F.xxhash64("text").alias("th"))
+    labelled = scratch.save(rows.mapInArrow(_with_sketch, "id long, text string, toxic int, half int, th long, sketch long"))
+    # copies of one text would make all its words look like terms; the same rows stay in each run
+    firsts = labelled.groupBy("toxic", "sketch").agg(F.min(F.struct("id", "th")).alias("first")).select("toxic", "sketch", "first.id", "first.th")
+    rows = labelled.join(firsts.hint("merge"), ["toxic", "sketch", "id", "th"], "left_semi").dropDuplicates(["toxic", "sketch", "id", "th"])
     rows = scratch.save(rows.select("id", "text", "toxic", "half"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +281,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tup
         totals = Counter({(r["toxic"], r["half"]): r["n"] for r in rows.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()})
         by_key = rows.mapInArrow(count, "key string, n0 long, n1 long, t0 long, t1 long").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "t0", "t1")])
         toxic, other = totals[1, 0] + totals[1, 1], totals[0, 0] + totals[0, 1]
-        found = by_key.where((F.col("t0") + F.col("t1") >= 3) & (_strong(F.col("t0") + F.col("t1"), F.col("n0") + F.col("n1"), toxic, other) | _strong(F.col("t0"), F.col("n0"), totals[1, 0], totals[0, 0]) | _strong(F.col("t1"), F.col("n1"), totals[1, 1], totals[0, 1]))).collect()
+        found = by_key.where((F.col("t0") + F.col("t1") >= LEAST_DOCS) & (_strong(F.col("t0") + F.col("t1"), F.col("n0") + F.col("n1"), toxic, other) | _strong(F.col("t0"), F.col("n0"), totals[1, 0], totals[0, 0]) | _strong(F.col("t1"), F.col("n1"), totals[1, 1], totals[0, 1]))).collect()
         terms = choose_terms([(r["key"], r["t0"] + r["t1"], r["n0"] + r["n1"]) for r in found], toxic, other)
         halves = [choose_terms([(r["key"], r[f"t{h}"], r[f"n{h}"]) for r in found], totals[1, h], totals[0, h]) for h in (0, 1)]
 
@@ -288,15 +311,24 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tup
             scratch.drop(t)
 
 
+class Scorer:
+    """Scores of texts by terms and weights; made once by each task."""
+
+    def __init__(self, terms: list[str], weights: list[float]):
+        self.lexicon, self.weights = Lexicon(terms), np.array(weights)
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        f = np.array([self.lexicon.features(t) for t in texts.to_pylist()]).reshape(-1, FEATURES)
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + f @ self.weights[1:], -30, 30)))
+
+
 def score(docs: DataFrame, terms: list[str], weights: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score): the probability that a document is toxic, from its text alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, w = Lexicon(terms), np.array(weights)
+        scored = Scorer(terms, weights)
         for b in batches:
-            f = np.array([lexicon.features(t) for t in b.column(1).to_pylist()]).reshape(-1, FEATURES)
-            p = 1 / (1 + np.exp(-np.clip(w[0] + f @ w[1:], -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scored(b.column(1)))], names=["id", "score"])
 
     ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, score double")
@@ -329,10 +361,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, w = Lexicon(terms), np.array(weights)
+        scored = Scorer(terms, weights)
         for b in batches:
-            f = np.array([lexicon.features(t) for t in b.column(at).to_pylist()]).reshape(-1, FEATURES)
-            p = 1 / (1 + np.exp(-np.clip(w[0] + f @ w[1:], -30, 30)))
-            yield b.filter(pa.array(p < THRESHOLD))
+            yield b.filter(pa.array(scored(b.column(at)) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
