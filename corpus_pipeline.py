@@ -10,17 +10,29 @@ from brindle.llm.names import unused
 from brindle.session import Scratch
 
 
+#: Shares of tokens after mixing. Toxic documents went before, so that no share of them is wanted.
+TARGETS = {"clean": 0.95, "low_quality": 0.05, "toxic": 0.0}
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text isn't scored as toxic."""
+    """Documents whose text isn't scored as toxic, with all their columns.
+
+    Null and empty texts have the low score of a text without hits and stay, as do repeated rows and rows
+    without an id. Without labels of both classes nothing goes. An empty table gives no rows.
+    """
     return toxicity.without_toxic(docs, _labels(spark, sf_dir))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines and with n_chars to match; those left without text go."""
+    """Documents without repeated lines and with n_chars to match; those all of whose lines went go.
+
+    Null, empty and blank texts stay as they are. Repeated rows lose the same lines and stay. Of texts with equal
+    lines the one of the smallest id keeps them (a null id comes first). An empty table gives no rows.
+    """
     gone = unused("gone", docs.columns)
     out = line_dedup.dedup_lines(docs, counts=gone)
     out = out.where((F.col(f"`{gone}`.lines") == 0) | (F.col(f"`{gone}`.exact") + F.col(f"`{gone}`.near") < F.col(f"`{gone}`.lines")))
@@ -30,17 +42,24 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group; of its repeated rows, one."""
+    """The document of the smallest id of each group; of rows that share it, one.
+
+    Null and empty texts are one group. Rows without an id stay. An empty table gives no rows.
+    """
     return simhash.keep_first(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say."""
-    return mixing.apply(docs, _labels(spark, sf_dir))
+    """Documents as often as their rates say, so that TARGETS are met.
+
+    Documents that are likeliest clean are taken once at least; others may go, and any may be repeated. Null and
+    empty texts have the prior probabilities. An empty table, or one without words, comes back as it is.
+    """
+    return mixing.apply(docs, _labels(spark, sf_dir), targets=TARGETS, keep="clean")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of ids and of the decoded text."""
+    """Per document its token ids, with digests of ids and of the decoded text; a null or empty text has none."""
     return bpe.encode(docs, with_ids=True).withColumnRenamed("id", "doc_id")
 
 
