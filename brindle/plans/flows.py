@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.plans.catalogue import query, table
-from brindle.session import scratch_dir
+from brindle.session import Scratch
 from brindle.sources import backup
 from brindle.streaming import flows
 
@@ -16,9 +16,7 @@ def _stream(spark, sf_dir, name: str):
 
 
 def _folder(spark, name: str) -> str:
-    import uuid
-
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return Scratch(spark, name).base
 
 
 @query("SELECT p_partkey::VARCHAR AS p_partkey, p_name || '''s' AS p_name, nullif(p_type, 'SMALL') AS p_type FROM part")

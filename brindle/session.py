@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _LOCAL: list[str] = []
+_BASES: list[str] = []
+_LOCK, _WRITING = threading.Lock(), {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -25,16 +31,38 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir; a folder of this machine where that is unset and all tasks run here."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="spark-brindle-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
     return "file://" + _LOCAL[0]
 
 
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go after each write within. Writes of several threads may overlap: the last to end sets the session back."""
+    with _LOCK:
+        held = _WRITING.setdefault(id(spark), [0, spark.conf.get(_CLEANUP, None)])
+        held[0] += 1
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            held[0] -= 1
+            if not held[0]:
+                del _WRITING[id(spark)]
+                if held[1] is None:
+                    spark.conf.unset(_CLEANUP)
+                else:
+                    spark.conf.set(_CLEANUP, held[1])
+
+
 class Scratch:
     """Intermediate tables in the shared folder: they cut lineage and outlive lost executors."""
 
@@ -42,20 +70,14 @@ class Scratch:
         self.spark = spark
         self.base = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _BASES.append(self.base)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write df as Parquet and read it back; the shuffle files that it took go at once."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
+        with _cleaned(self.spark):
             df.write.parquet(path)
-        finally:
-            if before is None:
-                self.spark.conf.unset(_CLEANUP)
-            else:
-                self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -64,5 +86,15 @@ class Scratch:
         """Delete a table that save() returned and that nothing reads any more."""
         path = getattr(df, "_scratch_path", None)
         if path:
-            hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process, once the results that read them have been written."""
+    while _BASES:
+        _delete(spark, _BASES.pop())
