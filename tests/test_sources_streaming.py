@@ -47,6 +47,43 @@ def test_backup_of_many_blocks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_data_that_looks_like_a_header(spark, tmp_path):
+    rows = ["INSERT INTO t (a, b) VALUES (1);\tx", "COPY t (a) FROM stdin;\ty", "plain;\tz"]
+    body = "COPY t (a, b) FROM stdin;\n" + "\n".join(rows) + "\n\\.\nINSERT INTO u (a, b) VALUES\n('COPY t (a) FROM stdin', 'INSERT INTO x;y'),\n(now(), 'two\nlines'),\n('it''s', NULL);\nCOPY t (a, b) FROM stdin;\nlast\tw\n\\.\n"
+    (tmp_path / "a.sql").write_text(body)
+    for size in ("100000", "60"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = backup.read(spark, str(tmp_path))
+            assert sorted(r["a"] + "|" + r["b"] for r in backup.rows_of(got, "t", ["a", "b"]).collect()) == sorted([*(r.replace("\t", "|") for r in rows), "last|w"])
+            assert sorted(map(str, (tuple(r) for r in backup.rows_of(got, "u", ["a", "b"]).select("a", "b").collect()))) == sorted(map(str, [("COPY t (a) FROM stdin", "INSERT INTO x;y"), ("now()", "two lines"), ("it's", None)]))
+            assert backup.odd_rows(got).count() == 0
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_packed_files(spark, tmp_path):
+    import io
+    import zipfile
+
+    text = "COPY t (a) FROM stdin;\nx\n\\.\n".encode()
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("z.txt", "COPY t (a) FROM stdin;\nwrong\n\\.\n")
+        z.writestr("d/a.sql", "COPY t (a) FROM stdin;\nwrong\n\\.\n")
+        z.writestr("d/b.sql.gz", gzip.compress(text))
+    bare = io.BytesIO()
+    with zipfile.ZipFile(bare, "w") as z:
+        z.writestr("readme.txt", "none")
+    for name, content in (("plain.gz", text), ("packed.sql", gzip.compress(text)), ("zip.bin", held.getvalue()), ("bare.zip", bare.getvalue()), ("empty", b"")):
+        (tmp_path / name).write_bytes(content)
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    got = backup.rows_of(backup.rows_in(backup.packed_lines(files)), "t", ["a"]).collect()
+    assert sorted((r["file"].rpartition("/")[2], r["a"]) for r in got) == [("packed.sql", "x"), ("plain.gz", "x"), ("zip.bin", "x")]
+    named = backup.rows_of(backup.rows_in(backup.packed_lines(files, "a.sql")), "t", ["a"]).where("file like '%zip.bin'")
+    assert [r["a"] for r in named.collect()] == ["wrong"]
+
+
 def test_dump_and_read(spark, tmp_path):
     df = spark.createDataFrame([(1, "it's"), (2, None)], "id int, name string")
     assert backup.dump(df, "t", str(tmp_path / "d")) == 2
