@@ -36,7 +36,7 @@ def word_similarity(query: pd.Series, text: pd.Series) -> pd.Series:
     import re
 
     def grams(s: str) -> list[str]:
-        return [p[i : i + 3] for w in re.findall("[a-z0-9]+", s.lower()) for p in [f"  {w} "] for i in range(len(p) - 2)]
+        return [p[i : i + 3] for w in re.findall(r"[^\W_]+", s.lower()) for p in [f"  {w} "] for i in range(len(p) - 2)]
 
     def one(q: str | None, t: str | None) -> float | None:
         if q is None or t is None:
@@ -158,3 +158,55 @@ def listed_at(text: Column, now: Column) -> Column:
     ago = F.when(t.rlike(r"^\d+\s*(分钟前|min)"), now - F.make_dt_interval(mins=n)).when(t.rlike(r"^\d+\s*(小时前|hour)"), now - F.make_dt_interval(hours=n)).when(t.rlike(r"^\d+\s*(天前|day)"), now - F.make_dt_interval(days=n))
     day = F.when(t.rlike("^(刚刚|just now)"), now).when(t.rlike("^(今天|today)"), at(0)).when(t.rlike("^(昨天|yesterday)"), at(1)).when(t.rlike("^前天"), at(2))
     return F.coalesce(ago, day, F.try_to_timestamp(F.regexp_extract(t, r"(\d{4}-\d{1,2}-\d{1,2})", 1), F.lit("y-M-d")))
+
+
+def search_string(parts: list[Column]) -> Column:
+    """The distinct filled parts in order, as one text."""
+    trimmed = F.transform(F.array(*parts), lambda x: F.btrim(x))
+    return F.array_join(F.array_distinct(F.filter(trimmed, lambda x: x.isNotNull() & (x != ""))), " ")
+
+
+def joined_line(parts: list[Column], separator: str = " · ") -> Column:
+    """The filled parts in order with separators between them."""
+    return F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")), separator)
+
+
+def tier(value: Column, limits: list[tuple[float, str]], last: str) -> Column:
+    """The name of the first limit that a value is below."""
+    out = F
+    for limit, name in limits:
+        out = out.when(value < limit, name)
+    return out.otherwise(last)
+
+
+def old_enough_on(posted: Column, days: int) -> Column:
+    """The day from which an item is so many days old."""
+    return F.date_add(F.to_date(posted), days)
+
+
+def parse_seconds(size: Column, links: Column, base: int, per: int, each: int, least: int, most: int) -> Column:
+    """Seconds for reading a page: a base, one for so many characters, some for each link, within limits."""
+    return F.least(F.lit(most), F.greatest(F.lit(least), F.lit(base) + F.floor(size / per) + links * each)).cast("long")
+
+
+def is_heavy(size: Column, links: Column, most_chars: int, most_links: int) -> Column:
+    return (size > most_chars) | (links > most_links)
+
+
+def match_score(titles: Column, wanted: Column, popularity: Column, equal: int = 1000, within: int = 300) -> Column:
+    """popularity, and for the best of some titles more if it and the wanted one are equal, or one is in the other, but for case and blanks."""
+    plain = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
+    w = plain(wanted)
+
+    def bonus(t: Column) -> Column:
+        p = plain(t)
+        return F.when((p == "") | (w == ""), 0).when(p == w, equal).when(p.contains(w) | w.contains(p), within).otherwise(0)
+
+    return popularity + F.coalesce(F.array_max(F.transform(titles, bonus)), F.lit(0))
+
+
+def soft_cut(text: Column, most: int, separators: str = " ") -> Column:
+    """A text of at most so many characters, cut at the last separator within them, if there is one."""
+    head = F.left(text, F.lit(most))
+    at = F.regexp_extract(head, f"(?s)^(.*)[{separators}]", 1)
+    return F.when(F.length(text) <= most, text).otherwise(F.rtrim(F.when(at != "", at).otherwise(head)))

@@ -15,6 +15,11 @@ def tid(url: Column) -> Column:
     return F.coalesce(_some(F.regexp_extract(url, r"thread-(\d+)-", 1)), _some(F.regexp_extract(url, r"(?:^|[?&])tid=(\d+)", 1))).try_cast("bigint")
 
 
+def any_tid(url: Column) -> Column:
+    """The first number behind `thread-`, `tid=` or `/t/`."""
+    return _some(F.regexp_extract(url, r"(?:thread-|tid=|/t/)(\d+)", 1)).try_cast("bigint")
+
+
 def board_key(fid: Column, type_id: Column) -> Column:
     """`fid:type`, or `fid` alone where there is no type; null unless the id is a number."""
     whole = F.btrim(fid).rlike(r"^\d+$")
@@ -106,3 +111,37 @@ def by_host(images: Column, hosts: list[str], n: int) -> Column:
 
 def attribute_urls(html: Column, attribute: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit(rf'(?i)\s{attribute}\s*=\s*"([^"]*)"'), F.lit(1)))
+
+
+def share_hash(kind: str, host: Column, id_: Column, length: int = 32) -> Column:
+    """The stable hash of something shared at a host."""
+    return F.upper(F.substring(F.sha2(F.concat(F.lit(f"{kind}:"), host, F.lit("/"), id_), 256), 1, length))
+
+
+def names_hash(link: Column, hash_: Column) -> Column:
+    """Whether a link holds a hash, whatever its case."""
+    return F.coalesce(F.lower(link).contains(F.lower(hash_)) & (hash_ != ""), F.lit(False))
+
+
+def public_links(links: Column, public: tuple[str, ...], hash_: Column | None = None) -> Column:
+    """The links that match one of some LIKE patterns, trimmed and each once, in order; those of a hash come first."""
+    trimmed = F.array_distinct(F.transform(links, lambda x: F.btrim(x)))
+    kept = F.filter(trimmed, lambda x: link_kind(x, [(p, "y") for p in public], "") == "y")
+    if hash_ is None:
+        return kept
+    return F.concat(F.filter(kept, lambda x: names_hash(x, hash_)), F.filter(kept, lambda x: ~names_hash(x, hash_)))
+
+
+def uri_key(uri: Column) -> Column:
+    """An address for comparing: decoded where it can be, without white space, in lower case."""
+    return F.lower(F.regexp_replace(F.coalesce(F.try_url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), uri), r"\s+", ""))
+
+
+def encoded_path(path: Column) -> Column:
+    """A path with each of its parts percent-encoded."""
+    return F.array_join(F.transform(F.split(path, "/"), lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))), "/")
+
+
+def moved_hosts(urls: Column, host: str, pattern: str) -> Column:
+    """Addresses with what a pattern matches replaced by a host over https, each once and in order."""
+    return F.array_distinct(F.transform(urls, lambda u: F.regexp_replace(u, pattern, f"https://{host}")))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def trigrams(text: Column) -> Column:
-    """The distinct 3-grams of lower-cased words of letters and digits, padded by two spaces before and one behind."""
-    words = F.transform(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    """The distinct 3-grams of lower-cased words of letters and digits of any script, padded by two spaces before and one behind."""
+    words = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     grams = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substr(w, i, F.lit(3))))
     return F.array_distinct(F.flatten(grams))
 
@@ -29,6 +29,17 @@ def contains_any(columns: list[str], part: str) -> Column:
     return reduce(lambda p, q: p | q, [F.coalesce(F.col(c).cast("string"), F.lit("")).ilike(f"%{like_escape(part)}%") for c in columns])
 
 
+def all_of(parts: list[Column | None]) -> Column:
+    """All of some conditions; those that are None aren't asked for."""
+    return reduce(lambda p, q: p & q, [p for p in parts if p is not None], F.lit(True))
+
+
+def in_board(fid: Column, name: Column, fids: list[str] = (), names: list[str] = (), parents: list[str] = (), mark: str = " · ") -> Column:
+    """Whether a row is of one of some boards: by id, by name (a dash counts as the mark), or below one of some parents."""
+    spelled = [n.replace("-", mark) for n in names]
+    return reduce(lambda p, q: p | q, [name.startswith(p + mark) | (name == p) for p in parents], fid.isin(*fids) | name.isin(*spelled))
+
+
 def like_escape(part: str) -> str:
     """A text as a LIKE pattern that matches only itself."""
     return "".join("\\" + c if c in "\\%_" else c for c in part)
@@ -40,12 +51,6 @@ def code_numbers(code: Column) -> tuple[Column, Column]:
     return F.get(numbers, F.lit(0)).try_cast("long"), F.get(numbers, F.lit(1)).try_cast("long")
 
 
-def relevance(text: Column, keywords: list[str], required: set[str]) -> Column:
-    """Weights of the keywords found: 10 for the first, 3 for required ones, 1 for others."""
-    weights = [10 if i == 0 else 3 if k in required else 1 for i, k in enumerate(keywords)]
-    return sum((F.when(text.ilike(f"%{k}%"), w).otherwise(0) for k, w in zip(keywords, weights)), F.lit(0))
-
-
 def size_buckets(size: Column, edges: list[tuple[str, float | None, float | None]]) -> list[Column]:
     """A boolean for each (name, low, high): between both ends, or strictly beyond a single one."""
     out = []
@@ -55,20 +60,42 @@ def size_buckets(size: Column, edges: list[tuple[str, float | None, float | None
     return out
 
 
-def capacity_bytes(text: Column) -> Column:
-    """The largest number with a unit of K, M, G or T (1024-based) in a text, in whole bytes; 0 if none.
+#: Labels of a size field, and numbers before a K that name a resolution.
+SIZE_LABELS = ("影片大小", "影片容量", "资源大小", "資源大小", "文件大小", "檔案大小", "档案大小")
+RESOLUTIONS = (1, 2, 4, 8, 10, 12, 16)
 
-    `4K` and `8K` name a resolution and don't count.
-    """
-    clean = F.regexp_replace(F.upper(text), r"\b[48]K\b", " ")
-    found = F.regexp_extract_all(clean, F.lit(r"([0-9]+(?:\.[0-9]+)?\s*[KMGT])(?:I?B)?(?![A-Z0-9])"), F.lit(1))
 
-    def size(x: Column) -> Column:
-        unit = F.right(x, F.lit(1))
-        factor = F.when(unit == "K", 1024.0).when(unit == "M", 1024.0**2).when(unit == "G", 1024.0**3).otherwise(1024.0**4)
-        return F.floor(F.regexp_extract(x, r"^([0-9.]+)", 1).cast("double") * factor).cast("long")
+def _units(number: Column, unit: Column) -> Column:
+    """A number of K, M, G or T (1024-based) in whole bytes; a resolution counts as 0."""
+    n, u = number.cast("double"), F.upper(F.left(unit, F.lit(1)))
+    factor = F.when(u == "K", 1024.0).when(u == "M", 1024.0**2).when(u == "G", 1024.0**3).otherwise(1024.0**4)
+    return F.when((F.upper(unit) == "K") & n.isin(*map(float, RESOLUTIONS)), 0).otherwise(F.floor(n * factor)).cast("long")
 
-    return F.coalesce(F.array_max(F.transform(found, size)), F.lit(0).cast("long"))
+
+def _largest_size(text: Column) -> Column:
+    """The largest number with a unit in a text; a count of volumes may be written together with it, as in `1V299m`."""
+    clear = F.regexp_replace(text, r"(\d+)\s*[Vv](?=\d)", "$1V ")
+    found = F.regexp_extract_all(clear, F.lit(r"(?i)(?<![A-Za-z0-9.])([0-9]+(?:\.[0-9]+)?\s*[KMGT](?:I?B)?)(?![A-Za-z])"), F.lit(1))
+    sizes = F.transform(found, lambda x: _units(F.regexp_extract(x, r"^([0-9.]+)", 1), F.regexp_extract(x, r"([A-Za-z]+)$", 1)))
+    return F.coalesce(F.array_max(sizes), F.lit(0).cast("long"))
+
+
+def _plain_gigabytes(number: Column) -> Column:
+    """A number without a unit as gigabytes, if it is between 0.05 and 50; else 0."""
+    n = F.nullif(F.regexp_extract(number, r"^\s*([0-9]+(?:\.[0-9]+)?)\s*$", 1), F.lit("")).cast("double")
+    return F.coalesce(F.when(n.between(0.05, 50.0), F.floor(n * 1024.0**3)).cast("long"), F.lit(0).cast("long"))
+
+
+def capacity_bytes(text: Column, labels: tuple[str, ...] = SIZE_LABELS) -> Column:
+    """The size that a text tells, in whole bytes; 0 if none.
+
+    A field `【label】：value` decides if its value has a size, or is a plain number, which counts as gigabytes; then
+    the largest size anywhere; then a plain number behind a kind of file, as in `[MP4/1.59]`.
+    """
+    value = F.regexp_extract(text, r"【\s*(?:" + "|".join(labels) + r")\s*】\s*[:：︰｜|/／·・•‧＝=\-_;；,，〜～﹕→]?\s*(【[^】\n]{1,40}】|\[[^\]\n]{1,40}\]|[^\n【\[]{1,96})", 1)
+    inside = F.regexp_extract(text, r"(?i)\[\s*(?:MP4|MKV|AVI|WMV|MOV|FLV|TS|ISO)\s*/\s*([0-9.]+)\s*\]", 1)
+    ways = [_largest_size(value), _plain_gigabytes(value), _largest_size(text), _plain_gigabytes(inside)]
+    return F.coalesce(*[F.nullif(w, F.lit(0).cast("long")) for w in ways], F.lit(0).cast("long"))
 
 
 def host(url: Column) -> Column:

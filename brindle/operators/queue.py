@@ -88,3 +88,36 @@ def failure_rate(log: DataFrame, key: str, place: str, failed: Column, n: int) -
 def tail(log: DataFrame, id_col: str, since: int, n: int) -> DataFrame:
     """The newest n rows after a cursor."""
     return log.where(F.col(id_col) > since).orderBy(F.desc(id_col)).limit(n)
+
+
+def may_scan(ready: Column, most: int) -> Column:
+    """Whether more may be looked for: only while fewer rows than that wait."""
+    return ready < most
+
+
+def delays(rated: DataFrame, key: str, place: str, rate: str, base: float, least: float, most: float, shrink: float = 0.9, slope: float = 6.0) -> DataFrame:
+    """rated with the delay after each row, which goes down by a factor while nothing fails and follows the failure rate otherwise.
+
+    After a row with failures the delay doesn't depend on what was before. So each row takes that of the last such row
+    (or base) and shrinks it by the number of rows since, down to `least`: two windows, no recursion.
+    """
+    w = Window.partitionBy(key).orderBy(place)
+    failing = F.least(F.lit(most), F.lit(base) * (1 + F.lit(slope) * F.col(rate)))
+    n = F.row_number().over(w)
+    numbered = rated.withColumn("brindle_n", n)
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col(rate) > 0, F.struct(F.col("brindle_n").alias("n"), failing.alias("delay"))), True).over(back)
+    marked = numbered.withColumn("brindle_last", last)
+    since = F.col("brindle_n") - F.coalesce(F.col("brindle_last.n"), F.lit(0))
+    start = F.coalesce(F.col("brindle_last.delay"), F.lit(base))
+    delay = F.when(since == 0, start).otherwise(F.greatest(F.lit(least), start * F.pow(F.lit(shrink), since)))
+    return marked.withColumn("delay", delay).drop("brindle_n", "brindle_last")
+
+
+def stop_at(pages: DataFrame, key: str, page: str, known: Column, content: Column, run: int) -> DataFrame:
+    """(key, stop_at): the first page that ends `run` pages of known rows, or is the same as the one before; null if none."""
+    w = Window.partitionBy(key).orderBy(page)
+    all_known = F.min(known.cast("int")).over(w.rowsBetween(1 - run, 0)) == 1
+    whole = F.row_number().over(w) >= run
+    marked = pages.withColumn("brindle_stop", (all_known & whole) | F.coalesce(F.lag(content).over(w) == content, F.lit(False)))
+    return marked.groupBy(key).agg(F.min(F.when(F.col("brindle_stop"), F.col(page))).alias("stop_at"))

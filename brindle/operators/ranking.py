@@ -13,11 +13,6 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1)
     return df.withColumn("brindle_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("brindle_rn") <= n).drop("brindle_rn")
 
 
-def top1_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, order: list[Column]) -> DataFrame:
-    """Each left row with the best right row of its key, or nulls: a lateral join with a limit of one."""
-    return left.join(top_per_key(right, [right_key], order), left[left_key] == right[right_key], "left")
-
-
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """A page of a total order, with has_more: whether rows follow it."""
     total = df.agg(F.count("*").alias("brindle_total"))
@@ -49,12 +44,23 @@ def nearest_rank(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
     Equal values are counted first, so the running sum goes over distinct values, and only its totals by
     range of values are summed in one task.
     """
+    scratch = Scratch(df.sparkSession, "ranks")
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    part = counts.repartitionByRange(F.col("v")).withColumn("pid", F.spark_partition_id())
+    # written with their part, so that both uses see the same ranges
+    part = scratch.save(counts.repartitionByRange(F.col("v")).withColumn("pid", F.spark_partition_id()))
     before = part.groupBy("pid").agg(F.sum("n").alias("m")).withColumn("base", F.sum("m").over(Window.orderBy("pid")) - F.col("m")).select("pid", "base")
     ends = part.withColumn("upto", F.sum("n").over(Window.partitionBy("pid").orderBy("v"))).join(F.broadcast(before), "pid")
-    total = counts.agg(F.sum("n").alias("total"))
+    total = part.agg(F.sum("n").alias("total"))
     wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
     places = total.select("total", wanted).select("share", F.bround((F.col("total") - 1) * F.col("share"), 0).cast("long").alias("place"))
     at = ends.select("v", (F.col("base") + F.col("upto") - F.col("n")).alias("first"), (F.col("base") + F.col("upto")).alias("last"))
     return at.join(F.broadcast(places), (F.col("place") >= F.col("first")) & (F.col("place") < F.col("last"))).select("share", F.col("v").alias("value"))
+
+
+def spread_plan(df: DataFrame, value: str, shares: list[float], least: int, fallback: tuple[float, float], margin: float) -> tuple[float, float]:
+    """The window (low, high) around the outer of some nearest ranks, widened by a share of its width; fallback if rows are few."""
+    if df.where(F.col(value).isNotNull()).limit(least).count() < least:
+        return fallback
+    found = [float(r["value"]) for r in nearest_rank(df, value, shares).collect()]
+    wide = (max(found) - min(found)) * margin
+    return min(found) - wide, max(found) + wide

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text
-from brindle.operators import merge, ranking
+from brindle.operators import merge, ranking, trees
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,11 +55,9 @@ def j06_three_way(spark, sf_dir):
 @query("""SELECT c_mktsegment, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) AS with_orders,
 count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) AS without_orders FROM customer GROUP BY c_mktsegment""")
 def j09_semi_anti(spark, sf_dir):
-    """Customers with and without orders by segment."""
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    yes = c.join(o, "c_custkey", "left_semi").select("c_mktsegment", F.lit(1).alias("y"), F.lit(0).alias("n"))
-    no = c.join(o, "c_custkey", "left_anti").select("c_mktsegment", F.lit(0).alias("y"), F.lit(1).alias("n"))
-    return yes.union(no).groupBy("c_mktsegment").agg(F.sum("y").alias("with_orders"), F.sum("n").alias("without_orders"))
+    """Customers with and without orders by segment: one join with a flag."""
+    held = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("held", F.lit(True))
+    return table(spark, sf_dir, "customer").join(held, "c_custkey", "left").groupBy("c_mktsegment").agg(F.count_if("held").alias("with_orders"), F.count_if(F.col("held").isNull()).alias("without_orders"))
 
 
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
@@ -82,25 +80,6 @@ def p02_exact(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(text.contains_all(name, ["the", "src1"])).select("doc_id", "source")
 
 
-_SIM = """list_distinct(flatten(list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"""
-
-
-@query(f"""SELECT p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(a || b)), 6) AS sim FROM (
-SELECT p_partkey, {_SIM.format("p_name")} AS a, {_SIM.format("'small steel'")} AS b FROM part) WHERE len(list_intersect(a, b)) / len(list_distinct(a || b)) > 0.15""")
-def p03_fuzzy(spark, sf_dir):
-    """Parts whose name is similar to a keyword by trigrams."""
-    sim = text.similarity(F.col("p_name"), F.lit("small steel"))
-    return table(spark, sf_dir, "part").select("p_partkey", sim.alias("sim")).where("sim > 0.15").withColumn("sim", F.round("sim", 6))
-
-
-@query("""SELECT p_partkey, (CASE WHEN p_name ILIKE '%a%' THEN 10 ELSE 0 END) + (CASE WHEN p_name ILIKE '%e%' THEN 3 ELSE 0 END) + (CASE WHEN p_name ILIKE '%o%' THEN 1 ELSE 0 END) AS score
-FROM part ORDER BY score DESC, p_retailprice DESC, p_partkey LIMIT 50""")
-def t01_relevance(spark, sf_dir):
-    """The fifty parts that match weighted keywords best."""
-    score = text.relevance(F.col("p_name"), ["a", "e", "o"], {"e"})
-    return table(spark, sf_dir, "part").select("p_partkey", score.alias("score"), "p_retailprice").orderBy(F.desc("score"), F.desc("p_retailprice"), "p_partkey").limit(50).select("p_partkey", "score")
-
-
 @query("SELECT count(*) FILTER (WHERE o_totalprice < 50000) AS small, count(*) FILTER (WHERE o_totalprice BETWEEN 50000 AND 150000) AS middle, count(*) FILTER (WHERE o_totalprice BETWEEN 150000 AND 300000) AS large, count(*) FILTER (WHERE o_totalprice > 300000) AS huge FROM orders")
 def p06_buckets(spark, sf_dir):
     """Orders by price bucket; inner buckets hold both of their ends."""
@@ -171,13 +150,13 @@ def a22_nearest_rank(spark, sf_dir):
 
 @query("""SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL AND a.s = 'F' THEN a.p WHEN b.k IS NOT NULL THEN b.p ELSE a.p END AS price,
 CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL AND a.s = 'F' THEN a.s ELSE coalesce(b.s, a.s) END AS status
-FROM (SELECT o_orderkey k, o_totalprice p, o_orderstatus s FROM orders WHERE o_orderkey % 3 <> 0) a
-FULL JOIN (SELECT o_orderkey k, o_totalprice + 1 p, nullif(o_orderstatus, 'O') s FROM orders WHERE o_orderkey % 2 = 0) b ON a.k = b.k""")
+FROM (SELECT o_orderkey k, o_totalprice p, o_orderstatus s FROM orders WHERE o_totalprice > 100000) a
+FULL JOIN (SELECT o_orderkey k, o_totalprice + 1 p, nullif(o_orderstatus, 'O') s FROM orders WHERE o_totalprice <= 250000) b ON a.k = b.k""")
 def k01_merge(spark, sf_dir):
     """An upsert with a guard: rows of status F stay, others take the new price and a status if there is one."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
-    old = o.where("o_orderkey % 3 <> 0")
-    new = o.where("o_orderkey % 2 = 0").select("o_orderkey", (F.col("price") + 1).alias("price"), F.nullif("status", F.lit("O")).alias("status"))
+    old = o.where("price > 100000")
+    new = o.where("price <= 250000").select("o_orderkey", (F.col("price") + 1).alias("price"), F.nullif("status", F.lit("O")).alias("status"))
     return merge.merge(old, new, "o_orderkey", {"price": lambda n, _: n, "status": merge.keep_new}, guard=lambda n, o: o("status") == "F")
 
 
@@ -201,11 +180,19 @@ def x08_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.host(u).alias("host"), text.canonical_url(u).alias("canonical"), text.is_mobile(u).alias("mobile"), text.thread_id(u).alias("tid"), text.short_hash(u).alias("stub"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size > 0 THEN p_size::BIGINT * 1610612736 ELSE 0 END AS bytes FROM part")
+_SPELLED = """CASE p_partkey % 9 WHEN 0 THEN p_size || 'V/' || p_retailprice || 'GB 4K' WHEN 1 THEN '【影片大小】：' || p_size WHEN 2 THEN '1V' || p_size || 'm2配额' WHEN 3 THEN '蓝光4K&1080p' WHEN 4 THEN '【资源大小】：【1V' || p_size || 'm】' || chr(10) || '9TB'
+WHEN 5 THEN '[MP4/' || p_size || '.5] x' WHEN 6 THEN p_name || ' ' || p_size || ' KB, ' || p_retailprice || 'kib' WHEN 7 THEN '8K ' || p_size || '.25T 77GBx' ELSE p_name END"""
+
+
+@query(rf"""WITH t AS (SELECT p_partkey, s, regexp_extract(s, '【(?:影片大小|资源大小)】：(【[^】]+】|[^\n【]+)', 1) AS field FROM (SELECT p_partkey, {_SPELLED} AS s FROM part)),
+f AS (SELECT p_partkey, unnest([1, 3]) AS way, unnest([field, s]) AS v FROM t), n AS (SELECT p_partkey, way, unnest(regexp_extract_all(regexp_replace(v, '(\d+)[Vv](\d)', '\1V \2', 'g'), '(?i)\b[0-9]+(?:\.[0-9]+)?\s*[KMGT](?:I?B)?(?:[^A-Za-z]|$)')) AS m FROM f),
+z AS (SELECT p_partkey, way, CASE WHEN regexp_matches(m, '^[48]K') THEN 0 ELSE floor(regexp_extract(m, '^([0-9.]+)', 1)::DOUBLE * CASE upper(regexp_extract(m, '([A-Za-z])', 1)) WHEN 'K' THEN 1024.0 WHEN 'M' THEN 1048576.0 WHEN 'G' THEN 1073741824.0 ELSE 1099511627776.0 END)::BIGINT END AS b FROM n),
+w AS (SELECT p_partkey, max(b) FILTER (WHERE way = 1) AS a, max(b) FILTER (WHERE way = 3) AS c FROM z GROUP BY p_partkey),
+g AS (SELECT p_partkey, TRY_CAST(nullif(field, '') AS DOUBLE) AS d, TRY_CAST(nullif(regexp_extract(s, '\[MP4/([0-9.]+)\]', 1), '') AS DOUBLE) AS e FROM t)
+SELECT p_partkey, coalesce(nullif(a, 0), CASE WHEN d BETWEEN 0.05 AND 50 THEN floor(d * 1073741824)::BIGINT END, nullif(c, 0), CASE WHEN e BETWEEN 0.05 AND 50 THEN floor(e * 1073741824)::BIGINT END, 0) AS bytes FROM g LEFT JOIN w USING (p_partkey)""")
 def x64_capacity(spark, sf_dir):
-    """Sizes read from texts like `12V/12.5GB 4K`; the SQL has them by arithmetic."""
-    spelled = F.concat(F.col("p_size").cast("string"), F.lit("V/"), (F.col("p_size") * 1.5).cast("string"), F.lit("GB 4K"))
-    return table(spark, sf_dir, "part").select("p_partkey", text.capacity_bytes(spelled).alias("bytes"))
+    """Sizes read from texts of nine shapes; the SQL reads the same texts."""
+    return table(spark, sf_dir, "part").withColumn("s", F.expr(_SPELLED)).select("p_partkey", text.capacity_bytes(F.col("s")).alias("bytes"))
 
 
 @query("""SELECT event_type, count(*) AS n, max(c) AS busiest FROM (SELECT event_type, count(*) OVER (PARTITION BY event_type ORDER BY epoch(ts) RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS c
@@ -217,19 +204,22 @@ def a21_rate(spark, sf_dir):
     return per.withColumn("c", F.sum("n").over(w)).groupBy("event_type").agg(F.sum("n").alias("n"), F.max("c").alias("busiest"))
 
 
-@query("""WITH RECURSIVE t AS (SELECT 'r' || r_regionkey AS id, NULL::VARCHAR AS parent, 0 AS level FROM region UNION ALL
-SELECT c.id, c.parent, t.level + 1 FROM t JOIN (SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer) c ON c.parent = t.id)
-SELECT level, count(*) AS n FROM t GROUP BY level""")
+_NODES = """SELECT 'r' || r_regionkey AS id, CASE WHEN r_regionkey = 0 THEN 'n0' END AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'n' || c_nationkey ELSE 'c' || (c_custkey // 3) END FROM customer"""
+
+
+@query(f"""WITH RECURSIVE nodes AS ({_NODES}), t AS (SELECT id, id AS top, 0 AS up FROM nodes UNION SELECT t.id, n.parent, up + 1 FROM t JOIN nodes n ON n.id = t.top WHERE n.parent IS NOT NULL AND up < 40),
+m AS (SELECT id, top, min(up) AS up FROM t GROUP BY id, top) SELECT id, count(*) - 1 AS ancestors, (SELECT count(*) - 1 FROM m d WHERE d.top = m.id) AS descendants FROM m GROUP BY id""")
 def x80_tree(spark, sf_dir):
-    """Nodes by level of the tree of regions, nations and customers."""
-    kids = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
-    kids = kids.union(table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey")))
-    level = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("parent"))
-    out = level.agg(F.lit(0).alias("level"), F.count("*").alias("n"))
-    for k in (1, 2):
-        level = kids.join(level, "parent", "left_semi").select(F.col("id").alias("parent"))
-        out = out.union(level.agg(F.lit(k).alias("level"), F.count("*").alias("n")))
-    return out
+    """How many ancestors and descendants each node has, in a forest with a cycle (region 0 is below nation 0, which is in it if it is)."""
+    name = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    nodes = table(spark, sf_dir, "region").select(name("r", "r_regionkey").alias("id"), F.when(F.col("r_regionkey") == 0, "n0").alias("parent"))
+    nodes = nodes.union(table(spark, sf_dir, "nation").select(name("n", "n_nationkey"), name("r", "n_regionkey")))
+    up = F.when(F.col("c_custkey") % 3 == 0, name("n", "c_nationkey")).otherwise(F.concat(F.lit("c"), F.floor(F.col("c_custkey") / 3).cast("string")))
+    nodes = nodes.union(table(spark, sf_dir, "customer").select(name("c", "c_custkey"), up))
+    pairs = trees.ancestors(nodes, "id", "parent")
+    below = pairs.groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("descendants"))
+    return pairs.groupBy("id").agg(F.count("*").alias("ancestors")).join(below, "id", "full").join(nodes.select("id"), "id", "right").select("id", F.coalesce("ancestors", F.lit(0)).alias("ancestors"), F.coalesce("descendants", F.lit(0)).alias("descendants"))
 
 
 @query("SELECT o_orderkey, array_position(['1-URGENT', '2-HIGH', '3-MEDIUM'], o_orderpriority) AS place FROM orders ORDER BY coalesce(array_position(['1-URGENT', '2-HIGH', '3-MEDIUM'], o_orderpriority), 99), o_orderdate, o_orderkey LIMIT 100")

@@ -53,12 +53,13 @@ def g17_by_name(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(key.alias("name_key")).agg(F.min_by(F.concat_ws(" ", "p_name", "p_brand"), "p_partkey").alias("display"), F.count("*").alias("n"))
 
 
-@query("""WITH n AS (SELECT DISTINCT c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN left(c_name, 17) ELSE c_name END AS name FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 10 = 1),
-m AS (SELECT a.c_mktsegment, a.name, min(b.name) AS longer FROM n a JOIN n b ON a.c_mktsegment = b.c_mktsegment AND starts_with(b.name, a.name) AND length(b.name) > length(a.name) GROUP BY ALL HAVING count(*) = 1)
+@query("""WITH n AS (SELECT DISTINCT c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN left(c_name, 17) ELSE c_name END AS name FROM customer),
+p AS (SELECT c_mktsegment, name, left(name, i) AS start FROM n CROSS JOIN range(4, 18) r(i) WHERE i < length(name)),
+m AS (SELECT n.c_mktsegment, n.name, min(p.name) AS longer FROM n JOIN p ON n.c_mktsegment = p.c_mktsegment AND n.name = p.start GROUP BY ALL HAVING count(*) = 1)
 SELECT n.c_mktsegment, n.name, coalesce(longer, n.name) AS kept_name FROM n LEFT JOIN m ON n.c_mktsegment = m.c_mktsegment AND n.name = m.name""")
 def g18_truncated(spark, sf_dir):
-    """Names cut short, joined with the one longer name they start."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0 or c_custkey % 10 = 1")
+    """Names of all customers, some cut short, joined with the one longer name they start."""
+    c = table(spark, sf_dir, "customer")
     return threads.merge_truncated(c.select("c_mktsegment", F.when(F.col("c_custkey") % 7 == 0, F.left("c_name", F.lit(17))).otherwise(F.col("c_name")).alias("name")), "c_mktsegment", "name")
 
 
@@ -165,12 +166,12 @@ def j12_update_from(spark, sf_dir):
 
 @query("""SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL AND a.u <> '' AND b.u <> '' AND a.u <> b.u THEN a.u ELSE coalesce(b.u, a.u) END AS u,
 CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL AND a.u <> '' AND b.u <> '' AND a.u <> b.u THEN a.t WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN coalesce(nullif(b.t, ''), a.t) ELSE coalesce(b.t, a.t) END AS t
-FROM (SELECT o_orderkey k, o_orderpriority u, o_orderstatus t FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT o_orderkey k, CASE o_orderkey % 4 WHEN 0 THEN '' ELSE '1-URGENT' END u, CASE o_orderkey % 5 WHEN 0 THEN '' ELSE 'N' END t FROM orders WHERE o_orderkey % 2 = 0) b ON a.k = b.k""")
+FROM (SELECT o_orderkey k, o_orderpriority u, o_orderstatus t FROM orders WHERE o_totalprice > 100000) a FULL JOIN (SELECT o_orderkey k, CASE o_orderkey % 4 WHEN 0 THEN '' ELSE '1-URGENT' END u, CASE o_orderkey % 5 WHEN 0 THEN '' ELSE 'N' END t FROM orders WHERE o_totalprice <= 250000) b ON a.k = b.k""")
 def k02_owned_merge(spark, sf_dir):
     """A merge in which a row stays as it is if both name different owners."""
     o = table(spark, sf_dir, "orders")
-    old = o.where("o_orderkey % 3 <> 0").selectExpr("o_orderkey k", "o_orderpriority u", "o_orderstatus t")
-    new = o.where("o_orderkey % 2 = 0").selectExpr("o_orderkey k", "case o_orderkey % 4 when 0 then '' else '1-URGENT' end u", "case o_orderkey % 5 when 0 then '' else 'N' end t")
+    old = o.where("o_totalprice > 100000").selectExpr("o_orderkey k", "o_orderpriority u", "o_orderstatus t")
+    new = o.where("o_totalprice <= 250000").selectExpr("o_orderkey k", "case o_orderkey % 4 when 0 then '' else '1-URGENT' end u", "case o_orderkey % 5 when 0 then '' else 'N' end t")
     return merge.merge(old, new, "k", {"u": merge.keep_new, "t": merge.keep_filled}, merge.other_owner("u"))
 
 
@@ -244,10 +245,12 @@ def k21_reclaim(spark, sf_dir):
     return queue.reclaim(q, F.to_timestamp(F.lit("2024-01-05 00:00:00")), 600, "ts").select("event_id", "status")
 
 
-@query("""SELECT user_id, max(event_id) FILTER (WHERE event_type = 'error') AS event_id FROM events WHERE event_id % 40 < 3 GROUP BY user_id HAVING NOT bool_or(event_type IN ('view', 'click')) AND count(*) FILTER (WHERE event_type = 'error') > 0""")
+@query("""SELECT code, max(event_id) FILTER (WHERE event_type = 'error') AS event_id FROM (SELECT *, user_id || '/' || floor(value / 20)::INT AS code FROM events) GROUP BY code HAVING NOT bool_or(event_type IN ('view', 'click')) AND count(*) FILTER (WHERE event_type = 'error') > 0""")
 def k22_retry_failed(spark, sf_dir):
+    """The latest failed row of each user and range of values that has none waiting."""
     status = F.expr("case event_type when 'view' then 'pending' when 'click' then 'running' else event_type end")
-    return queue.retryable(table(spark, sf_dir, "events").where("event_id % 40 < 3").withColumn("status", status), "user_id", "event_id")
+    code = F.concat_ws("/", "user_id", F.floor(F.col("value") / 20).cast("int"))
+    return queue.retryable(table(spark, sf_dir, "events").withColumns({"status": status, "code": code}), "code", "event_id")
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id >= (SELECT min(event_id) FROM (SELECT event_id FROM events ORDER BY event_id DESC LIMIT 501))")
@@ -316,9 +319,8 @@ def t09_code_order(spark, sf_dir):
 @query("""SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 ELSE 1 END, ts DESC, event_id) AS rn FROM events) WHERE rn > 1""")
 def w01_duplicates(spark, sf_dir):
     """Rows that a deletion of all but the best of each user takes."""
-    e = table(spark, sf_dir, "events")
-    best = ranking.top_per_key(e, ["user_id"], [F.when(F.col("event_type") == "purchase", 0).otherwise(1), F.desc("ts"), F.col("event_id")]).select("event_id")
-    return e.select("user_id", "event_id").join(best, "event_id", "left_anti").select("user_id", "event_id")
+    order = Window.partitionBy("user_id").orderBy(F.when(F.col("event_type") == "purchase", 0).otherwise(1), F.desc("ts"), "event_id")
+    return table(spark, sf_dir, "events").withColumn("rn", F.row_number().over(order)).where("rn > 1").select("user_id", "event_id")
 
 
 @query("""WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day, event_type FROM events), s AS (SELECT user_id, day, string_agg(event_type, ',' ORDER BY event_type) AS kinds FROM d GROUP BY ALL)
@@ -345,8 +347,15 @@ def z11_daily_left(spark, sf_dir):
     return queue.daily_left(table(spark, sf_dir, "events"), "user_id", "ts", 3)
 
 
-@query("SELECT range AS o_custkey FROM range(1, 401) WHERE range NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+@query("SELECT 150 AS n, 150 AS different, 0 AS excluded, true AS within, true AS same UNION ALL SELECT (SELECT count(*) FROM range(1, 401) WHERE range NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)), (SELECT count(*) FROM range(1, 401) WHERE range NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)), 0, true, true")
 def x75_sample(spark, sf_dir):
-    """A sample as large as its range: all ids from 1 to 400 but the excluded ones."""
-    held = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    return sampling.sample_ids(held, "o_custkey", 1, 400, 400)
+    """What holds of two samples of ids: their size, that ids differ, that none is excluded, their range, and that they come again."""
+    held, out = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("o_custkey")), None
+    for high, n in ((100000, 150), (400, 400)):
+        drawn, again = (sampling.sample_ids(held, "o_custkey", 1, high, n) for _ in range(2))
+        facts = drawn.agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("different"), F.bool_and(F.col("o_custkey").between(1, high)).alias("within"))
+        hit = drawn.join(held, "o_custkey", "left_semi").agg(F.count("*").alias("excluded"))
+        same = drawn.join(again, "o_custkey", "left_anti").agg((F.count("*") == 0).alias("same"))
+        row = facts.crossJoin(hit).crossJoin(same).select("n", "different", "excluded", "within", "same")
+        out = row if out is None else out.union(row)
+    return out

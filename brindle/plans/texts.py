@@ -122,14 +122,14 @@ def x45_highlight(spark, sf_dir):
 def x46_file_links(spark, sf_dir):
     """File links found in a text that has each twice."""
     found = F.explode(links.ed2k_links(F.concat("link", F.lit(" and "), "link"))).alias("x")
-    return _parts(spark, sf_dir).where("p_partkey % 4 = 1").select("p_partkey", found).select("p_partkey", "x.name", "x.size", "x.hash")
+    return _parts(spark, sf_dir).select("p_partkey", found).select("p_partkey", "x.name", "x.size", "x.hash")
 
 
 @query("SELECT p_partkey, upper(sha1(p_name)) AS hash, 'a ' || p_size AS name, p_size::BIGINT AS size FROM part WHERE p_partkey % 4 = 0")
 def x47_magnets(spark, sf_dir):
     """Magnet links found in a text, the first of each hash."""
     linked = F.concat(F.lit("see "), "link", F.lit("&dn=a%20"), F.col("p_size").cast("string"), F.lit("&xl="), F.col("p_size").cast("string"), F.lit(" or "), "link")
-    return _parts(spark, sf_dir).where("p_partkey % 4 = 0").select("p_partkey", F.explode(links.magnet_links(linked)).alias("x")).select("p_partkey", "x.hash", "x.name", "x.size")
+    return _parts(spark, sf_dir).select("p_partkey", F.explode(links.magnet_links(linked)).alias("x")).select("p_partkey", "x.hash", "x.name", "x.size")
 
 
 @query("""SELECT p_partkey, 'size=' || p_size || ';name=' || p_name || ';note=' || p_type AS lines FROM part""")
@@ -196,15 +196,3 @@ def t10_image_order(spark, sf_dir):
     """Images in the order of their hosts, cut after two."""
     images = F.split(F.when(F.col("p_partkey") % 2 == 0, "https://c.example/0 https://a.example/2 https://b.example/1").otherwise("https://c.example/0 https://a.example/2 https://a.example/2"), " ")
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(links.by_host(images, ["b.example", "a.example"], 2), " ").alias("images"))
-
-
-@query("SELECT doc_id FROM documents WHERE text ILIKE '%the%'")
-def p04_smart(spark, sf_dir):
-    """Of a keyword search only the required words decide."""
-    return table(spark, sf_dir, "documents").where(text.contains_all(F.col("text"), ["the"])).select("doc_id")
-
-
-@query()
-def x02_word_similarity(spark, sf_dir):
-    """How well a word fits into names; the extents of names can't be told in SQL."""
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(clean.word_similarity(F.lit("widgets"), F.col("p_name")), 6).alias("sim"))

@@ -10,11 +10,6 @@ def test_similarity(spark):
     assert row["s"] == pytest.approx(0.4) and row["n"] == 8
 
 
-@pytest.mark.parametrize("spelled, size", [("66.7GB", int(66.7 * 1024**3)), ("13V 66.7GB", int(66.7 * 1024**3)), ("635V/1.3TB", int(1.3 * 1024**4)), ("3V/542M", 542 * 1024**2), ("4K", 0), ("8K HDR", 0), ("512KB", 512 * 1024)])
-def test_capacity(spark, spelled, size):
-    assert spark.createDataFrame([(spelled,)], "t string").select(text.capacity_bytes(F.col("t"))).first()[0] == size
-
-
 def test_nearest_rank(spark):
     df = spark.createDataFrame([(100000 + 2000 * i,) for i in range(51)], "v long")
     assert {round(r["share"], 1): r["value"] for r in ranking.nearest_rank(df, "v", [0.1, 0.5, 0.9]).collect()} == {0.1: 110000, 0.5: 150000, 0.9: 190000}
