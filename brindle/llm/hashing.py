@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _PRIME = 0x9E3779B97F4A7C15 | 1
@@ -41,10 +43,12 @@ def word_buckets(text: str | None, bits: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def gram_buckets(text: str, bits: int, size: int = 3) -> np.ndarray:
-    """The bucket of each run of `size` bytes of a lower-cased text."""
-    x = np.frombuffer((" " + text.lower() + " ").encode(), np.uint8).astype(np.uint64)
-    h = np.zeros(max(0, len(x) - size + 1), np.uint64)
-    for k in range(size):
-        h = h * np.uint64(_PRIME) + x[k : k + len(h)] + np.uint64(1)
-    return _mix(h, bits)
+def gram_buckets(text: str, bits: int, size: int = 3) -> Iterator[np.ndarray]:
+    """The bucket of each run of `size` bytes of a lower-cased text between two spaces, a stretch at a time."""
+    raw = (" " + text.lower() + " ").encode()
+    for at in range(0, max(1, len(raw) - size + 1), _CHUNK):
+        x = np.frombuffer(raw[at : at + _CHUNK + size - 1], np.uint8).astype(np.uint64)
+        h = np.zeros(max(0, len(x) - size + 1), np.uint64)
+        for k in range(size):
+            h = h * np.uint64(_PRIME) + x[k : k + len(h)] + np.uint64(1)
+        yield _mix(h, bits)
