@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,34 +13,59 @@ from pyspark.sql import functions as F
 from brindle.llm import gbt
 from brindle.session import Scratch, ship
 
-#: Labelled rows that the trees are fitted on, at most; chosen by a hash of the id.
+#: Labelled documents that the trees are fitted on, about and at most twice as many; chosen by a hash of the id.
 TRAINING_ROWS = 20_000
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
+#: Bytes of a text that are split at once.
+STRETCH = 1 << 20
+NEXT_SPACE, LINE = re.compile(rb"[ \t\n\x0b\x0c\r]"), re.compile("[^\n]+")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines", "n_digits", "longest")
 #: Features of the trees and the sign of each: more symbols or repeats never make a text better.
 FEATURES = {"log_words": 0, "mean_word": 0, "symbols": -1, "dup_lines": -1, "repeats": -1, "distinct": 0, "digits": 0, "longest": 0}
 KEEP = 0.5
 
 
+def _words(raw: bytes) -> Iterator[bytes]:
+    """The words of UTF-8 bytes; those of a long text are cut out a stretch at a time."""
+    at, n = 0, len(raw)
+    while at < n:
+        end = min(n, at + STRETCH)
+        if end < n:
+            space = NEXT_SPACE.search(raw, end)
+            end = space.start() if space else n
+        yield from raw[at:end].split()
+        at = end
+
+
+def _repeated(ids: np.ndarray, kinds: int) -> int:
+    """How many places lie in runs of three that occur at least twice; ids are numbers of words below kinds."""
+    if len(ids) < 4:
+        return 0
+    _, pair = np.unique(ids[:-1] * kinds + ids[1:], return_inverse=True)
+    _, which, seen = np.unique(pair[:-1] * kinds + ids[2:], return_inverse=True, return_counts=True)
+    at = np.flatnonzero(seen[which] > 1)
+    marked = np.zeros(len(ids), bool)
+    for k in range(3):
+        marked[at + k] = True
+    return int(marked.sum())
+
+
 def statistics(text: str | None) -> tuple[int, ...]:
-    """COUNTS of a text. Words are runs of what isn't one of SPACES."""
+    """COUNTS of a text. Words are runs of what isn't one of SPACES.
+
+    Of a long text the distinct words and lines are held, and a few numbers for each word.
+    """
     text = text or ""
-    words = text.encode().split()
-    n = len(words)
-    repeats = 0
-    if n > 2:
-        windows = list(zip(words, words[1:], words[2:]))
-        if len(set(windows)) < len(windows):
-            seen = Counter(windows)
-            marked = np.zeros(n, bool)
-            at = np.array([i for i, w in enumerate(windows) if seen[w] > 1])
-            for k in range(3):
-                marked[at + k] = True
-            repeats = int(marked.sum())
-    lines = [x for x in text.split("\n") if x.strip(SPACES)]
+    place: dict[bytes, int] = {}
+    ids = np.fromiter((place.setdefault(w, len(place)) for w in _words(text.encode())), np.int64)
+    n, lines, distinct = len(ids), 0, set()
+    for m in LINE.finditer(text):
+        if m[0].strip(SPACES):
+            lines += 1
+            distinct.add(m[0])
     digits = sum(map(text.count, "0123456789"))
-    return n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeats, len(set(words)), len(lines), digits, max(map(len, words), default=0)
+    return n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), lines - len(distinct), _repeated(ids, len(place)), len(place), lines, digits, max(map(len, place), default=0)
 
 
 def features(counts: np.ndarray) -> np.ndarray:
@@ -63,11 +88,19 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def train(stats: DataFrame, labels: DataFrame) -> gbt.Trees:
-    """Trees for labels.quality, fitted on at most TRAINING_ROWS labelled rows."""
-    known = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality"))
-    rows = known.join(stats, "id").orderBy(F.xxhash64("id"), "id", "quality", *COUNTS).limit(TRAINING_ROWS).select("quality", *COUNTS).collect()
-    data = np.array([tuple(r) for r in rows], float).reshape(-1, 1 + len(COUNTS))
-    return gbt.fit(features(data[:, 1:]), data[:, 0], tuple(FEATURES.values()))
+    """Trees for labels.quality, fitted on a sample of labelled documents: all of them up to TRAINING_ROWS, else about as many.
+
+    Documents are taken by a hash of the id, whose rate follows from their number, so that no task sends more
+    than its share. Several labels of an id count as 0 if any is.
+    """
+    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("int").alias("quality"))
+    n = known.count()
+    rate = min(1.0, TRAINING_ROWS / max(1, n))
+    sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    rows = sample.join(stats, "id").select("id", "quality", *COUNTS).distinct().toArrow()
+    order = np.lexsort([rows.column(c).to_numpy() for c in reversed(rows.column_names)])
+    counts = np.column_stack([rows.column(c).to_numpy()[order] for c in COUNTS]) if len(order) else np.zeros((0, len(COUNTS)))
+    return gbt.fit(features(counts), rows.column("quality").to_numpy()[order].astype(float), tuple(FEATURES.values()))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,7 +109,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     base_failed: fewer than 50 words, or more than half of them in 3-word windows that the text has
     twice. Others are kept if the trees give them at least KEEP. Null texts have no words. Without
     labels of both classes the rules alone decide. Repeated rows and null ids stay; an empty table
-    gives no rows. Texts are read once: their statistics are written, then used to train and score.
+    gives no rows. Other columns are ignored. Texts are read once: their statistics are written, then
+    used to train and score.
     """
     spark = docs.sparkSession
     stats = Scratch(spark, "quality").save(document_statistics(docs, id_col, text_col))
