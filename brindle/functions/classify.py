@@ -159,3 +159,17 @@ def has_odd_hash(link: Column) -> Column:
 def archive_name(name: Column) -> Column:
     """Whether a name is that of an archive."""
     return F.coalesce(name, F.lit("")).rlike(r"(?i)\.(zip|rar|7z|tar|gz|bz2|xz|iso)(\.\d{3}|\.part\d+)?$|\.part\d+\.rar$")
+
+
+def verdict(gates: list[tuple[str, str, Column]], outcome: str, reason: str) -> Column:
+    """(outcome, reason) of the first (outcome, reason, condition) whose condition holds, else the given ones."""
+    out = F
+    for o, r, c in gates:
+        out = out.when(c, F.struct(F.lit(o).alias("outcome"), F.lit(r).alias("reason")))
+    return out.otherwise(F.struct(F.lit(outcome).alias("outcome"), F.lit(reason).alias("reason")))
+
+
+def resolved_name(names: list[Column], hash_: Column, technical: str, title: Column | None = None) -> Column:
+    """The first name that is neither weak nor made by a device, else the beginning of the hash."""
+    none = F.lit("") if title is None else title
+    return F.coalesce(*[F.when(n.isNotNull() & ~is_weak_name(n, none, hash_) & ~n.rlike(technical), F.btrim(n)) for n in names], F.left(hash_, F.lit(8)))

@@ -210,3 +210,44 @@ def soft_cut(text: Column, most: int, separators: str = " ") -> Column:
     head = F.left(text, F.lit(most))
     at = F.regexp_extract(head, f"(?s)^(.*)[{separators}]", 1)
     return F.when(F.length(text) <= most, text).otherwise(F.rtrim(F.when(at != "", at).otherwise(head)))
+
+
+def repaired(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """A text after some replacements (regular expression, replacement), one after the other, trimmed."""
+    for pattern, to in rules:
+        text = F.regexp_replace(text, pattern, to)
+    return F.btrim(text)
+
+
+def spans(text: Column, label: str) -> Column:
+    """The places of a plain label in a text as an array of (start, end), from 0."""
+    parts = F.split(text, _quoted(label))
+    ends = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    lengths = F.transform(ends, lambda p: F.length(p))
+    starts = F.transform(lengths, lambda n, i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x) + i * len(label))
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), (s + len(label)).alias("end")))
+
+
+def _quoted(label: str) -> str:
+    import re
+
+    return re.escape(label)
+
+
+def short_bytes(size: Column) -> Column:
+    """One digit after the point in the largest unit that fits, from KB to GB."""
+    units = ((1024.0**3, "GB"), (1024.0**2, "MB"))
+    out = F
+    for factor, unit in units:
+        out = out.when(size >= factor, F.concat(F.round(size / factor, 1).cast("string"), F.lit(f" {unit}")))
+    return out.otherwise(F.concat(F.round(size / 1024.0, 1).cast("string"), F.lit(" KB")))
+
+
+def size_aligned(total: Column, told: Column, share: float) -> Column:
+    """Whether a sum of sizes is off what is told by at most a share of it."""
+    return F.abs(total - told) <= told * share
+
+
+def size_echoes(size: Column, told: Column, share: float, least: float) -> Column:
+    """Whether a single size is that of the whole, within a share or a least amount."""
+    return F.abs(size - told) <= F.greatest(told * share, F.lit(float(least)))

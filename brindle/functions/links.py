@@ -97,6 +97,12 @@ def largest(links: Column) -> Column:
     return F.get(F.array_sort(F.transform(links, lambda x, i: F.struct((-x["size"]).alias("s"), i.alias("i"), x.alias("x")))), F.lit(0))["x"]
 
 
+def primary(links: Column, archive: str = r"(?i)\.(zip|rar|7z)(\.\d{3})?$") -> Column:
+    """The main one of an array of links (name, size): the largest archive, else the largest, else the first."""
+    ranked = F.transform(links, lambda x, i: F.struct((~x["name"].rlike(archive)).alias("a"), (-x["size"]).alias("s"), i.alias("i"), x.alias("x")))
+    return F.get(F.array_sort(ranked), F.lit(0))["x"]
+
+
 def codes(text: Column, prefix: str) -> Column:
     """The distinct codes of a prefix, dash and number in a text, in order and in upper case."""
     return F.array_distinct(F.transform(F.regexp_extract_all(F.upper(text), F.lit(rf"(?<![A-Z0-9])({prefix.upper()}-?[0-9]{{2,6}})(?![0-9])"), F.lit(1)), lambda c: F.regexp_replace(c, "^([A-Z]+)-?", "$1-")))

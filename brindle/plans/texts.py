@@ -196,3 +196,54 @@ def t10_image_order(spark, sf_dir):
     """Images in the order of their hosts, cut after two."""
     images = F.split(F.when(F.col("p_partkey") % 2 == 0, "https://c.example/0 https://a.example/2 https://b.example/1").otherwise("https://c.example/0 https://a.example/2 https://a.example/2"), " ")
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(links.by_host(images, ["b.example", "a.example"], 2), " ").alias("images"))
+
+
+@query("SELECT p_partkey, '影片' || p_size || ' 名称 a b' AS joined, p_size::VARCHAR || ' x' AS kept FROM part")
+def x35_joined_han(spark, sf_dir):
+    """Han characters that were set apart come together; other words stay apart."""
+    size = F.col("p_size").cast("string")
+    return table(spark, sf_dir, "part").select("p_partkey", clean.join_spaced_han(F.concat(F.lit("影 · 片"), size, F.lit(" 名 . 称 a b"))).alias("joined"), clean.join_spaced_han(F.concat(size, F.lit(" x"))).alias("kept"))
+
+
+@query("SELECT page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS title FROM pages")
+def x38_titles(spark, sf_dir):
+    """Titles of pages without what the site puts behind them."""
+    shown = clean.html_text(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    return table(spark, sf_dir, "pages").select("page_id", clean.repaired(F.concat(shown, F.lit(" - Some Site - Powered")), [(r"( - Some Site| - Powered)+$", "")]).alias("title"))
+
+
+@query("SELECT page_id, unnest(range(1, n + 1)) AS place, 1 AS one FROM (SELECT page_id, len(regexp_extract_all(html, '<p>'))::BIGINT AS n FROM pages)")
+def x55_spans(spark, sf_dir):
+    """Places of a label in pages, in order; each begins where the label does."""
+    spans = clean.spans(F.col("html"), "<p>")
+    found = table(spark, sf_dir, "pages").select("page_id", "html", F.posexplode(spans).alias("i", "s"))
+    return found.select("page_id", (F.col("i") + 1).cast("long").alias("place"), (F.substr("html", F.col("s.start") + 1, F.lit(3)) == "<p>").cast("int").alias("one"))
+
+
+@query("SELECT c_custkey, CASE WHEN n >= 1048576 THEN round(n / 1048576.0::DOUBLE, 1) || ' MB' ELSE round(n / 1024.0::DOUBLE, 1) || ' KB' END AS short FROM (SELECT c_custkey, c_custkey * c_custkey * 37 + 1024 AS n FROM customer)")
+def x66_short_bytes(spark, sf_dir):
+    """Sizes with one digit after the point."""
+    n = F.col("c_custkey") * F.col("c_custkey") * 37 + 1024
+    return table(spark, sf_dir, "customer").select("c_custkey", clean.short_bytes(n).alias("short"))
+
+
+@query("SELECT l_orderkey, abs(sum(l_quantity) - 100) <= 15 AS aligned, max(l_quantity) >= 50 - 2.5 AND max(l_quantity) <= 50 + 2.5 AS echo FROM lineitem GROUP BY l_orderkey")
+def x73_capacity(spark, sf_dir):
+    """Sums of sizes near a total, and sizes that repeat one."""
+    per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("s"), F.max("l_quantity").alias("m"))
+    return per.select("l_orderkey", clean.size_aligned(F.col("s"), F.lit(100), 0.15).alias("aligned"), clean.size_echoes(F.col("m"), F.lit(50.0), 0.05, 0).alias("echo"))
+
+
+@query("SELECT event_id FROM events WHERE list_contains(['e', event_type], 'view') OR event_type ILIKE '%sign%'")
+def p24_array_pattern(spark, sf_dir):
+    """Rows of which an element of an array matches a pattern."""
+    names = F.when(F.col("event_id") >= 0, F.array(F.lit("e"), "event_type"))
+    hit = F.exists(F.coalesce(names, F.array().cast("array<string>")), lambda x: x.ilike("view") | x.ilike("%SIGN%"))
+    return table(spark, sf_dir, "events").where(hit).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('view', 'click') AND (user_id = 12 OR event_type ILIKE '%12%' OR user_id::VARCHAR LIKE '%12%')")
+def p22_probes(spark, sf_dir):
+    """Rows of some outcomes whose number or title holds a text."""
+    e = table(spark, sf_dir, "events")
+    return e.where(F.col("event_type").isin("view", "click") & text.contains_any(["user_id", "event_type"], "12")).select("event_id")

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.session import Scratch
+
 #: One literal of a VALUES row, and one row, in which a call may have its own brackets; possessive, so long texts don't recurse.
 _QUOTED = r"'(?:[^']++|'')*+'"
 _CALL = rf"\((?:[^'()]++|{_QUOTED})*+\)"
@@ -186,7 +188,8 @@ def rows_in(text: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     begun = per_file.select("file", F.explode(F.aggregate("blocks", F.struct(nothing.alias("now"), empty.alias("all")), onward, lambda acc: acc["all"])).alias("b"))
     # one row a block; lines keep their order, as no shuffle may come between
     known = text.join(F.broadcast(begun.select("file", "b.block", "b.open.*")), ["file", "block"])
-    at = known.select("file", "block", "pos", "line", "state", "head", "hblock", "hpos").mapInArrow(_labelled, "file string, block long, pos long, kind string, head string, hblock long, hpos long, line string")
+    marked = known.select("file", "block", "pos", "line", "state", "head", "hblock", "hpos").mapInArrow(_labelled, "file string, block long, pos long, kind string, head string, hblock long, hpos long, line string")
+    at = Scratch(text.sparkSession, "backup").save(marked)  # so that files are read twice, however often their rows are used
     name = F.regexp_replace(F.regexp_extract("head", r'(?i)^\s*(?:COPY|INSERT\s+INTO)\s+([^\s(]+)', 1), r'^.*\.|"', "")
     columns = lambda c: F.transform(F.split(F.regexp_extract(c, r"^[^(]*\(([^)]*)\)", 1), ","), lambda x: F.regexp_replace(F.btrim(x), '"', ""))
     place = F.struct(F.col("block"), F.col("pos"), F.lit(0).alias("i"))
