@@ -68,6 +68,14 @@ def is_private_host(host: Column) -> Column:
     return host.rlike(r"^(localhost|127\.\d+\.\d+\.\d+|0\.0\.0\.0|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|169\.254\.\d+\.\d+|172\.(1[6-9]|2\d|3[01])\.\d+\.\d+)$|\.(local|internal)$")
 
 
+def is_allowed(url: Column, hosts: list[str], barred: str | None = None) -> Column:
+    """Whether an address over http is of one of some hosts or below one, not private, and has no barred path."""
+    host = F.lower(F.regexp_extract(url, r"(?i)^https?://([^/?#:@]+)", 1))
+    listed = F.exists(F.array(*[F.lit(h) for h in hosts]), lambda h: (host == h) | host.endswith(F.concat(F.lit("."), h)))
+    path = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*(/[^?#]*)", 1)
+    return (host != "") & listed & ~is_private_host(host) & (~path.rlike(barred) if barred else F.lit(True))
+
+
 def ed2k_links(text: Column) -> Column:
     """The file links of a text, each once and in order: array of (uri, name, size, hash); sizes over 32 TiB count as 0."""
     uris = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)(ed2k://\|file\|[^|\r\n]+\|\d+\|[0-9a-f]{32}\|)"), F.lit(1)))

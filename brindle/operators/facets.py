@@ -34,3 +34,10 @@ def judge_names(rows: DataFrame, key: str, name: str, place: str) -> DataFrame:
     marked = rows.select(key, name, (F.col(name) == before).alias("same"))
     blank = F.coalesce(F.btrim(name), F.lit("")) == ""
     return marked.groupBy(key).agg(F.count("*").alias("n_rows"), F.countDistinct(name).alias("n_names"), F.count_if("same").alias("n_same"), (F.count_if(blank) / F.count("*")).alias("empty_share"))
+
+
+def name_issues(judged: DataFrame, least_names: float, most_same: float, most_empty: float) -> DataFrame:
+    """judge_names() with `issues`: few different names, many runs of equal ones, many without one, each as a share of the rows."""
+    n = F.col("n_rows")
+    found = [F.when(F.col("n_names") < n * least_names, "few_names"), F.when(F.col("n_same") > n * most_same, "runs"), F.when(F.col("empty_share") > most_empty, "empty")]
+    return judged.withColumn("issues", F.array_compact(F.array(*found)))

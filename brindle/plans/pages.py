@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brindle.functions import pages
-from brindle.operators import boards
+from brindle.functions import links, pages
+from brindle.operators import boards, facets, frames
 from brindle.plans.catalogue import query, table
+from brindle.session import Scratch
 
 
 def _joined(rows, key: str, order: str, piece):
@@ -167,3 +168,45 @@ def x92_scope_prefixes(spark, sf_dir):
     n = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list(F.struct(F.col("n_name").alias("name"), (F.col("n_nationkey") % 3).cast("string").alias("k"))).alias("children"))
     nested = table(spark, sf_dir, "region").join(n, "r_regionkey").where("r_regionkey < 3")
     return nested.select(F.col("r_name").alias("scope"), F.explode("children").alias("c")).select("scope", "c.name", F.concat(F.left("scope", F.lit(2)), F.lit("-"), "c.k").alias("prefix"))
+
+
+@query("""WITH p AS (SELECT *, first_value(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS first FROM orders), f AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS floor, count(*) OVER (PARTITION BY o_custkey) AS n FROM p WHERE o_orderstatus = first QUALIFY floor <= 5)
+SELECT o_custkey, upper(sha1(o_orderkey::VARCHAR)) AS hash, o_orderpriority AS name, 'name_then_link' AS layout, o_orderkey % 60 AS size FROM f""")
+def x57_thread(spark, sf_dir):
+    """A whole thread read: posts of its author, links in them, and the name and size that stand before each."""
+    k = F.col("o_orderkey").cast("string")
+    body = F.concat(F.lit("【name】："), "o_orderpriority", F.lit("<br>【size】："), (F.col("o_orderkey") % 60).cast("string"), F.lit("<br>magnet:?xt=urn:btih:"), F.sha1(k))
+    piece = F.concat(F.lit('<div id="post_'), k, F.lit('"><a class="xi2">'), "o_orderstatus", F.lit('</a><td id="postmessage_'), k, F.lit('">'), body, F.lit("</td></div>"))
+    html = _joined(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", piece)
+    own = pages.author_posts(pages.posts(F.col("html")))
+    text = pages.corpus(F.transform(own, lambda p: p["content"]), F.array().cast("array<string>"), "magnet:")
+    lines = Scratch(spark, "thread").save(html.select("o_custkey", text.alias("t")).select("o_custkey", F.posexplode(F.split("t", "\n")).alias("at", "line")))
+    labelled = lambda label: lines.where(F.col("line").startswith(f"【{label}】")).select("o_custkey", "at", F.regexp_extract("line", "】：(.*)", 1).alias(label))
+    found = lines.select("o_custkey", "at", F.explode(links.magnet_links(F.col("line"))).alias("m")).select("o_custkey", "at", "m.hash")
+    named = frames.named_links(labelled("name"), found, "o_custkey", "at", "name")
+    sized = frames.named_links(labelled("size"), named.drop("layout"), "o_custkey", "at", "size")
+    return sized.select("o_custkey", "hash", "name", "layout", F.col("size").cast("long").alias("size"))
+
+
+@query("""WITH n AS (SELECT * FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber LIMIT 2000), t AS (SELECT l_orderkey, min(l_returnflag) AS value FROM n GROUP BY l_orderkey), c AS (SELECT value, count(*) AS n FROM t GROUP BY value), s AS (SELECT value, round_even(n * (SELECT count(DISTINCT l_orderkey) FROM lineitem) / (SELECT sum(n) FROM c), 0)::BIGINT AS n FROM c)
+SELECT value, (n + CASE WHEN value = (SELECT arg_max(value, (n, value)) FROM s) THEN (SELECT count(DISTINCT l_orderkey) FROM lineitem) - (SELECT sum(n) FROM s) ELSE 0 END)::BIGINT AS n FROM s""")
+def a17_estimated_facet(spark, sf_dir):
+    """A facet of the newest rows, scaled to all orders."""
+    items = table(spark, sf_dir, "lineitem")
+    newest = items.orderBy(F.desc("l_shipdate"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").limit(2000)
+    total = items.agg(F.countDistinct("l_orderkey")).first()[0]
+    return facets.scale(newest.groupBy("l_orderkey").agg(F.min("l_returnflag").alias("value")).groupBy("value").agg(F.count("*").alias("n")), total)
+
+
+@query("""SELECT user_id, concat_ws(',', CASE WHEN count(DISTINCT event_type) * 4 < count(*) THEN 'few_names' END, CASE WHEN count(*) FILTER (WHERE event_type = before) * 5 > count(*) THEN 'runs' END, CASE WHEN count(*) FILTER (WHERE event_type = '') * 10 > count(*) THEN 'empty' END) AS issues
+FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM (SELECT user_id, event_id, CASE WHEN user_id % 3 = 0 AND event_type = 'view' THEN '' ELSE event_type END AS event_type FROM events)) GROUP BY user_id""")
+def a24_issues(spark, sf_dir):
+    """What is wrong with the names of each batch."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when((F.col("user_id") % 3 == 0) & (F.col("event_type") == "view"), "").otherwise(F.col("event_type")).alias("name"))
+    return facets.name_issues(facets.judge_names(e, "user_id", "name", "event_id"), 0.25, 0.2, 0.1).select("user_id", F.array_join("issues", ",").alias("issues"))
+
+
+@query("SELECT page_id, (url LIKE '%.example.org/%' OR url LIKE '%.example.net/%') AND NOT url LIKE '%/es/%' AS allowed FROM pages")
+def x17_allowed(spark, sf_dir):
+    """Addresses that may be fetched: of listed hosts or below them, not private, and not of some paths."""
+    return table(spark, sf_dir, "pages").select("page_id", links.is_allowed(F.col("url"), ["example.org", "example.net"], r"/es/").alias("allowed"))

@@ -12,7 +12,7 @@ def spark():
 
     from brindle.session import ship
 
-    conf = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "4", "spark.sql.session.timeZone": "UTC"}
+    conf = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "3", "spark.sql.codegen.cache.maxEntries": "2000", "spark.sql.session.timeZone": "UTC"}
     session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield ship(session)
