@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, chat, embedding_dedup, gbt, graph, language_id, line_dedup, mixing, quality, simhash, spm, token_count, toxicity
+from brindle.llm import bpe, chat, embedding_dedup, gbt, graph, language_id, line_dedup, mixing, quality, simhash, skew, spm, token_count, toxicity
 from brindle.session import Scratch
 
 random.seed(7)
@@ -256,6 +256,18 @@ def test_lexicon():
     assert words.features('he said "idiot" to him')[1] > 0 and words.features("you idiot")[0] > 0
 
 
+def test_lexicon_by_hand():
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    terms = [word(rng.randrange(3, 9)) + ("*" if rng.random() < 0.4 else "") for _ in range(25)]
+    lexicon = toxicity.Lexicon(terms)
+    for w in [word(rng.randrange(1, 14)) for _ in range(3000)] + ["a" * 100_000]:
+        exact = any(w.startswith(t[:-1]) and len(w) > len(t) - 1 if t.endswith("*") else w == t for t in terms)
+        long = [t for t in terms if len(t.rstrip("*")) >= toxicity.FUZZY_FROM]
+        close = len(w) >= toxicity.FUZZY_FROM - 1 and any(min(edit(w[:k], t[:-1]) for k in range(len(t) - 2, len(t) + 1)) <= 1 if t.endswith("*") else len(w) < 20 and edit(w, t) <= 1 for t in long)
+        assert lexicon.kind(w) == (2 if exact else 1 if close else 0), w
+
+
 @pytest.mark.parametrize("opening, closing", ["“”", "„“", "„”", "«»", "»«", "‹›", "›‹", '""'])
 def test_quotations(opening, closing):
     words = toxicity.Lexicon(["idiot"])
@@ -335,6 +347,16 @@ def test_language_fusion_by_hand(spark):
     assert got[0][0][0] == "de" and got[22][0][0] == "fr" and got[21][0][0] == "fr" and got[24][0][0] == "de"
 
 
+def test_joins_of_hot_keys(spark, monkeypatch):
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("k"), "id").where("id % 2 = 0")
+    table = Scratch(spark, "test").save(rows.groupBy("k").agg(F.count("*").alias("n"), F.sum("id").alias("s")))
+    found = [sorted(map(tuple, skew.join_per_key(rows, ["k"], table, 1500).select("k", "id", "s").collect()))]
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(skew, "HOT", 100)
+    found.append(sorted(map(tuple, skew.join_per_key(rows, ["k"], table, 1500).select("k", "id", "s").collect())))
+    assert found[0] == found[1] and len(found[0]) == 1500 and found[0][0] == (7, 0, sum(range(0, 1000, 2)))
+
+
 def test_markup_in_linear_time():
     import time
 
