@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, chat, embedding_dedup, language_id, line_dedup, mixing, quality, simhash, token_count, toxicity
+from brindle.llm import bpe, chat, collocation, embedding_dedup, language_id, line_dedup, mixing, quality, simhash, token_count, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,5 +92,51 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_language_id, op3_chat_format, op4_toxicity, op5_line_dedup, op6_simhash_near_dedup, op7_byte_bpe, op8_token_counts, op9_mixing, op10_quality_rules)}
-ORACLE_SQL = {"op3_chat_format": OP3_SQL}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector and component: its whitened value, and what the component explains; a deviation beyond a long is null."""
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=8)
+    return out.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language: its 2000 best phrases of two and three words."""
+    return collocation.collocations(_table(spark, sf_dir, "documents"), least=10, covered=50, most=2000)
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, list_slice(w, i, i + k - 1) AS g, k FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words), (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w)
+), counted AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, k, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE k > 1 AND f >= 10
+), around AS (
+  SELECT lang, phrase, max(a) AS around FROM (
+    SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM candidates WHERE k = 3) GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN around o USING (lang, phrase) WHERE o.around IS NULL OR 100 * o.around < 50 * c.a
+), cuts AS (
+  SELECT lang, phrase, a, c, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM kept)
+), scored AS (
+  SELECT u.lang, u.phrase, u.a, u.c, h.f AS l, t.f AS r, (1000000::HUGEINT * u.a * u.a // (h.f::HUGEINT * t.f))::BIGINT AS score
+  FROM cuts u JOIN counted h ON h.lang = u.lang AND h.phrase = u.head JOIN counted t ON t.lang = u.lang AND t.phrase = u.tail
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_language_id, op3_chat_format, op4_toxicity, op5_line_dedup, op6_simhash_near_dedup, op7_byte_bpe, op8_token_counts, op9_mixing, op10_quality_rules, op11_embedding_whitening, op13_collocations)}
+ORACLE_SQL = {"op3_chat_format": OP3_SQL, "op13_collocations": OP13_SQL}
