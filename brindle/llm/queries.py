@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, chat, collocation, embedding_dedup, language_id, line_dedup, mixing, quality, simhash, token_count, toxicity, whitening
+from brindle.llm import bpe, chat, collocation, embedding_dedup, language_id, line_dedup, mixing, packing, quality, simhash, token_count, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("deviation", F.expr("try_cast(deviation as long)"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece of a document: where it lies in which sequence of 4096 tokens, and the checksum of its ids."""
+    out = packing.pack(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per language: its 2000 best phrases of two and three words."""
     return collocation.collocations(_table(spark, sf_dir, "documents"), least=10, covered=50, most=2000)
@@ -138,5 +144,5 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_language_id, op3_chat_format, op4_toxicity, op5_line_dedup, op6_simhash_near_dedup, op7_byte_bpe, op8_token_counts, op9_mixing, op10_quality_rules, op11_embedding_whitening, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_language_id, op3_chat_format, op4_toxicity, op5_line_dedup, op6_simhash_near_dedup, op7_byte_bpe, op8_token_counts, op9_mixing, op10_quality_rules, op11_embedding_whitening, op12_packing, op13_collocations)}
 ORACLE_SQL = {"op3_chat_format": OP3_SQL, "op13_collocations": OP13_SQL}
