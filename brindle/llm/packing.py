@@ -118,27 +118,49 @@ def combinations(units: list[int], total: int, depth: int) -> list[tuple[int, ..
     return out
 
 
-def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 3000) -> np.ndarray:
-    """The x >= 0 that minimises |a x - b|: variables enter by their gradient and leave where they'd fall below zero."""
-    x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    bar = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
-    for _ in range(rounds):
-        gradient = np.where(free, -np.inf, a.T @ (b - a @ x))
-        if not len(x) or gradient.max() <= bar:
+def nonnegative_least_squares(parts: np.ndarray, b: np.ndarray, rounds: int = 3000) -> np.ndarray:
+    """The x >= 0 that minimises |a x - b|, where column j of a counts the places in parts[j]; -1 is none.
+
+    Variables enter by their gradient and leave where they'd fall below zero; those that are free solve the normal
+    equations, whose matrix grows by a row and a column with each.
+    """
+    n, rows = len(parts), len(b)
+    places = np.where(parts < 0, rows, parts)
+    dense = np.zeros((n, rows + 1))
+    np.add.at(dense, (np.arange(n)[:, None], places), 1)
+    dense = dense[:, :rows]
+    free, x, gram, goal = [], np.zeros(0), np.zeros((0, 0)), np.zeros(0)
+
+    def gradient() -> np.ndarray:
+        left = b - (x @ dense[free] if free else 0)
+        return np.append(left, 0.0)[places].sum(axis=1)
+
+    bar = 1e-9 * max(1.0, float(np.abs(gradient()).max(initial=0)))
+    for _ in range(rounds if n else 0):
+        g = gradient()
+        g[free] = -np.inf
+        j = int(g.argmax())
+        if g[j] <= bar:
             break
-        free[gradient.argmax()] = True
-        while True:
-            s = np.zeros(len(x))
-            s[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
-            low = free & (s <= 0)
+        row = np.append(dense[j], 0.0)[places[free]].sum(axis=1)
+        gram = np.block([[gram, row[:, None]], [row[None, :], np.array([[dense[j] @ dense[j]]])]])
+        free, goal, x = [*free, j], np.append(goal, dense[j] @ b), np.append(x, 0.0)
+        while free:
+            try:
+                s = np.linalg.solve(gram, goal)
+            except np.linalg.LinAlgError:
+                s = np.linalg.lstsq(gram, goal, rcond=None)[0]
+            low = s <= 0
             if not low.any():
                 x = s
                 break
             step = (x[low] / (x[low] - s[low] + 1e-300)).min()
             x = x + step * (s - x)
-            free &= x > 1e-12 * max(1.0, x.max())
-            x[~free] = 0
-    return x
+            keep = x > 1e-12 * max(1.0, x.max())
+            free, goal, x, gram = [f for f, k in zip(free, keep) if k], goal[keep], x[keep], gram[np.ix_(keep, keep)]
+    out = np.zeros(n)
+    out[free] = x
+    return out
 
 
 def plan(histogram: dict[int, int], total: int, depth: int = DEPTH) -> list[tuple[tuple[int, ...], int]]:
@@ -152,20 +174,16 @@ def plan(histogram: dict[int, int], total: int, depth: int = DEPTH) -> list[tupl
         return []
     units = sorted(histogram)
     at = {u: i for i, u in enumerate(units)}
-    a = np.zeros((len(units), len(found)))
-    for j, c in enumerate(found):
-        for u in c:
-            a[at[u], j] += 1
-    wanted = np.floor(nonnegative_least_squares(a, np.array([histogram[u] for u in units], float)) + 1e-6).astype(np.int64)
+    parts = np.array([[at[u] for u in c] + [-1] * (depth - len(c)) for c in found])
+    wanted = np.floor(nonnegative_least_squares(parts, np.array([histogram[u] for u in units], float)) + 1e-6).astype(np.int64)
     left, taken = np.array([histogram[u] for u in units], np.int64), np.zeros(len(found), np.int64)
     order = [(j, int(wanted[j])) for j in np.argsort(-wanted, kind="stable")] + [(j, None) for j in sorted(range(len(found)), key=lambda j: (len(found[j]), found[j]))]
     for j, most in order:
-        need = a[:, j].astype(np.int64)
-        use = need > 0
-        n = int((left[use] // need[use]).min())
+        use, need = np.unique([at[u] for u in found[j]], return_counts=True)
+        n = int((left[use] // need).min())
         n = n if most is None else min(n, most)
         taken[j] += n
-        left -= n * need
+        left[use] -= n * need
     return [(found[j], int(taken[j])) for j in range(len(found)) if taken[j]]
 
 
