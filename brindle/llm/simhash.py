@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.graph import connected_components
 from brindle.llm.names import unused
+from brindle.llm.skew import join_per_key
 from brindle.session import Scratch, ship
 
 BITS = 64
@@ -49,16 +50,18 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keys: Mapping[str, Column] | None = None) -> DataFrame:
+    """(id, fp), and what `keys` names: fp holds the 64 bits as a signed long, keys are longs that tell rows apart."""
+    keys = keys or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps), *b.columns[2:]], names=["id", "fp", *b.schema.names[2:]])
 
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(c.alias(k) for k, c in keys.items()))
+    return rows.mapInArrow(run, "id long, fp long" + "".join(f", {k} long" for k in keys))
 
 
 def _segments() -> list[int]:
@@ -190,25 +193,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs. Repeated rows come back as often; a null id stays null and takes no part in the
     smallest id of its component. An empty table gives no rows. Only id_col and text_col are read.
     """
+    return _grouped(docs, id_col, text_col, shingle).select("id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, keys: Mapping[str, Column] | None = None) -> DataFrame:
+    """near_duplicates(), with the keys of each row."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    fps = scratch.save(fingerprints(docs, id_col, text_col, shingle))
-    classes = scratch.save(fps.groupBy("fp").agg(F.min("id").alias("first")))
+    fps = scratch.save(fingerprints(docs, id_col, text_col, shingle, keys))
+    classes = scratch.save(fps.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
     parts = connected_components(links(classes.select("fp")), scratch)
-    member = classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    member = classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("root"))
     lowest = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    group = member.join(lowest, "root").select("fp", "component_id")
-    return fps.join(group, "fp").select("id", "fp", "component_id")
+    group = scratch.save(member.join(lowest, "root").select("fp", "n", "component_id", "root"))
+    # a fingerprint may be that of a third of all texts
+    total = group.agg(F.sum("n")).first()[0] or 0
+    return join_per_key(fps, ["fp"], group, total).drop("n")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of docs, with all their columns, whose id is the smallest of its component.
+    """One row, with all its columns, of each component of near duplicates: that of the smallest id.
 
-    Of rows that share an id one stays. Rows without an id stay.
+    Of rows of the component that share this id the one whose text has the smallest hash stays, then the one whose
+    columns have; so the result is the same each time. Rows are told apart by all their columns, so that rows of one id with
+    unlike texts are judged each by its own text. Rows without an id stay.
     """
-    scratch, key = Scratch(docs.sparkSession, "simhash-kept"), unused("key", docs.columns)
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, shingle)
-    kept = scratch.save(found.where("id = component_id").groupBy("id").agg(F.count("*").alias("n")))
-    rows = docs.join(kept.select(F.col("id").alias(key)), docs[id_col].cast("long") == F.col(key), "left_semi")
-    if not kept.where("n > 1").isEmpty():
-        rows = rows.dropDuplicates([id_col])
-    return rows.unionByName(docs.where(docs[id_col].isNull()))
+    scratch, names = Scratch(docs.sparkSession, "simhash-kept"), []
+    for k in ("h1", "h2", "t1"):
+        names.append(unused(k, [*docs.columns, *names]))
+    h1, h2, t1 = names
+    whole = [F.col(f"`{f.name}`") for f in docs.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    hashes = {h1: F.xxhash64(*whole), h2: F.xxhash64(F.lit(1), *whole), t1: F.xxhash64(F.col(text_col).cast("string"))}
+    found = scratch.save(_grouped(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, {"h1": hashes[h1], "h2": hashes[h2], "t1": hashes[t1]}))
+    best = found.groupBy("root").agg(F.min(F.struct("id", "t1", "h1", "h2")).alias("k"))
+    kept = scratch.save(best.select(F.col("k.h1").alias(h1), F.col("k.h2").alias(h2)))
+    rows = docs.where(F.col(id_col).isNotNull()).withColumn(h1, hashes[h1]).withColumn(h2, hashes[h2]).join(kept, [h1, h2], "left_semi")
+    repeats = found.withColumnsRenamed({"h1": h1, "h2": h2}).join(kept, [h1, h2], "left_semi").groupBy(h1, h2).agg(F.count("*").alias("n"))
+    if not repeats.where("n > 1").isEmpty():
+        rows = rows.dropDuplicates([h1, h2])  # of rows that are equal in all columns
+    return rows.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
