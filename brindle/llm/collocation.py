@@ -8,6 +8,7 @@ from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -24,7 +25,7 @@ ROWS, CELL_BITS, SLICE_BITS = 2, 26, 16
 #: Sketches that are made for each core, at most, as each is sent whole.
 SKETCHES_PER_CORE = 4
 #: Bytes of text that are counted at once, and phrases that a task holds before it sends their counts on.
-STRETCH, HELD = 1 << 22, 1 << 19
+STRETCH, HELD = 1 << 22, 1 << 22
 NO_LANGUAGE = "und"
 _BREAK, _GAP = b".,;:!?\n\x0b\x0c\r", b" \t"
 _KIND = np.zeros(256, np.uint8)
@@ -195,26 +196,60 @@ def _frequent(h: np.ndarray, flags: np.ndarray, bits: int) -> np.ndarray:
     return ok
 
 
+def _batch(key: tuple[str, int], phrases: pa.Array, counts: pa.Array) -> pa.RecordBatch:
+    n = len(phrases)
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(key[0], pa.string()), n), phrases, pa.repeat(pa.scalar(key[1], pa.int32()), n), counts], names=["lang", "phrase", "words", "f"])
+
+
+class Held:
+    """Counts of phrases by (language, words) that a task has yet to send."""
+
+    def __init__(self):
+        self.parts: dict[tuple[str, int], list[pa.Table]] = {}
+        self.rows = 0
+
+    def add(self, key: tuple[str, int], phrases: pa.Array, counts: pa.Array) -> None:
+        if len(phrases):
+            self.parts.setdefault(key, []).append(pa.table({"phrase": phrases, "n": counts}))
+            self.rows += len(phrases)
+
+    def _merge(self) -> None:
+        for key, parts in self.parts.items():
+            if len(parts) > 1:
+                merged = pa.concat_tables(parts).group_by("phrase").aggregate([("n", "sum")])
+                self.parts[key] = [merged.select(["phrase", "n_sum"]).rename_columns(["phrase", "n"])]
+        self.rows = sum(t.num_rows for parts in self.parts.values() for t in parts)
+
+    def full(self) -> Iterator[pa.RecordBatch]:
+        """Adds equal phrases, and sends all on where that leaves more than half of what may be held."""
+        self._merge()
+        if self.rows > HELD // 2:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        self._merge()
+        for key, (table,) in self.parts.items():
+            for b in table.to_batches(max_chunksize=1 << 16):
+                yield _batch(key, b.column(0), b.column(1))
+        self.parts, self.rows = {}, 0
+
+
 def exact_counts(texts: DataFrame, flags: np.ndarray, bits: int = CELL_BITS) -> DataFrame:
     """(lang, phrase, words, f): counts of all phrases that the sketch can't rule out, and of all words (phrase null, words 0).
 
     A phrase goes if any phrase within it is ruled out, as that occurs as often at least. Tasks count before they
-    send; a task holds HELD phrases at most.
+    send; a task holds HELD phrases at most, equal ones of different stretches apart until it is full.
     """
     shared = texts.sparkSession.sparkContext.broadcast(flags)  # of a fixed size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, held, total = shared.value, {}, {}
-
-        def rows() -> pa.RecordBatch:
-            keys = list(held)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["lang", "phrase", "words", "f"])
-
+        flags, held, total = shared.value, Held(), {}
         for b in batches:
             for lang, raw in by_language(b):
                 for s in stretches(raw):
                     total[lang] = total.get(lang, 0) + len(s.ids) - s.carried
                     alive, v = np.ones(len(s.ids), bool), len(s.words)
+                    names = pa.array(s.words, pa.string())
                     for size, h in enumerate(hashes(lang, s), 1):
                         if size > 1:
                             alive[1:] &= alive[:-1]
@@ -228,19 +263,16 @@ def exact_counts(texts: DataFrame, flags: np.ndarray, bits: int = CELL_BITS) ->
                             key = places[0]
                             for p in places[1:]:
                                 key = key * v + p
-                            key, first, n = np.unique(key, return_index=True, return_counts=True)
+                            _, first, n = np.unique(key, return_index=True, return_counts=True)
                         else:
                             _, first, n = np.unique(places, axis=1, return_index=True, return_counts=True)
-                        for i, m in zip(places[:, first].T.tolist(), n.tolist()):
-                            k = (lang, b" ".join([s.words[j] for j in i]), size)
-                            held[k] = held.get(k, 0) + m
-                        if len(held) >= HELD:
-                            yield rows()
-                            held.clear()
+                        words = [names.take(pa.array(p[first])) for p in places]
+                        held.add((lang, size), words[0] if size == 1 else pc.binary_join_element_wise(*words, " "), pa.array(n))
+                        if held.rows > HELD:
+                            yield from held.full()
+        yield from held.rest()
         for lang, n in total.items():
-            held[lang, None, 0] = n
-        if held:
-            yield rows()
+            yield _batch((lang, 0), pa.array([None], pa.string()), pa.array([n], pa.int64()))
 
     found = texts.mapInArrow(count, "lang string, phrase string, words int, f long")
     return found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
