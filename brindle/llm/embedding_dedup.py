@@ -12,10 +12,13 @@ from pyspark.sql import types as T
 
 from brindle.llm.graph import connected_components
 from brindle.llm.skew import join_per_key
+from brindle.llm.sums import summed
 from brindle.session import Scratch, ship
 
 #: Vectors that are compared at once, and values and vectors of a block, at most; a task holds two blocks.
 TILE, BLOCK_VALUES, BLOCK_ROWS = 1024, 1 << 21, 1 << 14
+#: Blocks that one part of the input has, at most, as a power of two.
+BLOCK_BITS = 22
 #: Leading components that order the vectors and bound the tiles, and those added in each step of a comparison.
 BOX, STEP = 6, 16
 #: Dimensions, the most frequent first, and the largest of them that get principal axes; others are compared along
@@ -37,32 +40,18 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
 def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     """For the most frequent dimensions of vectors (dim, vec), the axes of their second moments, widest first.
 
-    Each task sends the upper half of a dim x dim matrix, summed over its rows; their sum is all that the driver
-    gets, of AXES dimensions up to AXES_DIM. Axes through the origin keep inner products as they are.
+    Each task sends one dim x dim matrix, summed over its rows; a few tasks add these, and the driver gets theirs, of AXES
+    dimensions up to AXES_DIM. Axes through the origin keep inner products as they are.
     """
     sizes = vectors.where(F.col("dim") <= AXES_DIM).groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(AXES).collect()
-    chosen = [r["dim"] for r in sizes if r["n"] > 1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            dims = b.column("dim").to_numpy()
-            for d in np.unique(dims).tolist():
-                x = _unit(_vectors(b.filter(pa.array(dims == d)).column("vec"), d))
-                sums[d] = sums.get(d, 0) + x.T @ x
-        for d, m in sums.items():
-            i, j = np.triu_indices(d)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), d, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(m[i, j])], names=["dim", "i", "j", "v"])
-
-    if not chosen:
-        return {}
-    summed = vectors.where(F.col("dim").isin(chosen)).mapInArrow(run, "dim int, i int, j int, v double").groupBy("dim", "i", "j").agg(F.sum("v").alias("v")).toArrow()
-    dims, i, j, v = (summed.column(c).to_numpy() for c in ("dim", "i", "j", "v"))
     out = {}
-    for d in chosen:
-        at, m = dims == d, np.zeros((d, d))
-        m[i[at], j[at]] = m[j[at], i[at]] = v[at]
-        out[d] = np.ascontiguousarray(np.linalg.eigh(m)[1][:, ::-1])
+    for d in (r["dim"] for r in sizes if r["n"] > 1):
+
+        def moments(column: pa.Array, d: int = d) -> np.ndarray:
+            x = _unit(_vectors(column, d))
+            return x.T @ x
+
+        out[d] = np.ascontiguousarray(np.linalg.eigh(summed(vectors.where(F.col("dim") == d).select("vec"), moments))[1][:, ::-1])
     return out
 
 
@@ -94,17 +83,17 @@ def blocks(classes: DataFrame, axes: dict[int, np.ndarray], threshold: float) ->
         held: pa.Table | None = None
         kind = None
         for b in batches:
-            dims, labels = b.column("dim").to_numpy(), b.column("label").to_numpy()
+            dims, labels = b.column("dim").to_numpy(), b.column("label").dictionary_encode().indices.to_numpy()
             edges = np.flatnonzero((np.diff(labels) != 0) | (np.diff(dims) != 0)) + 1
             for i, j in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows]):
                 if i == j:
                     continue
                 part = pa.Table.from_batches([b.slice(i, j - i)])
-                if held is not None and kind == (labels[i], dims[i]):
+                if held is not None and kind == (part.column("label")[0], dims[i]):
                     part = pa.concat_tables([held, part])
                 elif held is not None:
                     yield pack(held)
-                kind = (labels[i], dims[i])
+                kind = (part.column("label")[0], dims[i])
                 most = max(1, min(BLOCK_ROWS, BLOCK_VALUES // int(dims[i])))
                 while part.num_rows > most:
                     yield pack(part.slice(0, most))
@@ -120,14 +109,14 @@ def blocks(classes: DataFrame, axes: dict[int, np.ndarray], threshold: float) ->
         z = np.pad(z, ((0, 0), (0, BOX - z.shape[1])))
         longs = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array([t.column("label")[0].as_py()], pa.int64()), pa.array([d], pa.int32()), *(pa.array([t.column(c).to_numpy()], longs) for c in ("h1", "h2", "m")), pa.array([np.ascontiguousarray(raw).tobytes()], pa.binary()), pa.array([raw.dtype.str]), *(pa.array([x.tolist()], pa.list_(pa.float64())) for x in (z.min(axis=0), z.max(axis=0)))],
+            [t.column("label").slice(0, 1).combine_chunks(), pa.array([d], pa.int32()), *(pa.array([t.column(c).to_numpy()], longs) for c in ("h1", "h2", "m")), pa.array([np.ascontiguousarray(raw).tobytes()], pa.binary()), pa.array([raw.dtype.str]), *(pa.array([x.tolist()], pa.list_(pa.float64())) for x in (z.min(axis=0), z.max(axis=0)))],
             names=["label", "dim", "h1", "h2", "m", "data", "kind", "low", "high"],
         )
 
     placed = classes.mapInArrow(place, T.StructType([*classes.schema.fields, *(T.StructField(c, T.IntegerType()) for c in ("c1", "c2", "c3"))]))
     order = ["label", "dim", "c1", "c2", "c3", "h1", "h2"]
     dealt = placed.repartitionByRange(max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(cut, "label long, dim int, h1 array<long>, h2 array<long>, m array<long>, data binary, kind string, low array<double>, high array<double>")
+    return dealt.mapInArrow(cut, f"label {classes.schema['label'].dataType.simpleString()}, dim int, h1 array<long>, h2 array<long>, m array<long>, data binary, kind string, low array<double>, high array<double>")
 
 
 class Side:
@@ -189,7 +178,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Vectors of equal, non-null label and equal dimension link at a cosine of at least the threshold.
-    Null, empty and zero vectors and those with null or non-finite values have no links. Equal vectors of a
+    Labels may be of any type that can be grouped and sorted. Null, empty and zero vectors and those with null or non-finite values have no links. Equal vectors of a
     label are one class with a weight. Blocks whose boxes are near enough meet in one task, which compares their
     near tiles and returns a sum of weights for each linked class and a star for each group it found, never
     the pairs. Repeated rows, and rows that share an id, each count as a vector of their own. A null id stays
@@ -200,13 +189,16 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     scratch = Scratch(spark, "vectors")
     vec = F.col(vec_col)
     usable = F.col(label_col).isNotNull() & vec.isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.coalesce(F.size(vec), F.lit(0)).alias("dim"), vec.alias("vec"), F.coalesce(usable, F.lit(False)).alias("usable"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.coalesce(F.size(vec), F.lit(0)).alias("dim"), vec.alias("vec"), F.coalesce(usable, F.lit(False)).alias("usable"))
     keys = ["label", "dim", "h1", "h2"]
     # two hashes stand for a vector where rows find their class again
     vectors = rows.where("usable").select("id", "label", "dim", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"), "vec")
     classes = scratch.save(vectors.groupBy(*keys, "vec").agg(F.count("*").alias("m"), F.min("id").alias("first")))
     axes = principal_axes(classes.select("dim", "vec"))
-    made = scratch.save(blocks(classes.select(*keys, "m", "vec"), axes, threshold).select(F.monotonically_increasing_id().alias("block"), "*"))
+    # the number of a part and, in BLOCK_BITS, that of the block within it: with a row's place they fit a long
+    at = F.monotonically_increasing_id()
+    block = F.shiftleft(F.shiftright(at, 33), BLOCK_BITS) + at.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+    made = scratch.save(blocks(classes.select(*keys, "m", "vec"), axes, threshold).select(block.alias("block"), "*"))
     # near blocks: those whose boxes are within the greatest distance of linked unit vectors; they meet by cells of two components
     reach = (2 - 2 * threshold) ** 0.5 + SLACK
     boxes = made.select("block", "label", "dim", "low", "high")

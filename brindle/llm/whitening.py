@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.sums import summed
 from brindle.session import Scratch, ship
 
 #: An entry c becomes floor(SCALE * c) + SHIFT.
@@ -21,8 +22,6 @@ BLOCK, MOST_BASIS = 16, 320
 CONVERGED, VANISHED = 2e-14, 1e-12
 #: Components of less than this part of the largest eigenvalue can't be told from rounding and aren't given.
 LEAST_SHARE = 1e-12
-#: Tasks that add the sums of all others, before the driver adds theirs.
-ADDERS = 16
 SEED = 11
 SCHEMA = "vec_id {id}, component int, n long, deviation decimal(38,0), whitened double, explained double, identity_error double"
 
@@ -43,30 +42,6 @@ def rows_of(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.int64).reshape(-1, dim)
 
 
-def summed(vectors: DataFrame, work: Callable[[pa.Array], np.ndarray]) -> np.ndarray:
-    """The sum over all vectors of what work gives for each batch: one array a task, added by tasks and then here.
-
-    Only arrays of a size that the number of dimensions sets leave a task, whatever its rows.
-    """
-
-    def packed(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for part in parts:
-            total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([total.dtype.str]), pa.array([list(total.shape)], pa.list_(pa.int32()))], names=["data", "kind", "shape"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from packed(work(b.column(0)) for b in batches if b.num_rows)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from packed(np.frombuffer(data, kind).reshape(shape) for b in batches for data, kind, shape in zip(*(c.to_pylist() for c in b.columns)))
-
-    schema = "data binary, kind string, shape array<int>"
-    parts = vectors.select("x").mapInArrow(run, schema).repartition(ADDERS).mapInArrow(add, schema)
-    return sum(np.frombuffer(r["data"], r["kind"]).reshape(r["shape"]) for r in parts.collect())
-
-
 def _orthonormal(w: np.ndarray, basis: np.ndarray, scale: float, rng: np.random.Generator) -> tuple[np.ndarray, int]:
     """Up to as many directions as w has columns, orthonormal to basis, and how many of them are new random ones.
 
@@ -188,7 +163,7 @@ def _whitened(vectors: DataFrame, scratch: Scratch, dim: int, n: int, components
         x = rows_of(column, dim)
         return np.stack([(x >> 31).sum(axis=0), (x & 0x7FFFFFFF).sum(axis=0)])
 
-    high, low = summed(vectors, halves).tolist()
+    high, low = summed(vectors.select("x"), halves).tolist()
     sums = [(a << 31) + b for a, b in zip(high, low)]
 
     def product(q: np.ndarray) -> np.ndarray:
@@ -200,7 +175,7 @@ def _whitened(vectors: DataFrame, scratch: Scratch, dim: int, n: int, components
                 out += c.T @ (c @ q)
             return out
 
-        return summed(vectors, work) / n
+        return summed(vectors.select("x"), work) / n
 
     values, axes, _ = leading_components(product, dim, components)
     k = int((values > LEAST_SHARE * max(values[0], 0)).sum()) if len(values) else 0
