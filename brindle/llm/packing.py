@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from brindle.llm import spm
 from brindle.session import Scratch, ship
 
 VOCABULARY = "word_bpe_49k.json"
@@ -22,38 +26,75 @@ WINDOW, END = 4096, 2
 #: Lengths are rounded up to this many tokens where combinations are looked for; and pieces of a combination, at most.
 UNIT, DEPTH = 32, 3
 #: Words whose ids a worker keeps, and words that are looked up at once.
-KEPT, STEP = 400_000, 1 << 18
+KEPT, STEP = 500_000, 1 << 18
 #: Positions of the residual stream, and sequences, that one group of a running sum has.
 SPAN = 1 << 16
-# white space that the tokenizer's own splitting never joins over
+#: How the vocabulary's file rewrites and splits texts. Files that say otherwise get whole texts.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+# white space that splits texts under any such rule
 _WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+# beyond these characters, letters, composition or case may differ between the library and Python
+_BEYOND = re.compile("[^\x00-\u0148\u014a-\u017f\u2010-\u2027\u20ac]|\u0130")
+_LETTER, _DIGIT, _SPACE = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", " \t\n\x0b\x0c\r\x85\u00a0"
+# as SPLIT; what starts with a letter or a digit comes first, as it is most of a text
+_TOKEN = re.compile(f"[{_LETTER}]+|[{_DIGIT}]|'s|'t|'re|'ve|'m|'ll|'d|[^{_SPACE}{_LETTER}{_DIGIT}]+")
+
+
+class Known(dict):
+    """Ids of words, found on first use; emptied when it holds KEPT of them."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        self.find = find
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.find(word)
+        if len(word) <= 64:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file whose words never cross white space; ids of words are kept."""
+    """Ids of texts by a tokenizer file. What was split off a text once is looked up, as it has the same ids anywhere.
+
+    Texts of Latin letters are split as the file says, and the file's model gets each part. Others are split at white space,
+    which no token crosses and no normalisation joins, and what is between is left to the library; so are texts with
+    special tokens in them.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.known = rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER
+        self.special = [t["content"] for t in rules["added_tokens"]]
+        model, letters = self.tokenizer.model, dict(enumerate(spm.byte_letters()))
+
+        def part(token: str) -> bytes:
+            mapped = token if token.isascii() and token.isprintable() else token.encode().decode("latin-1").translate(letters)
+            return array("I", [t.id for t in model.tokenize(mapped)]).tobytes()
+
+        self.parts, self.words = Known(part), Known(self._whole)
 
-    def _add(self, words: list[str]) -> bytes:
-        get, missing = self.kept, list({w for w in words if w not in self.kept})
-        if len(get) + len(missing) > KEPT:
-            get.clear()
-            missing = list(set(words))
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            get[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([get[w] for w in words])
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words, out = [], []
-        for m in _WORD.finditer(text):
-            words.append(m[0])
-            if len(words) >= STEP:
-                out.append(self._add(words))
-                words = []
-        return b"".join([*out, self._add(words)])
+        """Ids as unsigned 32-bit integers."""
+        if not self.known:
+            return self._whole(text)
+        if _BEYOND.search(text) or any(t in text for t in self.special):
+            pattern, known = _WORD, self.words.__getitem__
+        else:
+            pattern, known, text = _TOKEN, self.parts.__getitem__, text.lower()
+        if len(text) <= STEP:
+            return b"".join(map(known, pattern.findall(text)))
+        found = (m[0] for m in pattern.finditer(text))
+        return b"".join(b"".join(map(known, some)) for some in batched(found, STEP))
 
 
 @lru_cache(maxsize=2)
