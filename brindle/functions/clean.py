@@ -32,25 +32,42 @@ def decode_email(code: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def word_similarity(query: pd.Series, text: pd.Series) -> pd.Series:
-    """The best share of common trigrams of a query and any run of a text's trigrams; 0 if there are none."""
+    """The best share of common trigrams of a query and any run of a text's trigrams; 0 if there are none.
+
+    A run of e distinct trigrams shares at most the query's q of them, so that its share is at most q / e: runs from a
+    place end where that no longer beats what was found. A best run starts at a common trigram.
+    """
     import re
 
+    word, asked = re.compile(r"[^\W_]+"), {}
+
     def grams(s: str) -> list[str]:
-        return [p[i : i + 3] for w in re.findall(r"[^\W_]+", s.lower()) for p in [f"  {w} "] for i in range(len(p) - 2)]
+        return [p[i : i + 3] for w in word.findall(s.lower()) for p in ["  " + w + " "] for i in range(len(p) - 2)]
 
     def one(q: str | None, t: str | None) -> float | None:
         if q is None or t is None:
             return None
-        wanted, seq = set(grams(q)), grams(t)
-        at, best = [i for i, g in enumerate(seq) if g in wanted], 0.0
-        for n, i in enumerate(at):  # a best run starts and ends at a common trigram, and isn't much longer than the query
-            seen, hit, last = set(), 0, i
+        if q not in asked:
+            asked[q] = set(grams(q))
+        wanted, seq, best = asked[q], grams(t), 0.0
+        size, at = len(wanted), [i for i, g in enumerate(seq) if g in wanted]
+        for n, i in enumerate(at):
+            if best >= 1:
+                break
+            if n and at[n - 1] == i - 1 and seq[i] == seq[i - 1]:
+                continue
+            seen, hit, last, most = set(), 0, i, size / best if best else float("inf")
             for j in at[n:]:
-                if j - i + 1 > len(wanted) / max(best, 1e-9) + len(wanted) and best:
-                    break
                 seen.update(seq[last : j + 1])
-                last, hit = j + 1, len(seen & wanted)
-                best = max(best, hit / (len(wanted) + len(seen) - hit))
+                last = j + 1
+                if len(seen) >= most:
+                    break
+                hit = len(seen & wanted)
+                share = hit / (size + len(seen) - hit)
+                if share > best:
+                    best, most = share, size / share
+                if hit == size:
+                    break  # longer runs only add other trigrams
         return best
 
     return pd.Series([one(q, t) for q, t in zip(query, text)], dtype="float64")

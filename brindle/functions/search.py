@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import clean, text
+from brindle.operators import segment
 
 #: What separates keywords, and words that are never keywords.
 SEPARATORS = r"""[.,!?;—()\[\]{}<>@#%^&*~`"'|\-，。！？；“”‘’「」『』《》、【】…（）·　\s]"""
@@ -22,31 +23,46 @@ def _item(keyword: Column, required: Column) -> Column:
     return F.struct(keyword.alias("keyword"), required.alias("required"))
 
 
-def keywords(query: Column, mode: str = "smart") -> Column:
+def plain(query: Column) -> Column:
+    """A query without its quoted phrases."""
+    return F.btrim(F.regexp_replace(query, '"[^"]+"', ""))
+
+
+#: Tags of words that a search requires.
+REQUIRED_TAGS = ("n", "nr", "ns", "nt", "nz", "vn", "x")
+
+
+def cut_items(words: Column) -> Column:
+    """Words (word, tag) of segment() as keywords; tags of names and things make them required."""
+    return F.transform(words, lambda w: _item(w["word"], F.coalesce(w["tag"].isin(*REQUIRED_TAGS), F.lit(False))))
+
+
+def keywords(query: Column, mode: str = "smart", cut: Column | None = None) -> Column:
     """The keywords of a query as an array of (keyword, required), in order. mode: exact, smart or fuzzy.
 
     Quoted phrases are required, others are words between SEPARATORS: required in exact mode, and in smart mode, if
-    nothing else is, the longest third. Fuzzy mode adds the whole and pairs of neighbouring Han characters, smart
-    mode the whole of a single long word. Stop words and, but for fuzzy mode, single characters go. A
+    nothing else is, the longest third. Fuzzy mode adds what plain(query) is cut into and pairs of neighbouring Han
+    characters, smart mode the words of a single long one. cut: those words, as cut_items() has them; without it the whole
+    is the only one. Stop words and, but for fuzzy mode, single characters go. A
     keyword said twice stays in its first place with its last flag. Smart mode puts the whole query first.
     """
     no, yes = F.lit(False), F.lit(True)
-    plain = F.btrim(F.regexp_replace(query, '"[^"]+"', ""))
+    rest_of = plain(query)
     quoted = F.transform(F.regexp_extract_all(query, F.lit('"([^"]+)"'), F.lit(1)), lambda k: _item(k, yes))
-    words = F.transform(F.filter(F.split(plain, SEPARATORS), lambda k: k != ""), lambda k: _item(k, F.lit(mode == "exact")))
+    words = F.transform(F.filter(F.split(rest_of, SEPARATORS), lambda k: k != ""), lambda k: _item(k, F.lit(mode == "exact")))
     items, none = F.concat(quoted, words), F.array().cast("array<struct<keyword:string,required:boolean>>")
-    whole = F.array(_item(plain, no))
+    whole = F.array(_item(rest_of, no)) if cut is None else F.coalesce(cut, none)
     if mode == "fuzzy":
-        han = F.regexp_extract_all(plain, F.lit("([\\x{4e00}-\\x{9fff}])"), F.lit(1))
+        han = F.regexp_extract_all(rest_of, F.lit("([\\x{4e00}-\\x{9fff}])"), F.lit(1))
         pairs = F.transform(F.slice(han, 1, F.greatest(F.size(han) - 1, F.lit(0))), lambda c, i: _item(F.concat(c, F.get(han, i + 1)), no))
-        items = F.concat(items, F.when(F.length(plain) >= 2, whole).otherwise(none), F.when(F.length(plain) >= 4, pairs).otherwise(none))
+        items = F.concat(items, F.when(F.length(rest_of) >= 2, whole).otherwise(none), F.when(F.length(rest_of) >= 4, pairs).otherwise(none))
     elif mode == "smart":
-        items = F.concat(items, F.when((F.size(items) == 1) & (F.length(plain) >= 4), whole).otherwise(none))
+        items = F.concat(items, F.when((F.size(items) == 1) & (F.length(rest_of) >= 4), whole).otherwise(none))
     trimmed = F.transform(items, lambda x: _item(F.btrim(x["keyword"]), x["required"]))
     kept = F.filter(trimmed, lambda x: (F.length(x["keyword"]) >= (1 if mode == "fuzzy" else 2)) & ~F.lower(x["keyword"]).isin(*STOP_WORDS))
     names = F.array_distinct(F.transform(kept, lambda x: x["keyword"]))
     once = F.transform(names, lambda n: _item(n, F.element_at(F.filter(kept, lambda x: x["keyword"] == n), -1)["required"]))
-    rest = F.coalesce(F.nullif(plain, F.lit("")), query)
+    rest = F.coalesce(F.nullif(rest_of, F.lit("")), query)
     if mode != "smart":
         flag = F.lit(mode == "exact")
         return F.when(F.size(once) > 0, F.transform(once, lambda x: _item(x["keyword"], flag)) if mode == "exact" else once).otherwise(F.array(_item(rest, flag)))
@@ -57,9 +73,13 @@ def keywords(query: Column, mode: str = "smart") -> Column:
     return F.when(F.array_contains(names, full), chosen).otherwise(F.concat(F.array(_item(full, no)), chosen))
 
 
-def plan(spark: SparkSession, query: str, mode: str = "smart") -> list[tuple[str, bool]]:
-    """keywords() of one query, as plan-time values."""
-    return [tuple(x) for x in spark.range(1).select(keywords(F.lit(query), mode)).first()[0]]
+def plan(spark: SparkSession, query: str, mode: str = "smart", lexicon: DataFrame | None = None) -> list[tuple[str, bool]]:
+    """keywords() of one query, as plan-time values; lexicon: words, frequencies and tags that cut unspaced ones."""
+    one = spark.range(1).select(F.lit(query).alias("q"), plain(F.lit(query)).alias("plain"))
+    cut = None
+    if lexicon is not None:
+        one, cut = segment.segment(one, "plain", lexicon), cut_items(F.col("words"))
+    return [tuple(x) for x in one.select(keywords(F.col("q"), mode, cut)).first()[0]]
 
 
 def has(name: Column, keyword: str) -> Column:
@@ -72,11 +92,11 @@ def search_name(filename: Column, title: Column) -> Column:
     return F.concat(F.coalesce(filename, F.lit("")), F.lit("\n"), F.coalesce(title, F.lit("")))
 
 
-def matches(name: Column, found: list[tuple[str, bool]], mode: str, query: str | None = None) -> Column:
+def matches(name: Column, found: list[tuple[str, bool]], mode: str) -> Column:
     """Whether a name matches keywords of plan().
 
-    exact: all of them. smart: the required ones; others never decide. fuzzy: half of them, or, if query is
-    given, a name that is similar to it. No keywords match nothing.
+    exact: all of them. smart: the required ones; others never decide. fuzzy: half of them; names that are merely
+    similar are those of grams.fuzzy(). No keywords match nothing.
     """
     if not found:
         return F.lit(False)
@@ -85,21 +105,23 @@ def matches(name: Column, found: list[tuple[str, bool]], mode: str, query: str |
     if mode == "smart":
         return reduce(lambda a, b: a & b, [has(name, k) for k, required in found if required], F.lit(True))
     hits = reduce(lambda a, b: a + b, [has(name, k).cast("int") for k, _ in found])
-    enough = hits >= max(1, -(-len(found) // 2))
-    if query is None:
-        return enough
-    return enough | (clean.word_similarity(F.lit(query), name) > WORD_SIMILARITY) | (text.similarity(name, F.lit(query)) > SIMILARITY)
+    return hits >= max(1, -(-len(found) // 2))
 
 
-def score(name: Column, found: list[tuple[str, bool]], query: str) -> Column:
-    """How well a name matches: weights of its keywords, a bonus for the whole query and for beginning so, and similarity."""
+def keyword_score(name: Column, found: list[tuple[str, bool]], query: str) -> Column:
+    """The part of a score that keywords have: their weights, and a bonus for the whole query and for beginning so."""
     parts = [F.when(has(name, k), FIRST if i == 0 else REQUIRED if required else OTHER).otherwise(0) for i, (k, required) in enumerate(found)]
     low, whole = F.lower(name), F.lower(F.lit(query))
     parts += [F.when(low == whole, EXACT).otherwise(0), F.when(low.startswith(whole), PREFIX).otherwise(0)]
-    parts += [F.coalesce(clean.word_similarity(F.lit(query), name), F.lit(0.0)) * BY_WORD, F.coalesce(text.similarity(name, F.lit(query)), F.lit(0.0)) * BY_ALL]
     return reduce(lambda a, b: a + b, parts)
 
 
+def score(name: Column, found: list[tuple[str, bool]], query: str) -> Column:
+    """How well a name matches: its keywords, and similarity. grams.best() has the rows of the best scores."""
+    by_word, by_all = clean.word_similarity(F.lit(query), name), text.similarity(name, F.lit(query))
+    return keyword_score(name, found, query) + F.coalesce(by_all, F.lit(0.0)) * BY_ALL + F.coalesce(by_word, F.lit(0.0)) * BY_WORD
+
+
 def order(kind: str, relevance: Column, size: str, created: str, tie: str) -> list[Column]:
     """The order of results by relevance, size or (any other kind) date, newest first."""
     kinds = {"relevance": [relevance.desc(), F.desc(size)], "size": [F.desc(size)]}

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brindle.functions import clean, search, text
+from brindle.functions import clean, search
+from brindle.operators import grams, segment
 from brindle.plans.catalogue import query, table
+from brindle.session import Scratch
 
 
 def _grams(value: str) -> str:
@@ -62,15 +64,44 @@ def x04_keywords(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", *[shown(m) for m in ("fuzzy", "exact", "smart")])
 
 
-@query(f"""SELECT p_partkey, ({_NAME} ILIKE '%cold%')::INT + ({_NAME} ILIKE '%widget%')::INT + ({_NAME} ILIKE '%promo%')::INT + ({_NAME} ILIKE '%cold widget promo%')::INT >= 2 AS enough, round(ws, 6) AS by_word, round({_similarity(_NAME, "'cold widget promo'")}, 6) AS by_all
+_LONG = "lower(p_name || ' ' || p_type || ' ' || p_name)"
+
+
+@query(f"""SELECT p_partkey, array_to_string(w, '|') AS words, array_to_string(w, '') || '|' || array_to_string(list_transform(list_filter(list_transform(w, lambda x, i: {{'w': x, 'i': i}}), lambda y: list_position(w, y.w) = y.i), lambda y: y.w || CASE WHEN list_contains(types, y.w) THEN '!' ELSE '' END), '|') AS smart
+FROM (SELECT p_partkey, string_split({_LONG}, ' ') AS w FROM part), (SELECT list(DISTINCT lower(p_type)) AS types FROM part)""")
+def x04_segmented(spark, sf_dir):
+    """Names, types and names again without blanks come apart into their words; as queries, types are what is required."""
+    parts = table(spark, sf_dir, "part")
+    named = parts.select(F.explode(F.split(F.lower("p_name"), " ")).alias("word"), F.lit("a").alias("tag"))
+    typed = parts.select(F.lower("p_type").alias("word"), F.lit("n").alias("tag"))
+    lexicon = named.unionByName(typed).groupBy("word").agg(F.count("*").alias("freq"), F.max("tag").alias("tag"))
+    asked = parts.select("p_partkey", F.replace(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_name")), F.lit(" "), F.lit("")).alias("q"))
+    cut = segment.segment(asked, "q", lexicon, "parts", whole=None)
+    shown = F.transform(search.keywords(F.col("q"), "smart", search.cut_items(F.col("parts"))), lambda x: F.concat(x["keyword"], F.when(x["required"], "!").otherwise("")))
+    return cut.select("p_partkey", F.array_join(F.transform("parts", lambda w: w["word"]), "|").alias("words"), F.array_join(shown, "|").alias("smart"))
+
+
+_FUZZY = f"""SELECT p_partkey, ({_NAME} ILIKE '%cold%')::INT + ({_NAME} ILIKE '%widget%')::INT + ({_NAME} ILIKE '%promo%')::INT + ({_NAME} ILIKE '%cold widget promo%')::INT >= 2 AS enough, round(ws, 6) AS by_word, round({_similarity(_NAME, "'cold widget promo'")}, 6) AS by_all
 FROM part JOIN ({_word_similarity("part", "p_partkey", _NAME, "'cold widget promo'")}) USING (p_partkey)
-WHERE ({_NAME} ILIKE '%cold%')::INT + ({_NAME} ILIKE '%widget%')::INT + ({_NAME} ILIKE '%promo%')::INT + ({_NAME} ILIKE '%cold widget promo%')::INT >= 2 OR ws > 0.25 OR {_similarity(_NAME, "'cold widget promo'")} > 0.15""")
+WHERE ({_NAME} ILIKE '%cold%')::INT + ({_NAME} ILIKE '%widget%')::INT + ({_NAME} ILIKE '%promo%')::INT + ({_NAME} ILIKE '%cold widget promo%')::INT >= 2 OR ws > 0.25 OR {_similarity(_NAME, "'cold widget promo'")} > 0.15"""
+
+
+@query(_FUZZY)
 def p03_fuzzy(spark, sf_dir):
     """Parts that hold half of the keywords of a query or are similar to it, with what decides."""
     asked, name = "cold widget promo", _part_name()
-    found = search.plan(spark, asked, "fuzzy")
-    rows = table(spark, sf_dir, "part").where(search.matches(name, found, "fuzzy", asked))
-    return rows.select("p_partkey", search.matches(name, found, "fuzzy").alias("enough"), F.round(clean.word_similarity(F.lit(asked), name), 6).alias("by_word"), F.round(text.similarity(name, F.lit(asked)), 6).alias("by_all"))
+    rows = grams.fuzzy(table(spark, sf_dir, "part"), "p_partkey", name, asked, search.plan(spark, asked, "fuzzy"))
+    return rows.select("p_partkey", "enough", F.round("by_word", 6).alias("by_word"), F.round("by_all", 6).alias("by_all"))
+
+
+@query(_FUZZY)
+def p03_by_index(spark, sf_dir):
+    """The same from the posting lists of a written index: a part whose lists tell that it can't match isn't read."""
+    asked, name, path = "cold widget promo", _part_name(), Scratch(spark, "gram-index").base
+    parts = table(spark, sf_dir, "part")
+    grams.write_index(parts, "p_partkey", name, path)
+    rows = grams.fuzzy(parts, "p_partkey", name, asked, search.plan(spark, asked, "fuzzy"), grams.read_index(spark, path))
+    return rows.select("p_partkey", "enough", F.round("by_word", 6).alias("by_word"), F.round("by_all", 6).alias("by_all"))
 
 
 @query("SELECT doc_id, 'quoted' AS mode FROM documents WHERE text ILIKE '%ation%' UNION ALL SELECT doc_id, 'longest' FROM documents WHERE text ILIKE '%tion%' UNION ALL SELECT doc_id, 'exact' FROM documents WHERE text ILIKE '%tion%' AND text ILIKE '%with%' AND text ILIKE '%er%'")
@@ -89,10 +120,41 @@ FROM part JOIN ({_word_similarity("part", "p_partkey", _NAME, "'blue rod'")}) US
 def t01_relevance(spark, sf_dir):
     """The fifty parts that fit a query best: keywords, the whole query, its beginning, and similarity."""
     asked = "blue rod"
-    found = search.plan(spark, asked)
-    score = F.round(search.score(_part_name(), found, asked), 6)
-    rows = table(spark, sf_dir, "part").select("p_partkey", score.alias("score"), "p_retailprice")
-    return rows.orderBy(*search.order("relevance", F.col("score"), "p_retailprice", "p_retailprice", "p_partkey")).limit(50).select("p_partkey", "score")
+    rows = grams.best(table(spark, sf_dir, "part"), _part_name(), asked, search.plan(spark, asked), [F.desc("p_retailprice"), F.col("p_partkey")], 50)
+    return rows.select("p_partkey", F.round("score", 6).alias("score"))
+
+
+_DOC = _grams("coalesce(text, '')")
+
+
+@query(f"""SELECT gram, count(*) AS n, sum(size)::BIGINT AS sizes FROM (SELECT doc_id, len(g) AS size, unnest(g) AS gram FROM (SELECT doc_id, list_distinct({_DOC}) AS g FROM documents)) GROUP BY gram""")
+def x01_postings(spark, sf_dir):
+    """For each trigram of the documents, how many have it and how many trigrams these have."""
+    index = grams.postings(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit("")))
+    return index.groupBy("gram").agg(F.count("*").alias("n"), F.sum("size").alias("sizes"))
+
+
+_LICENCE = "the gnu general public license"
+
+
+@query(f"""SELECT doc_id, shared, round(shared / (size + asked - shared), 6) AS similarity FROM (SELECT doc_id, len(list_intersect(g, a)) AS shared, len(g) AS size, len(a) AS asked FROM (SELECT doc_id, list_distinct({_DOC}) AS g, list_distinct({_grams(chr(39) + _LICENCE + chr(39))}) AS a FROM documents))
+WHERE shared > 0.25 * asked""")
+def x01_by_index(spark, sf_dir):
+    """Documents with more than a quarter of a phrase's trigrams, from a written index, without reading a text again."""
+    path = Scratch(spark, "gram-index").base
+    grams.write_index(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit("")), path)
+    asked = grams.query_grams(_LICENCE)
+    found = grams.hits(grams.read_index(spark, path), asked).withColumn("shared", F.size("grams"))
+    return found.where(F.col("shared") > 0.25 * len(asked)).select(F.col("key").alias("doc_id"), "shared", F.round(F.col("shared") / (F.col("size") + len(asked) - F.col("shared")), 6).alias("similarity"))
+
+
+@query(f"""WITH named AS (SELECT DISTINCT p_name FROM part), p AS (SELECT p_name, list_distinct({_grams("p_name")}) AS g FROM named)
+SELECT a.p_name AS one, b.p_name AS other, len(list_intersect(a.g, b.g)) AS shared, round(len(list_intersect(a.g, b.g)) / len(list_distinct(a.g || b.g)), 6) AS similarity FROM p a JOIN p b ON a.p_name < b.p_name WHERE len(list_intersect(a.g, b.g)) / len(list_distinct(a.g || b.g)) >= 0.5""")
+def x01_similar_names(spark, sf_dir):
+    """Pairs of part names whose trigrams are alike by half or more, by a prefix join of posting lists."""
+    index = grams.postings(table(spark, sf_dir, "part").select("p_name").distinct(), "p_name", F.col("p_name"))
+    pairs = grams.similar_pairs(index, index, 0.5).where(F.col("left") < F.col("right"))
+    return pairs.select(F.col("left").alias("one"), F.col("right").alias("other"), "shared", F.round("similarity", 6).alias("similarity"))
 
 
 @query("""SELECT 'size' AS kind, o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderdate DESC, o_orderkey LIMIT 30)
