@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.functions import clean
+from brindle.functions import clean, markup
 
 
 def _let(value: Column, f) -> Column:
@@ -72,22 +72,47 @@ def anchor_rows(html: Column, page: str = "read.php", skip: tuple[str, ...] = ()
     return first_of(rows, "tid")
 
 
-def thread_title(html: Column) -> Column:
+#: How the markup of a thread page names its parts.
+SUBJECT_ID, POST_ID, MESSAGE_ID, AUTHOR_CLASS, CODE_CLASS = "thread_subject", r"^post_\d+$", r"^postmessage_(\d+)$", "xi2", "blockcode"
+
+
+def _first(nodes: Column) -> Column:
+    return F.get(nodes, F.lit(0))
+
+
+def thread_title(page: Column) -> Column:
     """The text of the element with the id of a subject, else of `<title>` up to its first ` - `."""
-    subject = F.regexp_extract(html, r'(?is)id="thread_subject"[^<>]*>([^<]+)<', 1)
-    return F.coalesce(_some(F.btrim(subject)), F.split_part(clean.html_text(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1)), F.lit(" - "), F.lit(1)))
+    subject = _first(markup.pick(page, lambda n: markup.attr(n, "id") == SUBJECT_ID))
+    title = _first(markup.pick(page, lambda n: n["tag"] == "title"))
+    return F.coalesce(_some(markup.inner_text(page, subject)), F.split_part(markup.inner_text(page, title), F.lit(" - "), F.lit(1)))
+
 
+def messages(page: Column) -> Column:
+    """The elements that hold what was said."""
+    return markup.pick(page, lambda n: markup.attr(n, "id").rlike(MESSAGE_ID))
+
+
+def posts(page: Column, most: int | None = None) -> Column:
+    """The posts of a thread page as an array of (pid, floor, author, content, begin, end); posts without text are none.
+
+    A post is an element with its own message and author somewhere in it, whatever tables or lists these hold. begin
+    and end are places in the page's text. most cuts contents.
+    """
 
-def posts(html: Column, most: int | None = None) -> Column:
-    """The posts of a thread page as an array of (pid, floor, author, content); posts without text are none. most cuts contents."""
-    parts = F.regexp_extract_all(html, F.lit(r'(?is)(<div[^<>]*\sid="post_\d+".*?id="postmessage_\d+"[^<>]*>.*?</td>)'), F.lit(1))
+    def parts(inside: Column) -> Column:
+        message = _first(F.filter(inside, lambda n: markup.attr(n, "id").rlike(MESSAGE_ID)))
+        return F.struct(message.alias("message"), _first(F.filter(inside, lambda n: markup.has_class(n, AUTHOR_CLASS))).alias("author"))
 
-    def post(p: Column) -> Column:
-        text = clean.html_text(F.regexp_extract(p, r'(?is)id="postmessage_\d+"[^<>]*>(.*?)</td>', 1))
-        return F.struct(F.regexp_extract(p, r'id="postmessage_(\d+)"', 1).alias("pid"), F.btrim(F.regexp_extract(p, r'(?is)class="xi2"[^<>]*>([^<]+)</a>', 1)).alias("author"), (F.left(text, F.lit(most)) if most else text).alias("content"))
+    def said(x: Column) -> Column:
+        text, m = markup.inner_text(page, x["message"]), x["message"]
+        return F.struct(F.regexp_extract(markup.attr(m, "id"), MESSAGE_ID, 1).alias("pid"), F.coalesce(markup.inner_text(page, x["author"]), F.lit("")).alias("author"), (F.left(text, F.lit(most)) if most else text).alias("content"), m["begin"].alias("begin"), m["end"].alias("end"))
 
-    filled = F.filter(F.transform(parts, post), lambda x: x["content"] != "")
-    return F.transform(filled, lambda x, i: F.struct(x["pid"].alias("pid"), (i + 1).alias("floor"), x["author"].alias("author"), x["content"].alias("content")))
+    # only these elements matter below, so that each post looks through few
+    marked = F.filter(page["nodes"], lambda n: F.coalesce(markup.attr(n, "id").rlike(rf"{POST_ID}|{MESSAGE_ID}"), F.lit(False)) | markup.has_class(n, AUTHOR_CLASS))
+    post = lambda nodes: F.transform(F.filter(nodes, lambda n: markup.attr(n, "id").rlike(POST_ID)), lambda head: parts(markup.within(nodes, head)))
+    found = F.transform(_let(marked, post), said)
+    filled = F.filter(found, lambda x: x["content"] != "")
+    return F.transform(filled, lambda x, i: F.struct(x["pid"].alias("pid"), (i + 1).alias("floor"), x["author"].alias("author"), x["content"].alias("content"), x["begin"].alias("begin"), x["end"].alias("end")))
 
 
 def author_posts(found: Column, most: int = 5) -> Column:
@@ -101,16 +126,59 @@ def corpus(bodies: Column, attached: Column, link: str) -> Column:
     return F.array_join(F.when(has, attached).otherwise(F.concat(bodies, attached)), "\n")
 
 
-def code_blocks(html: Column, mark: str = "blockcode") -> Column:
+def code_blocks(page: Column, mark: str = CODE_CLASS) -> Column:
     """The texts of code blocks of a page."""
-    parts = F.regexp_extract_all(html, F.lit(rf'(?is)<div[^<>]*class="{mark}"[^<>]*>(.*?)</div>'), F.lit(1))
-    return F.filter(F.transform(parts, clean.html_text), lambda t: t != "")
+    return F.filter(F.transform(markup.pick(page, lambda n: markup.has_class(n, mark)), lambda n: markup.inner_text(page, n)), lambda t: t != "")
 
 
-def attachments(html: Column) -> Column:
-    """Links to attachments as an array of (aid, name), the first of each number."""
-    parts = F.regexp_extract_all(html, F.lit(r'(?is)(<a\b[^<>]*href="[^"]*aid=\w+[^"]*"[^<>]*>[^<]*</a>)'), F.lit(1))
-    return first_of(F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"aid=(\w+)", 1).alias("aid"), F.btrim(F.regexp_extract(p, r">([^<]*)</a>$", 1)).alias("name"))), "aid")
+def table_fields(page: Column) -> Column:
+    """The rows of tables that begin with a heading as an array of (label, value), in order."""
+    cells = markup.pick(page, lambda n: n["tag"] == "td")
+    pair = lambda h: F.struct(markup.inner_text(page, h).alias("label"), markup.inner_text(page, _first(F.filter(cells, lambda c: (c["parent"] == h["parent"]) & (c["node"] > h["node"])))).alias("value"))
+    return F.filter(F.transform(markup.pick(page, lambda n: n["tag"] == "th"), pair), lambda x: (x["label"] != "") & (x["value"] != ""))
+
+
+def attachments(page: Column, wanted: str | None = None, unwanted: str | None = None) -> Column:
+    """Links to attachments as an array of (aid, name), the first of each number; names may have to match one expression and not another."""
+    found = markup.pick(page, lambda n: (n["tag"] == "a") & markup.attr(n, "href").rlike(r"aid=\w+"))
+    named = F.transform(found, lambda n: F.struct(F.regexp_extract(markup.attr(n, "href"), r"aid=(\w+)", 1).alias("aid"), markup.inner_text(page, n).alias("name")))
+    ok = lambda x: (x["name"].rlike(wanted) if wanted else F.lit(True)) & (~x["name"].rlike(unwanted) if unwanted else F.lit(True))
+    return first_of(F.filter(named, ok), "aid")
+
+
+def absolute(url: Column, base: Column) -> Column:
+    """An address as seen from another: with its scheme, from its root, or beside it."""
+    root, beside = F.regexp_extract(base, r"^([a-z]+://[^/?#]+)", 1), F.regexp_extract(base, r"^([a-z]+://[^/?#]+(?:/[^?#]*/|/)?)", 1)
+    here = F.when(beside.endswith("/"), beside).otherwise(F.concat(beside, F.lit("/")))
+    return F.when(url.rlike(r"^[a-z][a-z0-9+.-]*:"), url).when(url.startswith("//"), F.concat(F.regexp_extract(base, r"^([a-z]+:)", 1), url)).when(url.startswith("/"), F.concat(root, url)).otherwise(F.concat(here, F.regexp_replace(url, r"^(\./)+", "")))
+
+
+def images(page: Column, base: Column, sources: tuple[str, ...] = ("zoomfile", "file", "data-original", "src"), noise: str | None = None, most: int = 6) -> Column:
+    """Addresses of images, each once: those within messages first, then others, in order; at most so many.
+
+    The first filled attribute of sources counts; addresses that match noise go.
+    """
+    said = messages(page)
+    one = lambda n: F.struct(
+        (~F.exists(said, lambda m: (n["begin"] >= m["begin"]) & (n["end"] <= m["end"]) & (n["depth"] > m["depth"]))).alias("outside"), n["node"].alias("node"), absolute(F.btrim(F.coalesce(*[_some(markup.attr(n, a)) for a in sources], F.lit(""))), base).alias("url")
+    )
+    pictures = markup.pick(page, lambda n: (n["tag"] == "img") & F.coalesce(*[_some(markup.attr(n, a)) for a in sources]).isNotNull())
+    found = F.array_sort(F.transform(pictures, one))
+    clear = F.filter(found, lambda x: ~x["url"].rlike(noise)) if noise else found
+    return F.slice(F.array_distinct(F.transform(clear, lambda x: x["url"])), 1, most)
+
+
+def query_ids(page: Column, name: str) -> Column:
+    """The numbers that links of a page give for a name, as in `fid=7` or `typeid=3`, in order."""
+    links = markup.pick(page, lambda n: markup.attr(n, "href").rlike(rf"(?:^|[?&;]){name}[=-]\d+"))
+    return F.transform(links, lambda n: F.regexp_extract(markup.attr(n, "href"), rf"(?:^|[?&;]){name}[=-](\d+)", 1))
+
+
+def board_meta(page: Column, preferred: tuple[str, ...], fallback: Column) -> Column:
+    """(board, type) of a page: the first preferred board that it links to, else its first one, else a fallback; and the first type."""
+    boards, kinds = query_ids(page, "fid"), query_ids(page, "(?:filter=typeid&)?typeid")
+    listed = F.filter(boards, lambda x: x.isin(*preferred))
+    return F.struct(F.coalesce(_first(listed), _first(boards), fallback).alias("board"), _first(kinds).alias("type"))
 
 
 def posted_at(html: Column, labels: tuple[str, ...] = ("发表于", "posted at")) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brindle.functions import links, pages
+from brindle.functions import links, markup, pages
 from brindle.operators import boards, facets, frames
 from brindle.plans.catalogue import query, table
 from brindle.session import Scratch
@@ -19,58 +19,79 @@ def _joined(rows, key: str, order: str, piece):
     return grouped.select(key, F.concat(F.lit("<html><title>List - x</title><table>"), F.array_join(F.transform("ps", lambda p: p["piece"]), "\n"), F.lit("</table></html>")).alias("html"))
 
 
-@query("SELECT c_nationkey, c_custkey AS tid, c_custkey % 9 = 0 AS sticky, 'thread-' || c_custkey || '-1-1.html?a=1&b=2' AS url, c_name || ' & co' AS title, '2024-1-' || (c_custkey % 28 + 1) AS posted FROM customer")
+def _by_page(spark, sf_dir):
+    return table(spark, sf_dir, "customer").withColumn("page", F.floor(F.col("c_custkey") / 40))
+
+
+@query("SELECT c_custkey // 40 AS page, c_custkey AS tid, c_custkey % 9 = 0 AS sticky, 'thread-' || c_custkey || '-1-1.html?a=1&b=2' AS url, c_name || ' & co' AS title, '2024-1-' || (c_custkey % 28 + 1) AS posted FROM customer")
 def s07_list_page(spark, sf_dir):
-    """Rows of list pages, one page a nation, each row twice."""
+    """Rows of list pages of forty customers, each row twice."""
     k = F.col("c_custkey").cast("string")
     kind = F.when(F.col("c_custkey") % 9 == 0, "stick").otherwise("normal")
     row = F.concat(F.lit('<tbody id="'), kind, F.lit("thread_"), k, F.lit('"><tr><td><a href="/x">x</a> <A class="s" href="thread-'), k, F.lit('-1-1.html?a=1&amp;b=2">'), "c_name", F.lit(" <b>& co</b></A><em>2024-1-"), (F.col("c_custkey") % 28 + 1).cast("string"), F.lit("</em></td></tr></tbody>"))
-    html = _joined(table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", F.concat(row, row))
-    return html.select("c_nationkey", F.explode(pages.list_rows(F.col("html"))).alias("r")).select("c_nationkey", "r.*")
+    html = _joined(_by_page(spark, sf_dir), "page", "c_custkey", F.concat(row, row))
+    return html.select("page", F.explode(pages.list_rows(F.col("html"))).alias("r")).select("page", "r.*")
 
 
-@query("SELECT c_nationkey, c_custkey AS tid, 'read.php?fid=3&tid=' || c_custkey AS url, c_name AS title FROM customer WHERE c_custkey % 10 <> 3")
+@query("SELECT c_custkey // 40 AS page, c_custkey AS tid, 'read.php?fid=3&tid=' || c_custkey AS url, c_name AS title FROM customer WHERE c_custkey % 10 <> 3")
 def s08_anchor_page(spark, sf_dir):
     """Links of another kind of list page; those with short or listed titles go."""
     k = F.col("c_custkey").cast("string")
     title = F.when(F.col("c_custkey") % 20 == 3, "x").when(F.col("c_custkey") % 10 == 3, "next").otherwise(F.col("c_name"))
     row = F.concat(F.lit('<td><a name="n" href="read.php?fid=3&amp;tid='), k, F.lit('#top">'), title, F.lit("</a></td>"))
-    html = _joined(table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", row)
-    return html.select("c_nationkey", F.explode(pages.anchor_rows(F.col("html"), skip=("next",))).alias("r")).select("c_nationkey", "r.*")
+    html = _joined(_by_page(spark, sf_dir), "page", "c_custkey", row)
+    return html.select("page", F.explode(pages.anchor_rows(F.col("html"), skip=("next",))).alias("r")).select("page", "r.*")
 
 
 def _threads(spark, sf_dir):
+    """One thread a customer: posts with a table, a list without closing tags, code, pictures and a quoted bracket inside."""
     k = F.col("o_orderkey").cast("string")
-    body = F.concat(F.lit("said "), "o_orderpriority", F.lit('<div class="blockcode"><ol><li>code '), k, F.lit("</li></ol></div><br>end"), F.lit(' posted at <span title="2024-2-3 4:05">x</span> fid=7 fid=12 <a href="f?aid='), k, F.lit('">a'), k, F.lit(".txt</a>"))
+    inner = F.concat(F.lit("<table><tr><th>priority<td>"), "o_orderpriority", F.lit('</table><ul><li>one<li title="a > b">two</ul><div class="x blockcode"><ol><li>code '), k, F.lit("</ol></div>"))
+    seen = F.concat(F.lit('<img src="/i/'), k, F.lit('.jpg" file="//img.example/'), k, F.lit('.jpg"><img src="smilies/1.gif">'))
+    body = F.concat(F.lit("said &amp; done"), inner, F.lit("end"), seen, F.lit(' posted at <span title="2024-2-3 4:05">x</span><a href="f?aid='), k, F.lit('">a'), k, F.lit(".txt</a>"))
     body = F.when(F.col("o_orderkey") % 11 == 0, "<br>").otherwise(body)
-    piece = F.concat(F.lit('<div class="p" id="post_'), k, F.lit('"><a class="xi2" href="u">'), "o_orderstatus", F.lit('</a><table><td class="t_f" id="postmessage_'), k, F.lit('">'), body, F.lit("</td></table></div>"))
-    return _joined(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", piece)
+    piece = F.concat(F.lit('<div class="p" id="post_'), k, F.lit('"><a class="xi2" href="u">'), "o_orderstatus", F.lit('</a><table><tr><td class="t_f" id="postmessage_'), k, F.lit('">'), body, F.lit("</td></tr></table></div>"))
+    html = _joined(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", piece)
+    head = F.lit('<img src="logo.png"><a href="f.php?fid=7&amp;x=1">b</a><a href="f.php?fid=12&amp;filter=typeid&amp;typeid=5">c</a>')
+    return html.select("o_custkey", F.concat(head, "html").alias("html")).withColumn("page", markup.tree("html"))
 
 
 _POSTS = "SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS floor FROM orders WHERE o_orderkey % 11 <> 0"
 
 
-@query(f"SELECT o_custkey, o_orderkey::VARCHAR AS pid, floor, o_orderstatus AS author, length('said ' || o_orderpriority || 'code ' || o_orderkey || 'end posted at x fid=7 fid=12 a' || o_orderkey || '.txt') + 2 AS n FROM ({_POSTS})")
+@query(f"""SELECT o_custkey, o_orderkey::VARCHAR AS pid, floor, o_orderstatus AS author, 'said & done' || chr(10) || 'priority' || chr(10) || o_orderpriority || chr(10) || 'one' || chr(10) || 'two' || chr(10) || 'code ' || o_orderkey || chr(10) || 'end posted at xa' || o_orderkey || '.txt' AS content FROM ({_POSTS})""")
 def x93_posts(spark, sf_dir):
-    """Posts of threads, one thread a customer; posts without text are none."""
-    found = _threads(spark, sf_dir).select("o_custkey", F.explode(pages.posts(F.col("html"))).alias("p"))
-    return found.select("o_custkey", "p.pid", "p.floor", "p.author", F.length("p.content").alias("n"))
+    """Posts of threads with tables and lists in them; posts without text are none."""
+    found = _threads(spark, sf_dir).select("o_custkey", F.explode(pages.posts(F.col("page"))).alias("p"))
+    return found.select("o_custkey", "p.pid", "p.floor", "p.author", "p.content")
 
 
 @query(f"SELECT o_custkey, least(5, count(*) FILTER (WHERE o_orderstatus = first)) AS n, min(first) AS author FROM (SELECT *, first_value(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS first FROM ({_POSTS})) GROUP BY o_custkey")
 def x62_author_posts(spark, sf_dir):
     """How many posts of a thread are by its author, five at most."""
-    own = pages.author_posts(pages.posts(F.col("html")))
+    own = pages.author_posts(pages.posts(F.col("page")))
     return _threads(spark, sf_dir).select("o_custkey", own.alias("own")).where(F.size("own") > 0).select("o_custkey", F.size("own").alias("n"), F.get("own", F.lit(0))["author"].alias("author"))
 
 
-@query(f"SELECT o_custkey, count(*) AS blocks, min('code ' || o_orderkey) AS least, count(*) AS files, min('a' || o_orderkey || '.txt') AS file, TIMESTAMP '2024-02-03 04:05:00' AS posted, '12' AS board, 'List' AS title FROM ({_POSTS}) GROUP BY o_custkey")
+@query(f"""SELECT o_custkey, count(*) AS blocks, min('code ' || o_orderkey) AS least, count(*) AS files, min('a' || o_orderkey || '.txt') AS file, TIMESTAMP '2024-02-03 04:05:00' AS posted, '12' AS board, '5' AS kind, 'List' AS title,
+string_agg(o_orderpriority, '|' ORDER BY o_orderkey) AS fields, string_agg('https://img.example/' || o_orderkey || '.jpg', '|' ORDER BY o_orderkey) FILTER (WHERE floor <= 6) || CASE WHEN count(*) < 6 THEN '|https://t.example/a/logo.png' ELSE '' END AS images FROM ({_POSTS}) GROUP BY o_custkey""")
 def s09_thread_page(spark, sf_dir):
-    """What else a thread page has: code blocks, attachments, its date, board and title."""
-    h = F.col("html")
-    read = _threads(spark, sf_dir).select("o_custkey", pages.code_blocks(h).alias("c"), pages.attachments(h).alias("a"), pages.posted_at(h).cast("timestamp_ntz").alias("posted"), pages.board_id(h, ("12", "13"), F.lit("0")).alias("board"), pages.thread_title(h).alias("title"))
+    """What else a thread page has: code blocks, attachments, fields, pictures, its date, board, type and title."""
+    p, h = F.col("page"), F.col("html")
+    seen = pages.images(p, F.lit("https://t.example/a/b?c=d"), noise="smilies/")
+    read = _threads(spark, sf_dir).select("o_custkey", pages.code_blocks(p).alias("c"), pages.attachments(p, r"\.txt$", "^b").alias("a"), pages.table_fields(p).alias("f"), seen.alias("i"), pages.posted_at(h).cast("timestamp_ntz").alias("posted"), pages.board_meta(p, ("12", "13"), F.lit("0")).alias("b"), pages.thread_title(p).alias("title"))
     names = F.transform("a", lambda x: x["name"])
-    return read.where(F.size("c") > 0).select("o_custkey", F.size("c").alias("blocks"), F.array_min("c").alias("least"), F.size("a").alias("files"), F.array_min(names).alias("file"), "posted", "board", "title")
+    return read.where(F.size("c") > 0).select("o_custkey", F.size("c").alias("blocks"), F.array_min("c").alias("least"), F.size("a").alias("files"), F.array_min(names).alias("file"), "posted", F.col("b.board").alias("board"), F.col("b.type").alias("kind"), "title", F.array_join(F.transform("f", lambda x: x["value"]), "|").alias("fields"), F.array_join("i", "|").alias("images"))
+
+
+_BARE = r"regexp_replace(html, '<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<textarea[^>]*>.*?</textarea>|<noscript[^>]*>.*?</noscript>', '', 'gs')"
+
+
+@query(f"SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(lower({_BARE}), '<([a-z][^\\s/>]*)', 1)) AS tag FROM pages) GROUP BY ALL")
+def s09_elements(spark, sf_dir):
+    """Elements of web pages by name, but for scripts and styles."""
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(markup.tree("html")["nodes"]).alias("n"))
+    return found.where(~F.col("n.tag").isin("script", "style", "textarea", "noscript")).groupBy("page_id", F.col("n.tag").alias("tag")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 1 THEN 'é' WHEN p_partkey % 3 = 2 THEN '名' ELSE '名é' END AS text FROM part")
@@ -162,11 +183,11 @@ def x60_merged_metadata(spark, sf_dir):
     return out.select("l_orderkey", "title", F.size("people").alias("people"), F.size("sources").alias("sources"))
 
 
-@query("SELECT r_name AS scope, n_name AS name, substr(r_name, 1, 2) || '-' || (n_nationkey % 3) AS prefix FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey < 3")
+@query("SELECT r_name AS scope, n_name AS name, substr(r_name, 1, 2) || '-' || (n_nationkey % 3) AS prefix FROM region JOIN nation ON n_regionkey = r_regionkey")
 def x92_scope_prefixes(spark, sf_dir):
-    """The prefixes of some scopes, from nested boards."""
+    """The prefixes of each scope, from nested boards."""
     n = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list(F.struct(F.col("n_name").alias("name"), (F.col("n_nationkey") % 3).cast("string").alias("k"))).alias("children"))
-    nested = table(spark, sf_dir, "region").join(n, "r_regionkey").where("r_regionkey < 3")
+    nested = table(spark, sf_dir, "region").join(n, "r_regionkey")
     return nested.select(F.col("r_name").alias("scope"), F.explode("children").alias("c")).select("scope", "c.name", F.concat(F.left("scope", F.lit(2)), F.lit("-"), "c.k").alias("prefix"))
 
 
@@ -178,7 +199,8 @@ def x57_thread(spark, sf_dir):
     body = F.concat(F.lit("【name】："), "o_orderpriority", F.lit("<br>【size】："), (F.col("o_orderkey") % 60).cast("string"), F.lit("<br>magnet:?xt=urn:btih:"), F.sha1(k))
     piece = F.concat(F.lit('<div id="post_'), k, F.lit('"><a class="xi2">'), "o_orderstatus", F.lit('</a><td id="postmessage_'), k, F.lit('">'), body, F.lit("</td></div>"))
     html = _joined(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", piece)
-    own = pages.author_posts(pages.posts(F.col("html")))
+    html = html.withColumn("page", markup.tree("html"))
+    own = pages.author_posts(pages.posts(F.col("page")))
     text = pages.corpus(F.transform(own, lambda p: p["content"]), F.array().cast("array<string>"), "magnet:")
     lines = Scratch(spark, "thread").save(html.select("o_custkey", text.alias("t")).select("o_custkey", F.posexplode(F.split("t", "\n")).alias("at", "line")))
     labelled = lambda label: lines.where(F.col("line").startswith(f"【{label}】")).select("o_custkey", "at", F.regexp_extract("line", "】：(.*)", 1).alias(label))
