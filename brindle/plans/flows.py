@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.plans.catalogue import query, table
 from brindle.session import Scratch
 from brindle.sources import backup
-from brindle.streaming import flows
+from brindle.streaming import flows, timers
 
 
 def _stream(spark, sf_dir, name: str):
@@ -119,3 +119,35 @@ def z04_stream_states(spark, sf_dir):
     writer.foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     last = spark.read.parquet(f"{out}/rows").groupBy("key").agg(F.max_by(F.struct("fails", "state"), "batch").alias("s"))
     return last.select("key", "s.fails", "s.state")
+
+
+_KINDS = "CASE event_type WHEN 'purchase' THEN 'done' WHEN 'signup' THEN 'skip' WHEN 'error' THEN 'retry' ELSE 'claim' END"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, ts, {_KINDS} AS kind, value FROM events), g AS (SELECT *, lead(ts) OVER w AS following, count(*) FILTER (WHERE kind IN ('done', 'skip')) OVER w AS span FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+f AS (SELECT *, CASE WHEN kind IN ('done', 'skip') THEN 0 ELSE count(*) FILTER (WHERE kind = 'retry') OVER (PARTITION BY user_id, span ORDER BY event_id) END AS fails FROM g),
+u AS (SELECT *, date_trunc('milliseconds', ts) + to_milliseconds(CASE WHEN kind = 'claim' THEN 600000 WHEN kind = 'retry' AND fails < 3 THEN floor(greatest(30, coalesce(value, 0)) * 1000)::BIGINT END) AS until FROM f)
+SELECT user_id AS key, ts::TIMESTAMP AS at, CASE kind WHEN 'done' THEN 'done' WHEN 'skip' THEN 'skipped' WHEN 'claim' THEN 'running' ELSE CASE WHEN fails >= 3 THEN 'failed' ELSE 'waiting' END END AS state, fails::INT AS fails FROM u
+UNION ALL SELECT user_id, until::TIMESTAMP, 'ready', fails::INT FROM u WHERE until <= date_trunc('milliseconds', following) OR (following IS NULL AND until < (SELECT date_trunc('milliseconds', max(ts)) FROM events))""")
+def z04_timers(spark, sf_dir):
+    """Every change of each user's job, kept by a stream: retries that come due and leases that run out fire as time passes."""
+    out = _folder(spark, "timers")
+    log = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.expr(_KINDS).alias("kind"), F.col("ts").cast("timestamp").alias("at"), F.col("value").cast("double").alias("seconds"))
+    return _timed(spark, timers.job_states(log), out).select("key", F.col("at").cast("timestamp_ntz").alias("at"), "state", "fails")
+
+
+def _timed(spark, df, out: str):
+    """The rows of a stream with timers, once all of its input has been read."""
+    keep = lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{out}/rows")
+    with timers.timed_state(spark):
+        df.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+@query("""WITH s AS (SELECT DISTINCT event_type AS key, epoch(date_trunc('second', ts))::BIGINT AS s FROM events), n AS (SELECT *, lead(s) OVER (PARTITION BY key ORDER BY s) AS following FROM s)
+SELECT key, make_timestamp((s + 60) * 1000000) AS at FROM n WHERE following >= s + 60 OR (following IS NULL AND (s + 60) * 1000 < (SELECT epoch_ms(max(ts)) FROM events))""")
+def z01_idle(spark, sf_dir):
+    """When the rate of each kind of event fell to none, a minute after its last one, without any row to tell."""
+    out = _folder(spark, "idle")
+    log = _stream(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("at"))
+    return _timed(spark, timers.decaying_rates(log), out).where("n = 0").select("key", F.col("at").cast("timestamp_ntz").alias("at"))
