@@ -85,9 +85,8 @@ def display_name(id_: Column, names: dict[str, str], description: Column, marks:
     return F.coalesce(known[key], F.nullif(key, F.lit("")), F.nullif(F.btrim(marked), F.lit("")), F.lit(""))
 
 
-#: Signs that alone make no name.
-_DECORATION = r"^[\s\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0E}\x{FE0F}\x{200D}⭐＊※●○◆◇■□▲△▼▽㊣?？!！~～·•‧。.、，,;；:：\-—_=+|/／\\*]+$"
-_SUBSTANCE = r"[\x{4e00}-\x{9fff}A-Za-z0-9]"
+# punctuation, symbols (with emoji) and what joins or varies them
+_SIGNS = r"^[\s\p{P}\p{S}\p{M}\p{Cf}]+$"
 
 
 def is_missing_name(name: Column, hash_: Column) -> Column:
@@ -99,24 +98,43 @@ def is_missing_name(name: Column, hash_: Column) -> Column:
 def is_decoration(name: Column) -> Column:
     """Whether a name has signs but no letter, digit or Han character; an empty one counts."""
     n = F.btrim(F.coalesce(name, F.lit("")))
-    return (n == "") | (~n.rlike(_SUBSTANCE) & n.rlike(_DECORATION))
+    return (n == "") | n.rlike(_SIGNS)
 
 
 def is_weak_name(name: Column, title: Column, hash_: Column) -> Column:
-    """Missing, the title itself but for blanks, decoration, or under four signs without Han characters or a code."""
+    """Missing, the title itself but for blanks, decoration, or too short: under four characters that are neither Han nor a code.
+
+    A code this short is a letter with letters or digits behind it.
+    """
     n, t = F.btrim(F.coalesce(name, F.lit(""))), F.btrim(F.coalesce(title, F.lit("")))
     blank = lambda c: F.regexp_replace(c, r"\s+", "")
-    short = (F.length(n) < 4) & ~n.rlike(r"[\x{4e00}-\x{9fff}]") & ~((F.length(n) >= 2) & n.rlike(r"^[A-Za-z]{1,8}\d{0,4}[A-Za-z]?$"))
+    short = (F.length(n) < 4) & ~n.rlike(r"\p{IsHan}|^[A-Za-z][A-Za-z0-9]+$")
     return is_missing_name(n, hash_) | ((t != "") & (blank(n) == blank(t))) | is_decoration(n) | short
 
 
+#: Brackets of titles, what a count at the end of a title is written with, and full-width letters of units.
+OPENING, CLOSING = "【［[", "】］]"
+COUNT_UNITS, COUNT_WORDS = ("V", "P"), ("配额", "配額")
+
+
+def open_brackets(text: Column) -> Column:
+    """The brackets of a text that nothing closes, in order, by a fold over its characters."""
+
+    def step(left: Column, c: Column) -> Column:
+        return F.when(F.instr(F.lit(OPENING), c) > 0, F.concat(left, c)).when(F.instr(F.lit(CLOSING), c) > 0, F.left(left, F.length(left) - 1)).otherwise(left)
+
+    return F.aggregate(F.split(text, ""), F.lit(""), lambda left, c: F.when(c == "", left).otherwise(step(left, c)))
+
+
 def close_bracket(title: Column) -> Column:
     """A title with its last bracket closed, if that is open and ends in a size or count."""
-    t = F.regexp_replace(F.coalesce(title, F.lit("")), r"\s+$", "")
-    inner = F.regexp_extract(t, r"[【［\[]([^【［\[】］\]]*)$", 1)
-    ends = inner.rlike(r"(?i)(?:配额|配額|\d+(?:\.\d+)?\s*(?:V|[ＧGｇ][ＢBｂ]?|[ＰPｐ]))\s*$")
-    opener = F.regexp_extract(t, r"([【［\[])[^【［\[】］\]]*$", 1)
-    return F.when(ends, F.concat(t, F.translate(opener, "【［[", "】］]"))).otherwise(t)
+    t = F.rtrim(F.regexp_replace(F.coalesce(title, F.lit("")), r"\s+$", ""))
+    last = F.right(open_brackets(t), F.lit(1))
+    inner = F.translate(F.call_function("substring_index", t, last, F.lit(-1)), "ＧｇＢｂＰＶ", "GgBbPV")
+    told = F.element_at(texts.measures(F.when(last != "", inner).otherwise("0")), -1)
+    behind = inner.rlike(r"[0-9]\s*[A-Za-z]*$") & (told["unit"].isin(*texts.UNITS, *COUNT_UNITS))
+    ends = (last != "") & (_any(inner.endswith(w) for w in COUNT_WORDS) | F.coalesce(behind, F.lit(False)))
+    return F.when(ends, F.concat(t, F.translate(last, OPENING, CLOSING))).otherwise(t)
 
 
 def is_truncated_title(title: Column) -> Column:
