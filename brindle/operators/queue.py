@@ -26,12 +26,13 @@ def enqueue(queue: DataFrame, new: DataFrame, url: str, pair: list[str] | None =
     return fresh.join(queue.select(*pair), pair, "left_anti") if pair else fresh
 
 
-def enqueue_codes(queue: DataFrame, new: DataFrame, key: str = "code") -> DataFrame:
-    """Waiting codes after new ones came: the greater priority, the new mode if there is one, force if either forces.
+def enqueue_codes(queue: DataFrame, new: DataFrame, order: list[str], key: str = "code") -> DataFrame:
+    """Waiting codes after new ones came in an order: the greatest priority, the last mode that is one, force if any forces.
 
-    queue and new: key, priority, mode, force. Equal new codes are merged before they meet the queue.
+    queue and new: key, priority, mode, force; new also has the columns of the order.
     """
-    once = new.groupBy(key).agg(F.max("priority").alias("priority"), F.max("mode").alias("mode"), F.bool_or("force").alias("force"))
+    mode = F.max_by("mode", F.when(F.col("mode").isNotNull(), F.struct(*order, F.col("mode").alias("tie"))))
+    once = new.groupBy(key).agg(F.max("priority").alias("priority"), mode.alias("mode"), F.bool_or("force").alias("force"))
     o, n = queue.alias("o"), once.alias("n")
     pick = lambda c: F.coalesce(f"n.{c}", f"o.{c}").alias(c)
     return o.join(n, key, "full").select(key, F.greatest("n.priority", "o.priority").alias("priority"), pick("mode"), (F.coalesce("n.force", F.lit(False)) | F.coalesce("o.force", F.lit(False))).alias("force"))

@@ -37,11 +37,21 @@ def purge(df: DataFrame, needed: list[str]) -> DataFrame:
     return df.limit(0)
 
 
-def fill_from(stored: DataFrame, given: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """stored with some columns set to the given ones of the same key where these are neither null nor empty."""
-    named = given.groupBy(key).agg(*[F.max(c).alias(f"brindle_{c}") for c in columns])
+def last_values(new: DataFrame, keys: list[str], columns: list[str], order: list[str]) -> DataFrame:
+    """One row a key, as if its rows were written one by one in an order: the last value of each column that isn't null.
+
+    Of rows that are equal in the order the greater value counts, so that the result is the same each time.
+    """
+    last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("brindle_tie")))).alias(c)
+    return new.groupBy(*keys).agg(*[last(c) for c in columns])
+
+
+def fill_from(stored: DataFrame, given: DataFrame, key: str, columns: list[str], order: list[str]) -> DataFrame:
+    """stored with some columns set to the last given ones of the same key that are neither null nor empty."""
+    filled = given.select(key, *[o for o in order if o != key and o not in columns], *[F.when(F.col(c).cast("string") != "", F.col(c)).alias(c) for c in columns])
+    named = last_values(filled, [key], columns, order).withColumnsRenamed({c: f"brindle_{c}" for c in columns})
     joined = stored.join(named, key, "left")
-    return joined.select(*[F.coalesce(F.nullif(F.col(f"brindle_{c}").cast("string"), F.lit("")).cast(stored.schema[c].dataType), F.col(c)).alias(c) if c in columns else F.col(c) for c in stored.columns])
+    return joined.select(*[F.coalesce(F.col(f"brindle_{c}").cast(stored.schema[c].dataType), F.col(c)).alias(c) if c in columns else F.col(c) for c in stored.columns])
 
 
 #: What a row that waits again is set to.
@@ -54,9 +64,9 @@ def requeue(queue: DataFrame, which: Column) -> DataFrame:
     return queue.select(*[F.when(hit, F.lit(RESET[c]).cast(queue.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in RESET else F.col(c) for c in queue.columns])
 
 
-def requeue_new(queue: DataFrame, new: DataFrame, url: str) -> DataFrame:
-    """The queue after rows came again: they wait as new ones, and keep of what was stored what they don't give."""
-    once = new.groupBy(url).agg(*[F.max(c).alias(c) for c in new.columns if c != url])
+def requeue_new(queue: DataFrame, new: DataFrame, url: str, order: list[str]) -> DataFrame:
+    """The queue after rows came again, in an order: they wait as new ones, and keep of what was stored what they don't give."""
+    once = last_values(new, [url], [c for c in new.columns if c != url and c in queue.columns], order)
     o, n = queue.alias("o"), once.alias("n")
     hit = F.col(f"n.{url}").isNotNull()
     out = []
@@ -71,11 +81,12 @@ def requeue_new(queue: DataFrame, new: DataFrame, url: str) -> DataFrame:
     return o.join(n, F.col(f"o.{url}") == F.col(f"n.{url}"), "full").select(*out)
 
 
-def upsert_filled(stored: DataFrame, new: DataFrame, keys: list[str], limits: dict[str, int] | None = None) -> DataFrame:
-    """Rows of both by keys: new columns where they aren't null, texts cut to their limits. Equal new keys are merged first."""
+def upsert_filled(stored: DataFrame, new: DataFrame, keys: list[str], order: list[str], limits: dict[str, int] | None = None) -> DataFrame:
+    """Rows of both by keys: the last new value of each column that isn't null, else the stored one; texts cut to their limits."""
     cut = lambda c: F.left(F.col(c), F.lit(limits[c])).alias(c) if c in (limits or {}) else F.col(c)
     rest = [c for c in stored.columns if c not in keys]
-    once = new.select(*[cut(c) for c in new.columns]).groupBy(*keys).agg(*[F.max(c).alias(c) for c in rest])
+    once = new.select(*[cut(c) for c in new.columns])
+    once = last_values(once, keys, rest, order)
     o, n = stored.alias("o"), once.alias("n")
     same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
     return o.join(n, same, "full").select(*[F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in stored.columns])
@@ -144,9 +155,9 @@ def writable(rows: DataFrame, owners: DataFrame, group: str, hash_col: str, url:
 
 
 def collapse_single(rows: DataFrame, thread: str, group: str, labels: str) -> DataFrame:
-    """rows with the groups of a thread that has exactly one label put together under the first of their names."""
-    one = rows.groupBy(thread).agg(F.max(labels).alias("brindle_n"), F.min(group).alias("brindle_first"))
-    return rows.join(one, thread).withColumn(group, F.when(F.col("brindle_n") == 1, F.col("brindle_first")).otherwise(F.col(group))).select(*rows.columns)
+    """rows with the groups of a thread that has exactly one label put together under the first of their names; rows without a thread stay as they are."""
+    one = rows.where(F.col(thread).isNotNull()).groupBy(thread).agg(F.max(labels).alias("brindle_n"), F.min(group).alias("brindle_first"))
+    return rows.join(one, thread, "left").withColumn(group, F.when(F.col("brindle_n") == 1, F.col("brindle_first")).otherwise(F.col(group))).select(*rows.columns)
 
 
 def table_counts(tables: dict[str, DataFrame], exported: DataFrame) -> DataFrame:

@@ -113,10 +113,14 @@ def x41_sub_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", classify.resolved_name([own, label, title], h, r"(?i)^(img|video|dsc)[_-]?\d+$").alias("name"))
 
 
-@query("SELECT 70000.0::DOUBLE AS low, 230000.0::DOUBLE AS high, 0.0::DOUBLE AS few_low, 1.0::DOUBLE AS few_high")
+@query("""WITH r AS (SELECT o_orderstatus AS status, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) - 1 AS place, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders),
+q AS (SELECT status, n, min(v) FILTER (WHERE place = round_even((n - 1) * 0.1, 0)) AS low, min(v) FILTER (WHERE place = round_even((n - 1) * 0.9, 0)) AS high FROM r GROUP BY status, n)
+SELECT status, round(CASE WHEN n < 100 THEN 0 ELSE low - (high - low) * 0.5 END, 4) AS low, round(CASE WHEN n < 100 THEN 1 ELSE high + (high - low) * 0.5 END, 4) AS high FROM q""")
 def a22_plan(spark, sf_dir):
-    """The window around the outer quantiles of some numbers, and the fallback where there are few."""
-    ids = spark.range(51).select((100000 + 2000 * F.col("id")).alias("v"))
-    low, high = ranking.spread_plan(ids, "v", [0.1, 0.5, 0.9], 30, (0.0, 1.0), 0.5)
-    few = ranking.spread_plan(ids.limit(3), "v", [0.1, 0.5, 0.9], 30, (0.0, 1.0), 0.5)
-    return spark.createDataFrame([(low, high, *few)], "low double, high double, few_low double, few_high double")
+    """The window around the outer quantiles of the prices of each status, and a fallback where there are few."""
+    orders, out = table(spark, sf_dir, "orders").select("o_orderstatus", F.col("o_totalprice").cast("double").alias("v")), None
+    for status in [r[0] for r in orders.select("o_orderstatus").distinct().orderBy("o_orderstatus").collect()]:
+        low, high = ranking.spread_plan(orders.where(F.col("o_orderstatus") == status), "v", [0.1, 0.5, 0.9], 100, (0.0, 1.0), 0.5)
+        one = spark.range(1).select(F.lit(status).alias("status"), F.round(F.lit(low), 4).alias("low"), F.round(F.lit(high), 4).alias("high"))
+        out = one if out is None else out.union(one)
+    return out

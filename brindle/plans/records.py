@@ -62,12 +62,12 @@ def k10_purge(spark, sf_dir):
     return left.agg(F.count("*").alias("n")).withColumn("n_columns", F.lit(len(left.columns)))
 
 
-@query("SELECT o_orderkey, CASE WHEN c.c_mktsegment IS NOT NULL AND o_custkey % 3 <> 0 THEN c.c_mktsegment ELSE o_orderpriority END AS board FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON c_custkey = o_custkey")
+@query("""SELECT o_orderkey, coalesce(g.board, o_orderpriority) AS board FROM orders LEFT JOIN (SELECT l_partkey AS k, arg_max(l_returnflag, (l_shipdate, l_orderkey, l_linenumber)) FILTER (WHERE l_linestatus = 'O') AS board FROM lineitem GROUP BY l_partkey) g ON g.k = o_custkey""")
 def k11_fill_boards(spark, sf_dir):
-    """A column set for many rows at once where what is given isn't empty."""
+    """A column set for many rows at once to the last of what is given, where that isn't empty."""
     stored = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("board"))
-    given = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("board"))
-    return records.fill_from(stored, given, "k", ["board"]).select("o_orderkey", "board")
+    given = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), F.when(F.col("l_linestatus") == "O", F.col("l_returnflag")).otherwise("").alias("board"), "l_shipdate", "l_orderkey", "l_linenumber")
+    return records.fill_from(stored, given, "k", ["board"], ["l_shipdate", "l_orderkey", "l_linenumber"]).select("o_orderkey", "board")
 
 
 _QUEUE = "event_id AS url, user_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'skipped' ELSE 'pending' END AS status, CASE WHEN event_type = 'error' THEN 'e' END AS last_error, CASE WHEN event_type = 'purchase' THEN 'paid ' || user_id END AS outcome, CASE WHEN event_type = 'error' THEN 3 ELSE 0 END AS fail_count"
@@ -78,11 +78,11 @@ def _queue(spark, sf_dir):
 
 
 @query(f"""SELECT coalesce(n.url, q.url) AS url, coalesce(n.user_id, q.user_id) AS user_id, CASE WHEN n.url IS NOT NULL THEN 'pending' ELSE q.status END AS status, CASE WHEN n.url IS NULL THEN q.last_error END AS last_error, CASE WHEN n.url IS NULL THEN q.outcome END AS outcome, CASE WHEN n.url IS NOT NULL THEN 0 ELSE q.fail_count END AS fail_count
-FROM (SELECT {_QUEUE} FROM events) q FULL JOIN (SELECT o_orderkey * 2 AS url, max(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END) AS user_id FROM orders GROUP BY 1) n ON n.url = q.url""")
+FROM (SELECT {_QUEUE} FROM events) q FULL JOIN (SELECT o_custkey * 7 AS url, arg_max(o_orderkey % 1000, (o_orderdate, o_orderkey)) FILTER (WHERE o_orderstatus <> 'P') AS user_id FROM orders GROUP BY 1) n ON n.url = q.url""")
 def k14_requeue_new(spark, sf_dir):
     """Rows that come again wait as new ones and keep what they don't give."""
-    new = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 2).alias("url"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("user_id"))
-    return records.requeue_new(_queue(spark, sf_dir), new, "url")
+    new = table(spark, sf_dir, "orders").select((F.col("o_custkey") * 7).alias("url"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey") % 1000).alias("user_id"), "o_orderdate", "o_orderkey")
+    return records.requeue_new(_queue(spark, sf_dir), new, "url", ["o_orderdate", "o_orderkey"])
 
 
 @query(f"""SELECT url, user_id, CASE WHEN hit THEN 'pending' ELSE status END AS status, CASE WHEN NOT hit THEN last_error END AS last_error, CASE WHEN NOT hit THEN outcome END AS outcome, CASE WHEN hit THEN 0 ELSE fail_count END AS fail_count
@@ -100,12 +100,12 @@ def discarded_kind(outcome, kinds: dict[str, list[str]], kind: str):
 
 
 @query("""SELECT coalesce(n.k, o.k) AS k, coalesce(n.outcome, o.outcome) AS outcome, coalesce(n.title, o.title) AS title FROM (SELECT p_partkey AS k, p_type AS outcome, p_name AS title FROM part WHERE p_size < 40) o
-FULL JOIN (SELECT l_partkey AS k, max(left(CASE WHEN l_returnflag <> 'N' THEN l_returnflag || l_linestatus END, 1)) AS outcome, max(left('title ' || l_orderkey, 8)) AS title FROM lineitem GROUP BY 1) n ON n.k = o.k""")
+FULL JOIN (SELECT l_partkey AS k, arg_max(left(l_returnflag || l_linestatus, 1), (l_shipdate, l_orderkey, l_linenumber)) FILTER (WHERE l_returnflag <> 'N') AS outcome, arg_max(left('title ' || l_orderkey, 8), (l_shipdate, l_orderkey, l_linenumber)) AS title FROM lineitem GROUP BY 1) n ON n.k = o.k""")
 def k17_probes(spark, sf_dir):
     """An upsert that keeps what isn't given and cuts texts."""
     stored = table(spark, sf_dir, "part").where("p_size < 40").select(F.col("p_partkey").alias("k"), F.col("p_type").alias("outcome"), F.col("p_name").alias("title"))
-    new = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), F.when(F.col("l_returnflag") != "N", F.concat("l_returnflag", "l_linestatus")).alias("outcome"), F.concat(F.lit("title "), F.col("l_orderkey").cast("string")).alias("title"))
-    return records.upsert_filled(stored, new, ["k"], {"outcome": 1, "title": 8})
+    new = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), F.when(F.col("l_returnflag") != "N", F.concat("l_returnflag", "l_linestatus")).alias("outcome"), F.concat(F.lit("title "), F.col("l_orderkey").cast("string")).alias("title"), "l_shipdate", "l_orderkey", "l_linenumber")
+    return records.upsert_filled(stored, new, ["k"], ["l_shipdate", "l_orderkey", "l_linenumber"], {"outcome": 1, "title": 8})
 
 
 _META = """SELECT coalesce(o.k, n.k) AS k, coalesce(n.status, o.status) AS status, CASE WHEN n.k IS NULL THEN o.title WHEN o.k IS NULL THEN n.title WHEN n.status = 'ok' THEN {0} ELSE o.title END AS title,
@@ -224,10 +224,10 @@ def g15_selection(spark, sf_dir):
     return per.where("real >= 2").select("o_custkey", "shown", "assets", F.when(F.col("p"), "open").otherwise("closed").alias("kind"))
 
 
-@query("SELECT l_orderkey, CASE WHEN n = 1 THEN first ELSE l_shipmode END AS grp, count(*) AS n FROM (SELECT l_orderkey, l_returnflag AS l_shipmode, max(l_suppkey % 2) OVER w AS n, min(l_returnflag) OVER w AS first FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)) GROUP BY ALL")
+@query("SELECT l_orderkey, CASE WHEN n = 1 THEN first ELSE l_shipmode END AS grp, count(*) AS n FROM (SELECT t AS l_orderkey, l_returnflag AS l_shipmode, CASE WHEN t IS NOT NULL THEN max(l_suppkey % 2) OVER w END AS n, min(l_returnflag) OVER w AS first FROM (SELECT *, CASE WHEN l_quantity < 45 THEN l_orderkey END AS t FROM lineitem) WINDOW w AS (PARTITION BY t)) GROUP BY ALL")
 def g19_collapsed(spark, sf_dir):
-    """Groups of orders that have one label put together."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("grp"), (F.col("l_suppkey") % 2).alias("labels"))
+    """Groups of orders that have one label put together; rows without an order stay."""
+    rows = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_quantity") < 45, F.col("l_orderkey")).alias("l_orderkey"), F.col("l_returnflag").alias("grp"), (F.col("l_suppkey") % 2).alias("labels"))
     return records.collapse_single(rows, "l_orderkey", "grp", "labels").groupBy("l_orderkey", "grp").agg(F.count("*").alias("n"))
 
 
@@ -398,12 +398,12 @@ def p26_projection(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Z"), F.col("p_size").cast("string")).alias("board"), total.alias("total"), (main == "red rod").alias("primary_first"))
 
 
-@query("SELECT user_id, place, round(delay, 6) AS delay FROM (WITH RECURSIVE e AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events), r AS (SELECT *, avg(bad::INT) OVER (PARTITION BY user_id ORDER BY place ROWS 9 PRECEDING) AS rate FROM e), d AS (SELECT user_id, place, CASE WHEN rate = 0 THEN greatest(1.0, 2.0 * 0.9) ELSE least(20.0, 2.0 * (1 + 6 * rate)) END AS delay FROM r WHERE place = 1 UNION ALL SELECT r.user_id, r.place, CASE WHEN r.rate = 0 THEN greatest(1.0, d.delay * 0.9) ELSE least(20.0, 2.0 * (1 + 6 * r.rate)) END FROM d JOIN r ON r.user_id = d.user_id AND r.place = d.place + 1) SELECT * FROM d) WHERE place % 10 = 0")
+@query("SELECT user_id, place, round(delay, 6) AS delay FROM (WITH RECURSIVE e AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events), r AS (SELECT *, avg(bad::INT) OVER (PARTITION BY user_id ORDER BY place ROWS 9 PRECEDING) AS rate FROM e), d AS (SELECT user_id, place, CASE WHEN rate = 0 THEN greatest(1.0, 2.0 * 0.9) ELSE least(20.0, 2.0 * (1 + 6 * rate)) END AS delay FROM r WHERE place = 1 UNION ALL SELECT r.user_id, r.place, CASE WHEN r.rate = 0 THEN greatest(1.0, d.delay * 0.9) ELSE least(20.0, 2.0 * (1 + 6 * r.rate)) END FROM d JOIN r ON r.user_id = d.user_id AND r.place = d.place + 1) SELECT * FROM d)")
 def z03_delay(spark, sf_dir):
-    """The delay of each user after each tenth event: it shrinks while all goes well and follows the rate of failures."""
+    """The delay of each user after each event: it shrinks while all goes well and follows the rate of failures."""
     rated = queue.failure_rate(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", F.col("event_type") == "error", 10)
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    return queue.delays(rated, "user_id", "event_id", "failure_rate", 2.0, 1.0, 20.0).withColumn("place", place).where("place % 10 = 0").select("user_id", "place", F.round("delay", 6).alias("delay"))
+    return queue.delays(rated, "user_id", "event_id", "failure_rate", 2.0, 1.0, 20.0).withColumn("place", place).select("user_id", "place", F.round("delay", 6).alias("delay"))
 
 
 @query("SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS ready, count(*) FILTER (WHERE event_type = 'view') < 8 AS more FROM events GROUP BY user_id")

@@ -222,13 +222,13 @@ def k15_fold_log(spark, sf_dir):
     return queue.fold_log(table(spark, sf_dir, "events").withColumn("kind", kind).where("kind is not null"), "user_id", "event_id", "kind", "ts", "value")
 
 
-@query("""WITH n AS (SELECT l_partkey AS code, max(l_linenumber) AS priority, max(l_returnflag) AS mode, bool_or(l_discount > 0.08) AS force FROM lineitem WHERE l_quantity > 40 GROUP BY l_partkey)
+@query("""WITH n AS (SELECT l_partkey AS code, max(l_linenumber) AS priority, arg_max(l_returnflag, (l_shipdate, l_orderkey, l_linenumber)) FILTER (WHERE l_returnflag <> 'N') AS mode, bool_or(l_discount > 0.08) AS force FROM lineitem WHERE l_quantity > 40 GROUP BY l_partkey)
 SELECT coalesce(n.code, p_partkey) AS code, greatest(n.priority, p_size) AS priority, coalesce(n.mode, p_type) AS mode, coalesce(n.force, false) AS force FROM n FULL JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) p ON n.code = p_partkey""")
 def k19_batch(spark, sf_dir):
     """Codes enqueued in a batch over those that wait."""
     held = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("code"), F.col("p_size").alias("priority"), F.col("p_type").alias("mode"), F.lit(False).alias("force"))
-    new = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("code"), F.col("l_linenumber").alias("priority"), F.col("l_returnflag").alias("mode"), (F.col("l_discount") > 0.08).alias("force"))
-    return queue.enqueue_codes(held, new)
+    new = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("code"), F.col("l_linenumber").alias("priority"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("mode"), (F.col("l_discount") > 0.08).alias("force"), "l_shipdate", "l_orderkey", "l_linenumber")
+    return queue.enqueue_codes(held, new, ["l_shipdate", "l_orderkey", "l_linenumber"])
 
 
 @query("""SELECT o_orderkey, CASE WHEN rn <= 100 THEN 'running' ELSE status END AS status, CASE WHEN rn <= 100 THEN 1 ELSE 0 END AS attempts FROM (
