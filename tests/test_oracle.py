@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from brindle.plans import catalogue, classification, flows, frames, pages, records, relational, search, texts  # noqa: F401
+from brindle.plans import catalogue, classification, flows, frames, pages, records, relational, search, structures, texts  # noqa: F401
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
