@@ -76,6 +76,9 @@ def is_allowed(url: Column, hosts: list[str], barred: str | None = None) -> Colu
     return (host != "") & listed & ~is_private_host(host) & (~path.rlike(barred) if barred else F.lit(True))
 
 
+# Fixed values below: how file links and magnet links are written.
+
+
 def ed2k_links(text: Column) -> Column:
     """The file links of a text, each once and in order: array of (uri, name, size, hash); sizes over 32 TiB count as 0."""
     uris = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)(ed2k://\|file\|[^|\r\n]+\|\d+\|[0-9a-f]{32}\|)"), F.lit(1)))
@@ -100,9 +103,60 @@ def magnet_links(text: Column) -> Column:
     return F.filter(found, lambda x, i: F.array_position(hashes, x["hash"]) == i + 1)
 
 
-def largest(links: Column) -> Column:
-    """The largest of an array of links, the first of equals."""
-    return F.get(F.array_sort(F.transform(links, lambda x, i: F.struct((-x["size"]).alias("s"), i.alias("i"), x.alias("x")))), F.lit(0))["x"]
+#: Kinds of files whose names end where a size may be glued to them.
+GLUED_KINDS = "mp4 mkv avi wmv ts iso mov flv m4v rmvb mpg mpeg zip rar 7z txt".split()
+_INVISIBLE = r"[\x{200B}-\x{200D}\x{FEFF}\x{00AD}]"
+
+
+def broken_file_links(text: Column, kinds: list[str] = GLUED_KINDS, largest: int = 32 * 1024**4) -> Column:
+    """The file links of a text however they were damaged, each once and in order: array of (uri, name, size, hash), whole again.
+
+    A link is known by its part `file` alone, so its scheme may lack letters or slashes, or be spaced out. What follows up to
+    the next link or an empty line is read as name, size and hash between bars: bars may be full-width or entities,
+    line breaks within it are joined, blanks around the parts go. A name of one of `kinds` may have its size and hash
+    glued to it. What has no size or no hash of 32 digits is no link. Sizes over `largest` count as 0.
+    """
+    clear = F.regexp_replace(F.regexp_replace(F.translate(text, "：／．", ":/."), _INVISIBLE, ""), r"(?i)&vert;|&#0*124;|&#x0*7c;", "|")
+    begin = r"(?i)(?:(?<![a-z0-9])(?:e\s*d\s*2\s*k|d2k|e2k|edk|ed2)\s*:[\s/]*[|｜]?|[|｜])\s*file\s*(?=[|｜])"
+    pieces = F.split(clear, begin)
+    ends = rf"(?i)^(.*\.(?:{'|'.join(kinds)}))(\d{{3,}})([0-9a-f]{{32}})/?$"
+
+    def read(piece: Column) -> Column:
+        block = F.regexp_replace(F.regexp_replace(piece, r"(?s)\n[ \t\r]*\n.*$", ""), r"[ \t\r]*\n[ \t\r]*", "")
+        bar = F.left(block, F.lit(1))
+        fields = F.split(F.when(bar == "｜", F.translate(block, "|｜", " |")).otherwise(block), r"\|")
+        part = lambda i: F.btrim(F.coalesce(F.get(fields, F.lit(i)), F.lit("")))
+        glued = lambda i: F.regexp_extract(part(1), ends, i)
+        whole = part(2).rlike(r"^\d+$") & part(3).rlike(r"(?i)^[0-9a-f]{32}$") & (part(1) != "")
+        pick = lambda plain, i: F.when(whole, plain).otherwise(glued(i))
+        return F.struct(pick(part(1), 1).alias("name"), pick(part(2), 2).alias("size"), F.upper(pick(part(3), 3)).alias("hash"))
+
+    found = F.filter(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), read), lambda x: x["hash"] != "")
+
+    def built(x: Column) -> Column:
+        size = x["size"].try_cast("bigint")
+        return F.struct(F.concat(F.lit("ed2k://|file|"), x["name"], F.lit("|"), x["size"], F.lit("|"), x["hash"], F.lit("|/")).alias("uri"), x["name"].alias("name"), F.when(size <= largest, size).otherwise(0).alias("size"), x["hash"].alias("hash"))
+
+    return F.array_distinct(F.transform(found, built))
+
+
+def broken_magnets(text: Column) -> Column:
+    """The magnet links of a text however they were damaged, the first of each hash: array of (hash, name).
+
+    A link is known by its part `btih`. The hash is what follows, 40 hexadecimal or 32 other digits; where it is cut by blanks,
+    line breaks or invisible signs it is put together. A name follows it, up to the next parameter or blank.
+    """
+    clear = F.regexp_replace(F.regexp_replace(F.translate(text, "：＆＝", ":&="), _INVISIBLE, ""), r"(?i)&amp;", "&")
+    pieces = F.split(clear, r"(?i)\bb\s*t\s*i\s*h\s*:\s*")
+
+    def read(piece: Column) -> Column:
+        direct = F.regexp_extract(piece, r"(?i)^([0-9a-f]{40}|[a-z2-7]{32}|[0-9a-f]{32})(?![0-9a-z])", 1)
+        joined = F.regexp_extract(F.regexp_replace(F.left(piece, F.lit(160)), r"\s+", ""), r"(?i)^([0-9a-f]{40})", 1)
+        return F.struct(F.upper(F.coalesce(_some(direct), joined)).alias("hash"), F.try_url_decode(_some(F.regexp_extract(piece, r"(?i)^[0-9a-z\s]*(?:&[^&\s]*)*?&\s*dn\s*=\s*([^&\s]*)", 1))).alias("name"))
+
+    found = F.filter(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), read), lambda x: x["hash"] != "")
+    hashes = F.transform(found, lambda x: x["hash"])
+    return F.filter(found, lambda x, i: F.array_position(hashes, x["hash"]) == i + 1)
 
 
 def primary(links: Column, archive: str = r"(?i)\.(zip|rar|7z)(\.\d{3})?$") -> Column:

@@ -72,6 +72,33 @@ def merge_truncated(names: DataFrame, scope: str, name: str, least: int = 4) ->
     return names.select(scope, name).distinct().join(only, [scope, name], "left").select(scope, name, F.coalesce("brindle_long", name).alias("kept_name"))
 
 
+#: Signs that don't tell names apart.
+_QUIET = r"<[^>]*>|[\x{26A0}\x{FE0E}\x{FE0F}]|\s"
+
+
+def merge_names(names: DataFrame, scope: str, name: str, place: str) -> DataFrame:
+    """(scope, name, kept_name): names of a scope that are one but for being cut short or for signs.
+
+    A shorter name that begins a longer one, blanks aside, is that name, if it begins no other one. Of exactly two names that
+    are equal without markup, warning signs, variation selectors and blanks, the cleaner one is kept: without markup,
+    then without selectors, then the longer, then the earlier. Prefixes meet names by an equi-join, as in merge_truncated().
+    """
+    once = names.select(scope, F.btrim(name).alias(name), place).groupBy(scope, name).agg(F.min(place).alias("brindle_place"))
+    keyed = once.withColumn("brindle_tight", F.replace(name, F.lit(" "), F.lit(""))).where(F.length("brindle_tight") > 0)
+    heads = keyed.select(scope, F.col(name).alias("brindle_long"), F.explode(F.transform(F.sequence(F.lit(1), F.length("brindle_tight")), lambda i: F.substr("brindle_tight", F.lit(1), i))).alias("brindle_tight"))
+    shorter = F.length(name) < F.length("brindle_long")
+    only = heads.join(keyed, [scope, "brindle_tight"]).where(shorter).groupBy(scope, name).agg(F.count("*").alias("n"), F.min("brindle_long").alias("brindle_long")).where("n = 1").drop("n")
+    clean = F.struct((~F.col(name).rlike("[<>]")).alias("a"), (~F.contains(name, F.lit("\ufe0f"))).alias("b"), F.length(F.regexp_replace(name, "<[^>]*>", "")).alias("c"), (-F.col("brindle_place")).alias("d"))
+    key = F.regexp_replace(name, _QUIET, "")
+    pair = once.groupBy(scope).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"), F.max_by(name, clean).alias("brindle_clean"))
+    alike = pair.where((F.col("n") == 2) & (F.col("low") == F.col("high")) & (F.col("low") != "")).select(scope, "brindle_clean")
+    joined = once.join(only, [scope, name], "left")
+    # two names of which one is cut are the longer one, whatever their signs
+    cut = only.select(scope).distinct().withColumn("brindle_cut", F.lit(True))
+    out = joined.join(alike, scope, "left").join(cut, scope, "left")
+    return out.select(scope, name, F.coalesce("brindle_long", F.when(F.col("brindle_cut").isNull(), F.col("brindle_clean")), name).alias("kept_name"))
+
+
 def last_before(marks: DataFrame, items: DataFrame, scope: str, position: str, value: str) -> DataFrame:
     """Items with the value of the last mark at or before their position in the same scope: an as-of join as one window.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from brindle.operators import intervals, prefixes, sampling, trees
+from brindle.functions import links
+from brindle.operators import intervals, prefixes, sampling, threads, trees
 from brindle.plans.catalogue import query, table
 from brindle.sources import bencode, tables
 
@@ -160,3 +161,37 @@ def x71_age_retry(spark, sf_dir):
     """When rows that are too young come up again: their day and thirty more, where that is yet to come."""
     at = F.date_add(F.col("o_orderdate").cast("date"), 30)
     return table(spark, sf_dir, "orders").select("o_orderkey", at.alias("retry_at")).where(F.col("retry_at") > F.lit("1995-06-17").cast("date"))
+
+
+@query("""SELECT p_partkey, 'ed2k://|file|' || name || '|' || size || '|' || hash || '|/' AS uri, name, size, hash FROM (SELECT p_partkey, p_name || CASE WHEN p_partkey % 7 = 4 THEN '.mp4' ELSE ' x.mkv' END AS name, p_size::BIGINT * 1001 AS size, upper(md5(p_partkey::VARCHAR)) AS hash FROM part) WHERE p_partkey % 7 <> 6
+UNION ALL SELECT p_partkey, 'ed2k://|file|whole.zip|77|' || upper(md5(p_name)) || '|/', 'whole.zip', 77, upper(md5(p_name)) FROM part""")
+def x42_broken_links(spark, sf_dir):
+    """File links damaged in six ways, and one that isn't, made whole; what lacks a hash is none."""
+    k, h = F.col("p_partkey") % 7, F.md5(F.col("p_partkey").cast("string"))
+    size = (F.col("p_size").cast("long") * 1001).cast("string")
+    n = F.concat("p_name", F.when(k == 4, ".mp4").otherwise(" x.mkv"))
+    ways = [("d2k:/|file|", "|", "|", "|/"), ("e d 2 k : / / | file | ", " | ", " | ", " | /"), ("ed2k://｜file｜", "｜", "｜", "｜"), ("ed2k://&vert;file&#124;", "&#x7C;", "|", "|"), ("ed2k://|file|", "", "", "|/"), ("ed2k:|file|\n", "\n|", "|\n", "|/"), ("ed2k://|file|", "|", "|zz", "|/")]
+    broken = F.coalesce(*[F.when(k == i, F.concat(F.lit(a), n, F.lit(b), size, F.lit(c), h, F.lit(d))) for i, (a, b, c, d) in enumerate(ways)])
+    text = F.concat(F.lit("see "), broken, F.lit("\n\nED2K:////|file|whole.zip|77|"), F.md5("p_name"), F.lit("|/ and "), broken, F.lit("\n \nend"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(links.broken_file_links(text)).alias("x")).select("p_partkey", "x.*")
+
+
+@query("SELECT p_partkey, upper(sha1(p_partkey::VARCHAR)) AS hash, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE p_name END AS name FROM part UNION ALL SELECT p_partkey, upper(md5(p_name)), NULL FROM part")
+def x47_broken_magnets(spark, sf_dir):
+    """Magnet links with blanks, line breaks and full-width signs in them."""
+    k, h = F.col("p_partkey") % 4, F.sha1(F.col("p_partkey").cast("string"))
+    name = F.replace("p_name", F.lit(" "), F.lit("+"))
+    cut = F.concat(F.left(h, F.lit(11)), F.lit(" \u200b"), F.substring(h, 12, 9), F.lit("\n"), F.substring(h, 21, 20))
+    broken = F.when(k == 0, F.concat(F.lit("magnet:?xt=urn:btih:"), h, F.lit("&amp;dn="), name)).when(k == 1, F.concat(F.lit("xt=urn：btih ： "), F.upper(h), F.lit(" ＆dn＝"), name)).when(k == 2, F.concat(F.lit("magnet:?xt=urn:b t i h:"), cut, F.lit("&dn="), name)).otherwise(F.concat(F.lit("btih:"), h))
+    text = F.concat(broken, F.lit(" next\nmagnet:?xt=urn:btih:"), F.md5("p_name"), F.lit(" x\n"), broken, F.lit("\n"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(links.broken_magnets(text)).alias("x")).select("p_partkey", "x.*")
+
+
+@query("""SELECT c_custkey AS scope, unnest(CASE c_custkey % 4 WHEN 0 THEN [a || '⚠', a || '⚠️'] WHEN 1 THEN [a, a || ' more'] WHEN 2 THEN [a, a || ' x', a || ' y'] ELSE [a, '<b>' || a || '</b>'] END) AS name,
+unnest(CASE c_custkey % 4 WHEN 0 THEN [a || '⚠️', a || '⚠️'] WHEN 1 THEN [a || ' more', a || ' more'] WHEN 2 THEN [a, a || ' x', a || ' y'] ELSE [a, a] END) AS kept_name FROM (SELECT c_custkey, c_name AS a FROM customer)""")
+def g18_alike(spark, sf_dir):
+    """Names of one thing that differ by signs, markup or where they were cut."""
+    a, k = F.col("c_name"), F.col("c_custkey") % 4
+    lists = F.when(k == 0, F.array(F.concat(a, F.lit("⚠")), F.concat(a, F.lit("⚠️")))).when(k == 1, F.array(a, F.concat(a, F.lit(" more")))).when(k == 2, F.array(a, F.concat(a, F.lit(" x")), F.concat(a, F.lit(" y")))).otherwise(F.array(a, F.concat(F.lit("<b>"), a, F.lit("</b>"))))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("scope"), F.posexplode(lists).alias("place", "name"))
+    return threads.merge_names(rows, "scope", "name", "place").where("scope is not null")

@@ -142,3 +142,42 @@ def test_facts_read_footers_only(spark, tmp_path):
     session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
     plan = session.read.parquet(path).agg(F.count("*"), F.min("id"), F.max("v"))._jdf.queryExecution().executedPlan().toString()
     assert "PushedAggregation: [COUNT(*), MIN(id), MAX(v)]" in plan
+
+
+def test_damaged_links_are_whole_again(spark):
+    """Random damage of links: schemes cut or spaced, bars full-width or entities, line breaks, invisible signs."""
+    from brindle.functions import links
+
+    rng = random.Random(8)
+    rows, wanted = [], []
+    for i in range(120):
+        text, found = "", []
+        for j in range(rng.randrange(1, 4)):
+            name, size, h = f"n{i} {j}" + rng.choice([".mp4", ".7z", " ｆ.mkv"]), str(rng.randrange(10**3, 10**13)), "".join(rng.choice("0123456789abcdefABCDEF") for _ in range(32))
+            head = rng.choice(["ed2k://", "d2k:/", "e d 2 k : //", "ED2K:", "edk:///", "e2k：／／"])
+            if rng.random() < 0.15:
+                broken = f"{head}|file|{name}{size}{h}|/" if not name.endswith("mkv") else f"{head}|file|{name}|{size}|{h}|/"
+            else:
+                bar = rng.choice(["|", " | ", "｜", "&#124;", "|\u200b", "\n|"])
+                broken = f"{head}{bar.strip() or '|'}file{bar}{name}{bar}{size}{bar}{h}{bar}/"
+            text += rng.choice(["see ", "x\n\n", "(1) "]) + broken + rng.choice([" then ", "\n\n", "\n \n"])
+            found.append((name, int(size) if int(size) <= 32 * 1024**4 else 0, h.upper()))
+        if rng.random() < 0.3:
+            text += "ed2k://|file|cut.mp4|123|abc"
+        rows.append((i, text))
+        wanted.append(found)
+    out = {r["i"]: [tuple(x)[1:] for x in r["x"]] for r in spark.createDataFrame(rows, "i int, t string").select("i", links.broken_file_links(F.col("t")).alias("x")).collect()}
+    assert [out[i] for i in range(len(rows))] == wanted
+    none = spark.createDataFrame([(None,), ("",), ("a file here | file",)], "t string").select(links.broken_file_links(F.col("t")).alias("f"), links.broken_magnets(F.col("t")).alias("m")).collect()
+    assert [r["f"] for r in none] == [None, [], []] and [r["m"] for r in none] == [None, [], []]
+
+
+def test_names_alike_by_hand(spark):
+    from brindle.operators import threads
+
+    groups = {1: ["abc", "abc def"], 2: ["a b", "ab"], 3: ["x❤", "x❤\ufe0f"], 4: ["⚠y", "y"], 5: ["a", "ab", "abc"], 6: ["one"], 7: ["<i>q</i>", "q"], 8: ["p", "q", "pq r"], 9: [" z ", "z"]}
+    rows = [(g, n, i) for g, names in groups.items() for i, n in enumerate(names)]
+    out = {(r["g"], r["n"]): r["kept_name"] for r in threads.merge_names(spark.createDataFrame(rows, "g int, n string, i int"), "g", "n", "i").collect()}
+    wanted = {(1, "abc"): "abc def", (1, "abc def"): "abc def", (2, "a b"): "a b", (2, "ab"): "a b", (3, "x❤"): "x❤\ufe0f", (3, "x❤\ufe0f"): "x❤\ufe0f", (4, "⚠y"): "⚠y", (4, "y"): "⚠y", (6, "one"): "one", (7, "<i>q</i>"): "q", (7, "q"): "q", (8, "p"): "pq r", (8, "q"): "q", (8, "pq r"): "pq r", (9, "z"): "z"}
+    wanted |= {(5, "a"): "a", (5, "ab"): "abc", (5, "abc"): "abc"}  # the shortest begins two
+    assert out == wanted
