@@ -87,11 +87,11 @@ def merge_names(names: DataFrame, scope: str, name: str, place: str) -> DataFram
     keyed = once.withColumn("brindle_tight", F.replace(name, F.lit(" "), F.lit(""))).where(F.length("brindle_tight") > 0)
     heads = keyed.select(scope, F.col(name).alias("brindle_long"), F.explode(F.transform(F.sequence(F.lit(1), F.length("brindle_tight")), lambda i: F.substr("brindle_tight", F.lit(1), i))).alias("brindle_tight"))
     shorter = F.length(name) < F.length("brindle_long")
-    only = heads.join(keyed, [scope, "brindle_tight"]).where(shorter).groupBy(scope, name).agg(F.count("*").alias("n"), F.min("brindle_long").alias("brindle_long")).where("n = 1").drop("n")
+    only = heads.join(keyed, [scope, "brindle_tight"]).where(shorter).groupBy(scope, name).agg(F.count("*").alias("brindle_n"), F.min("brindle_long").alias("brindle_long")).where("brindle_n = 1").drop("brindle_n")
     clean = F.struct((~F.col(name).rlike("[<>]")).alias("a"), (~F.contains(name, F.lit("\ufe0f"))).alias("b"), F.length(F.regexp_replace(name, "<[^>]*>", "")).alias("c"), (-F.col("brindle_place")).alias("d"))
     key = F.regexp_replace(name, _QUIET, "")
-    pair = once.groupBy(scope).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"), F.max_by(name, clean).alias("brindle_clean"))
-    alike = pair.where((F.col("n") == 2) & (F.col("low") == F.col("high")) & (F.col("low") != "")).select(scope, "brindle_clean")
+    pair = once.groupBy(scope).agg(F.count("*").alias("brindle_n"), F.min(key).alias("brindle_low"), F.max(key).alias("brindle_high"), F.max_by(name, clean).alias("brindle_clean"))
+    alike = pair.where((F.col("brindle_n") == 2) & (F.col("brindle_low") == F.col("brindle_high")) & (F.col("brindle_low") != "")).select(scope, "brindle_clean")
     joined = once.join(only, [scope, name], "left")
     # two names of which one is cut are the longer one, whatever their signs
     cut = only.select(scope).distinct().withColumn("brindle_cut", F.lit(True))
