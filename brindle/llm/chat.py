@@ -29,18 +29,20 @@ def reply_paths(messages: DataFrame, scratch: Scratch, branches: int = 1) -> Dat
 
     messages: tree, id, parent, score; ids are unique in a tree. A message whose parent is null or
     missing is a root. Self-joins double the reach of a table of ancestors until no message has
-    one so far up; joins with these tables, widest first, then list each leaf's ancestors once, so
-    the number of joins is logarithmic in the depth and the rows are those of the paths. A path's
-    score is the sum of its messages' scores (null: 0); ties go to the smaller leaf. The first
-    `branches` paths of each root are kept. Branches that run into a cycle have no root and go.
+    one so far up; each row also has the scores passed on the way. Leaves climb by these tables, widest
+    first, to their root and the sum of their path, one row a leaf, and are ranked by it; then only the paths of
+    those that are kept are listed, each ancestor once. So joins are logarithmic in the depth, and rows are
+    those of messages and of kept paths. A path's score is the sum of its messages' scores (null: 0); ties go to
+    the smaller leaf. The first `branches` paths of each root are kept. Branches that run into a cycle have no
+    root and go.
     """
-    nodes = messages.select("tree", "id", "parent")
-    jumps = [scratch.save(nodes.select("tree", "id", F.col("parent").alias("up")).join(nodes.select("tree", F.col("id").alias("up")), ["tree", "up"]).select("tree", "id", "up"))]
+    nodes = messages.select("tree", "id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    jumps = [scratch.save(nodes.select("tree", "id", F.col("parent").alias("up"), "score").join(nodes.select("tree", F.col("id").alias("up")), ["tree", "up"]).select("tree", "id", "up", "score"))]
     total = nodes.count()
     while True:
         near = jumps[-1]
-        far = near.select("tree", F.col("id").alias("up"), F.col("up").alias("top"))
-        wider = scratch.save(near.join(far, ["tree", "up"]).select("tree", "id", F.col("top").alias("up")))
+        far = near.select("tree", F.col("id").alias("up"), F.col("up").alias("top"), F.col("score").alias("more"))
+        wider = scratch.save(near.join(far, ["tree", "up"]).select("tree", "id", F.col("top").alias("up"), (F.col("score") + F.col("more")).alias("score")))
         if wider.isEmpty():
             endless = None
             break
@@ -48,21 +50,22 @@ def reply_paths(messages: DataFrame, scratch: Scratch, branches: int = 1) -> Dat
         if 1 << (len(jumps) - 1) > total:  # further than there are messages: a cycle
             endless = wider.select("tree", F.col("id").alias("leaf"))
             break
-    leaves = nodes.join(jumps[0].select("tree", F.col("up").alias("id")), ["tree", "id"], "left_anti").select("tree", F.col("id").alias("leaf"))
+    leaves = nodes.select("tree", "id").join(jumps[0].select("tree", F.col("up").alias("id")), ["tree", "id"], "left_anti").select("tree", F.col("id").alias("leaf"))
     if endless is not None:
         leaves = leaves.join(endless, ["tree", "leaf"], "left_anti")
-    path = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("depth"))
+    at = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0.0).alias("sum"))
+    for table in reversed(jumps):
+        up = table.select("tree", F.col("id").alias("node"), "up", "score")
+        at = at.join(up, ["tree", "node"], "left").select("tree", "leaf", F.coalesce("up", "node").alias("node"), (F.col("sum") + F.coalesce("score", F.lit(0.0))).alias("sum"))
+    rooted = at.join(nodes.select("tree", F.col("id").alias("node"), "score"), ["tree", "node"]).select("tree", "leaf", F.col("node").alias("root"), (F.col("sum") + F.col("score")).alias("score"))
+    order = Window.partitionBy("tree", "root").orderBy(F.desc("score"), "leaf")
+    best = scratch.save(rooted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches).select("tree", "leaf", "rank"))
+    path = best.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("depth"))
     for k in reversed(range(len(jumps))):
-        up = jumps[k].withColumnRenamed("id", "node")
+        up = jumps[k].select("tree", F.col("id").alias("node"), "up")
         step = F.array(F.struct("node", "depth"), F.struct(F.col("up").alias("node"), (F.col("depth") + (1 << k)).alias("depth")))
-        path = path.join(up, ["tree", "node"], "left").select("tree", "leaf", F.explode(step).alias("s")).where("s.node is not null").select("tree", "leaf", "s.node", "s.depth")
-    path = scratch.save(path)
-    scores = messages.select("tree", F.col("id").alias("node"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    whole = path.join(scores, ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.max("depth").alias("depth"))
-    rooted = whole.join(path, ["tree", "leaf", "depth"]).select("tree", "leaf", "score", F.col("node").alias("root"))
-    order = Window.partitionBy("tree", "root").orderBy(F.desc("score"), "leaf")
-    best = rooted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
-    return path.join(best.select("tree", "leaf", "rank"), ["tree", "leaf"])
+        path = path.join(up, ["tree", "node"], "left").select("tree", "leaf", "rank", F.explode(step).alias("s")).where("s.node is not null").select("tree", "leaf", "rank", "s.node", "s.depth")
+    return scratch.save(path)
 
 
 def format_paths(paths: DataFrame, messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
