@@ -63,6 +63,22 @@ def mirrors(url: Column, hosts: list[str]) -> Column:
     return F.transform(F.array(*[F.lit(h) for h in hosts]), lambda h: F.concat(F.regexp_extract(url, r"^([a-z]+://)", 1), h, F.regexp_replace(url, r"^[a-z]+://[^/?#]*", "")))
 
 
+def canonical_thread(url: Column, number: Column, hosts: dict[str, str], paths: list[tuple[str, str]], default: str) -> Column:
+    """The one address of a thread, over https: its host by name (mirrors under the main one), its path by a template.
+
+    paths: (regular expression, template with {tid}); the first that an address matches counts, else default. Mobile and www
+    prefixes go. A host that isn't listed stays. Without a number an address stays as it is.
+    """
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z]+://)?([^/?#:@]+)", 1)), r"^(www|m)\.", "")
+    known = F.create_map(*[F.lit(x) for kv in hosts.items() for x in kv]) if hosts else None
+    main = F.coalesce(known[host], host) if hosts else host
+    path = F
+    for pattern, template in paths:
+        path = path.when(url.rlike(pattern), template)
+    path = path.otherwise(default) if paths else F.lit(default)
+    return F.when(number.isNull(), url).otherwise(F.concat(F.lit("https://"), main, F.replace(path, F.lit("{tid}"), number.cast("string"))))
+
+
 def is_private_host(host: Column) -> Column:
     """Loopback, link-local and private IPv4 ranges, and names that only a local network resolves."""
     return host.rlike(r"^(localhost|127\.\d+\.\d+\.\d+|0\.0\.0\.0|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|169\.254\.\d+\.\d+|172\.(1[6-9]|2\d|3[01])\.\d+\.\d+)$|\.(local|internal)$")
@@ -165,6 +181,19 @@ def primary(links: Column, archive: str = r"(?i)\.(zip|rar|7z)(\.\d{3})?$") -> C
     return F.get(F.array_sort(ranked), F.lit(0))["x"]
 
 
+def primary_of(kinds: dict[str, Column], order: list[str], shared: str | None = None) -> Column:
+    """(kind, name) of the main link among several kinds: each kind's own main one, then the first kind in an order that has any.
+
+    kinds: arrays of (name, size), or of (id, password) for the one named by `shared`, of which one with a password comes first.
+    """
+    def main(kind: str) -> Column:
+        if kind != shared:
+            return primary(kinds[kind])["name"]
+        return F.coalesce(F.get(F.filter(kinds[kind], lambda x: x["password"] != ""), F.lit(0)), F.get(kinds[kind], F.lit(0)))["id"]
+
+    return F.coalesce(*[F.when(F.size(kinds[k]) > 0, F.struct(F.lit(k).alias("kind"), main(k).alias("name"))) for k in order if k in kinds])
+
+
 def codes(text: Column, prefix: str) -> Column:
     """The distinct codes of a prefix, dash and number in a text, in order and in upper case."""
     return F.array_distinct(F.transform(F.regexp_extract_all(F.upper(text), F.lit(rf"(?<![A-Z0-9])({prefix.upper()}-?[0-9]{{2,6}})(?![0-9])"), F.lit(1)), lambda c: F.regexp_replace(c, "^([A-Z]+)-?", "$1-")))

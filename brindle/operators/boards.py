@@ -18,6 +18,13 @@ def queue_keys(keys: DataFrame, key: str = "board") -> DataFrame:
     return keys.select(F.explode(F.array(F.btrim(key), F.split_part(F.btrim(key), F.lit(":"), F.lit(1)))).alias("board")).where("board <> ''").distinct()
 
 
+def expand_parents(keys: DataFrame, known: DataFrame, key: str = "board") -> DataFrame:
+    """(board): keys with each bare parent that has parts among the known keys replaced by these; others stay. Each once."""
+    named = keys.select(F.btrim(key).alias("k")).where("k <> ''").distinct()
+    parts = known.select(F.btrim(key).alias("part")).where(F.col("part").contains(":")).select(F.split_part("part", F.lit(":"), F.lit(1)).alias("k"), "part").distinct()
+    return named.join(parts, "k", "left").select(F.coalesce("part", "k").alias("board")).distinct()
+
+
 def route_rows(rows: DataFrame, enabled: DataFrame, fid: str, part: str, banned: tuple[str, ...] = ()) -> DataFrame:
     """rows with `target`: their own key if that is enabled, the list's if they have no part or none is enabled; others go.
 

@@ -36,6 +36,15 @@ def judge_names(rows: DataFrame, key: str, name: str, place: str) -> DataFrame:
     return marked.groupBy(key).agg(F.count("*").alias("n_rows"), F.countDistinct(name).alias("n_names"), F.count_if("same").alias("n_same"), (F.count_if(blank) / F.count("*")).alias("empty_share"))
 
 
+def prefix_copies(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, n_copies): how many different names of a thread begin another one of it. In order of bytes such a one comes next."""
+    from pyspark.sql import Window
+
+    names = rows.where(F.btrim(name) != "").select(key, F.col(name).alias("name")).distinct()
+    following = F.lead("name").over(Window.partitionBy(key).orderBy("name"))
+    return names.select(key, F.coalesce(following.startswith(F.col("name")), F.lit(False)).alias("copy")).groupBy(key).agg(F.count_if("copy").alias("n_copies"))
+
+
 def name_issues(judged: DataFrame, least_names: float, most_same: float, most_empty: float) -> DataFrame:
     """judge_names() with `issues`: few different names, many runs of equal ones, many without one, each as a share of the rows."""
     n = F.col("n_rows")

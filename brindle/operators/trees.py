@@ -76,3 +76,8 @@ def from_json(texts: DataFrame, text: str, fields: dict[str, tuple[str, str]], r
     each = found.select(*[c for c in texts.columns if c != text], F.explode("brindle_list").alias("brindle_node"))
     value: dict[str, Column] = {c: F.try_variant_get("brindle_node", path, kind) for c, (path, kind) in fields.items()}
     return each.select(*[c for c in texts.columns if c != text], *[v.alias(c) for c, v in value.items()], *([F.col("brindle_node").alias(rest)] if rest else []))
+
+
+def sibling_order(place: str, name: str, language: str | None = None) -> list[Column]:
+    """The order of siblings: by place, those without one last, then by name as a language sorts it (Chinese by sound: zh), then by its bytes."""
+    return [F.col(place).asc_nulls_last(), *([F.collate(F.col(name), language)] if language else []), F.col(name)]

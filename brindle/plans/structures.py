@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from brindle.functions import links
-from brindle.operators import intervals, prefixes, sampling, threads, trees
+from brindle.functions import links, text
+from brindle.operators import boards, facets, intervals, prefixes, sampling, threads, trees
 from brindle.plans.catalogue import query, table
 from brindle.sources import bencode, tables
 
@@ -195,3 +195,50 @@ def g18_alike(spark, sf_dir):
     lists = F.when(k == 0, F.array(F.concat(a, F.lit("⚠")), F.concat(a, F.lit("⚠️")))).when(k == 1, F.array(a, F.concat(a, F.lit(" more")))).when(k == 2, F.array(a, F.concat(a, F.lit(" x")), F.concat(a, F.lit(" y")))).otherwise(F.array(a, F.concat(F.lit("<b>"), a, F.lit("</b>"))))
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("scope"), F.posexplode(lists).alias("place", "name"))
     return threads.merge_names(rows, "scope", "name", "place").where("scope is not null")
+
+
+@query("""SELECT page_id, CASE WHEN tid IS NULL THEN url ELSE 'https://' || CASE WHEN host LIKE '%.example.org' THEN 'main.example' ELSE host END || CASE WHEN url LIKE '%/en/%' THEN '/read.php?tid=' || tid ELSE '/thread-' || tid || '-1-1.html' END END AS url
+FROM (SELECT page_id, url, TRY_CAST(nullif(regexp_extract(url, '/([0-9]+)(?:[./?#]|$)', 1), '') AS BIGINT) AS tid, regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z]+://)?([^/?#:@]+)', 1)), '^(www|m)\\.', '') AS host FROM pages)""")
+def x08_thread(spark, sf_dir):
+    """Addresses of threads under one host and by one of two templates."""
+    pages = table(spark, sf_dir, "pages")
+    host = F.regexp_replace(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z]+://)?([^/?#:@]+)", 1)), r"^(www|m)\.", "")
+    mirrors = {r[0]: "main.example" for r in pages.select(host.alias("h")).where("h like '%.example.org'").distinct().limit(1000).collect()}
+    return pages.select("page_id", links.canonical_thread(F.col("url"), text.thread_id(F.col("url")), mirrors, [("/en/", "/read.php?tid={tid}")], "/thread-{tid}-1-1.html").alias("url"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'file' WHEN p_partkey % 3 = 1 THEN 'share' ELSE 'magnet' END AS kind, CASE WHEN p_partkey % 3 = 0 THEN p_name || '.zip' WHEN p_partkey % 3 = 1 THEN 'coded' ELSE CASE WHEN p_size > 20 THEN p_type ELSE p_name END END AS name FROM part""")
+def x49_any_kind(spark, sf_dir):
+    """The main link of parts that have file links, shared folders or magnets, in this order."""
+    k, size = F.col("p_partkey") % 3, F.col("p_size").cast("long")
+    one = lambda name, size: F.struct(name.alias("name"), size.alias("size"))
+    none = F.array().cast("array<struct<name:string,size:bigint>>")
+    files = F.when(k == 0, F.array(one(F.concat("p_name", F.lit(".mkv")), size * 9), one(F.concat("p_name", F.lit(".zip")), F.lit(1).cast("long")))).otherwise(none)
+    magnets = F.array(one(F.col("p_name"), F.lit(20).cast("long")), one(F.col("p_type"), size))
+    shares = F.when(k == 1, F.array(F.struct(F.lit("bare").alias("id"), F.lit("").alias("password")), F.struct(F.lit("coded").alias("id"), F.lit("x").alias("password")))).otherwise(F.array().cast("array<struct<id:string,password:string>>"))
+    best = links.primary_of({"magnet": magnets, "file": files, "share": shares}, ["file", "share", "magnet"], "share")
+    return table(spark, sf_dir, "part").select("p_partkey", best.alias("b")).select("p_partkey", "b.*")
+
+
+@query("""WITH b AS (SELECT DISTINCT c_nationkey || CASE WHEN c_nationkey % 5 = 0 THEN '' ELSE ':' || (c_custkey % 3) END AS k FROM customer), w AS (SELECT DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey::VARCHAR ELSE s_nationkey || ':9' END AS k FROM supplier)
+SELECT DISTINCT coalesce(b.k, w.k) AS board FROM w LEFT JOIN b ON b.k LIKE '%:%' AND split_part(b.k, ':', 1) = w.k""")
+def x11_expanded(spark, sf_dir):
+    """Old keys of boards: those of a whole board with parts become these."""
+    n = F.col("c_nationkey").cast("string")
+    known = table(spark, sf_dir, "customer").select(F.when(F.col("c_nationkey") % 5 == 0, n).otherwise(F.concat(n, F.lit(":"), (F.col("c_custkey") % 3).cast("string"))).alias("board"))
+    s = F.col("s_nationkey").cast("string")
+    return boards.expand_parents(table(spark, sf_dir, "supplier").select(F.when(F.col("s_suppkey") % 2 == 0, s).otherwise(F.concat(s, F.lit(":9"))).alias("board")), known)
+
+
+@query("""WITH n AS (SELECT DISTINCT c_nationkey AS k, left(c_name, (15 + c_custkey % 4)::INT) AS name FROM customer) SELECT k, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM n o WHERE o.k = n.k AND o.name <> n.name AND starts_with(o.name, n.name))) AS n_copies FROM n GROUP BY k""")
+def a24_copies(spark, sf_dir):
+    """How many names of each group only begin another one."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.left("c_name", (15 + F.col("c_custkey") % 4).cast("int")).alias("name"))
+    return facets.prefix_copies(rows, "k", "name")
+
+
+@query("SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey % 3 END NULLS LAST, n_name) AS place FROM nation")
+def t13_by_sound(spark, sf_dir):
+    """Children by their place, those without one last, then by name as Chinese readers sort it."""
+    rows = table(spark, sf_dir, "nation").withColumn("o", F.when(F.col("n_nationkey") % 3 > 0, F.col("n_nationkey") % 3))
+    return rows.select("n_nationkey", F.row_number().over(Window.partitionBy("n_regionkey").orderBy(*trees.sibling_order("o", "n_name", "zh"))).alias("place"))

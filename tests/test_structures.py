@@ -181,3 +181,19 @@ def test_names_alike_by_hand(spark):
     wanted = {(1, "abc"): "abc def", (1, "abc def"): "abc def", (2, "a b"): "a b", (2, "ab"): "a b", (3, "x❤"): "x❤\ufe0f", (3, "x❤\ufe0f"): "x❤\ufe0f", (4, "⚠y"): "⚠y", (4, "y"): "⚠y", (6, "one"): "one", (7, "<i>q</i>"): "q", (7, "q"): "q", (8, "p"): "pq r", (8, "q"): "q", (8, "pq r"): "pq r", (9, "z"): "z"}
     wanted |= {(5, "a"): "a", (5, "ab"): "abc", (5, "abc"): "abc"}  # the shortest begins two
     assert out == wanted
+
+
+def test_siblings_by_sound(spark):
+    rows = spark.createDataFrame([("中国", 1), ("北京", 1), ("上海", 1), ("b", None), ("重庆", 0), ("a", None)], "n string, o int")
+    assert [r["n"] for r in rows.orderBy(*trees.sibling_order("o", "n", "zh")).collect()] == ["重庆", "北京", "上海", "中国", "a", "b"]
+
+
+def test_prefix_copies(spark):
+    from brindle.operators import facets
+
+    rng = random.Random(4)
+    rows = [(rng.choice("xy"), "".join(rng.choice("ab") for _ in range(rng.randrange(5)))) for _ in range(60)]
+    out = {r["k"]: r["n_copies"] for r in facets.prefix_copies(spark.createDataFrame(rows, "k string, n string"), "k", "n").collect()}
+    for k in "xy":
+        names = {n for g, n in rows if g == k and n}
+        assert out[k] == sum(any(m != n and m.startswith(n) for m in names) for n in names)
