@@ -56,7 +56,6 @@ def test_links(spark):
     files = one(spark, links.ed2k_links(F.col("c0")), text)
     assert [(x["name"], x["size"], x["hash"]) for x in files] == [("a b.mkv", 700, h.upper()), ("big", 0, h.upper())]
     assert [tuple(x) for x in one(spark, links.magnet_links(F.col("c0")), text)] == [(h.upper() + "01234567", "q r", 9)]
-    assert one(spark, links.largest(links.ed2k_links(F.col("c0"))), text)["name"] == "a b.mkv"
     assert one(spark, links.ed2k_links(F.col("c0")), "") == []
 
 
