@@ -51,6 +51,16 @@ def _shared(wanted: list[str]) -> Column:
     return F.size(F.array_intersect("grams", F.array(*[F.lit(g) for g in wanted]))) if wanted else F.lit(0)
 
 
+def _measured(name: Column, asked: list[str]) -> Column:
+    """(common, size) of a name's trigrams and a query's, with the name's made once."""
+    wanted = F.array(*[F.lit(g) for g in asked]) if asked else F.array().cast("array<string>")
+    return F.get(F.transform(F.array(text.trigrams(name)), lambda own: F.struct(F.size(F.array_intersect(own, wanted)).alias("common"), F.size(own).alias("size"))), F.lit(0))
+
+
+def _similarity(m: Column, asked: int) -> Column:
+    return F.coalesce(F.try_divide(m["common"], m["size"] + asked - m["common"]), F.lit(0.0))
+
+
 def _near(common: Column, size: Column, asked: int, by_word: float, by_all: float) -> Column:
     """Whether a row of `size` grams, with `common` of a query's `asked` ones, may be similar enough.
 
@@ -81,9 +91,9 @@ def fuzzy(rows: DataFrame, key: str, name: Column, query: str, found: list[tuple
     """
     enough = search.matches(name, found, "fuzzy")
     if index is None:
-        asked, own = query_grams(query), text.trigrams(name)
-        common = F.size(F.array_intersect(own, F.array(*[F.lit(g) for g in asked]))) if asked else F.lit(0)
-        some = rows.where(enough | _near(common, F.size(own), len(asked), search.WORD_SIMILARITY, search.SIMILARITY))
+        asked = query_grams(query)
+        near = F.get(F.transform(F.array(_measured(name, asked)), lambda m: _near(m["common"], m["size"], len(asked), search.WORD_SIMILARITY, search.SIMILARITY)), F.lit(0))
+        some = rows.where(enough | near)
     else:
         near = candidates(index, query, found)
         if near is None:
@@ -101,10 +111,8 @@ def best(rows: DataFrame, name: Column, query: str, found: list[tuple[str, bool]
     """
     asked = query_grams(query)
     base, weight = search.keyword_score(name, found, query), search.BY_WORD + search.BY_ALL
-    held = F.size(F.array_intersect(text.trigrams(name), F.array(*[F.lit(g) for g in asked]))) if asked else F.lit(0)
-    whole = F.coalesce(text.similarity(name, F.lit(query)), F.lit(0.0))
-    share = F.coalesce(held / max(1, len(asked)), F.lit(0.0))
-    bounds = rows.select("*", base.alias("brindle_base"), whole.alias("brindle_all"), share.alias("brindle_share"))
+    measured = F.get(F.transform(F.array(_measured(name, asked)), lambda m: F.struct(_similarity(m, len(asked)).alias("whole"), F.coalesce(m["common"] / max(1, len(asked)), F.lit(0.0)).alias("share"))), F.lit(0))
+    bounds = rows.select("*", base.alias("brindle_base"), measured.alias("brindle_m")).select("*", F.col("brindle_m.whole").alias("brindle_all"), F.col("brindle_m.share").alias("brindle_share"))
     low = F.col("brindle_base") + weight * F.col("brindle_all")
     bar = bounds.select(low.alias("low")).orderBy(F.desc("low")).limit(n).agg(F.count("*").alias("n"), F.min("low").alias("low")).first()
     upper = F.col("brindle_base") + search.BY_ALL * F.col("brindle_all") + search.BY_WORD * F.col("brindle_share")
