@@ -56,3 +56,12 @@ def test_posts_with_tables_inside(spark):
     assert out[0]["i"] == ["https://a.example/b/i.png", "https://h/o.jpg", "https://a.example/z.gif"]
     assert [tuple(f) for f in out[0]["f"]] == [("k", "v")]
     assert out[1]["p"] is None and out[2]["p"] == [] and out[2]["t"] == ""
+
+
+def test_trees_leave_in_slices():
+    import pyarrow as pa
+
+    html = ["<p>a" * 1000, None, *["<b>x</b>"] * 600, "<p>b" * (markup.SLICE_CHARS // 4), "<i>y"]
+    parts = list(markup.tree.func(iter([pa.array(html[:300]), pa.array(html[300:])])))
+    assert max(map(len, parts)) <= markup.SLICE_PAGES and len(parts) == 5
+    assert [r and (r["text"], len(r["nodes"])) for p in parts for r in p.to_pylist()] == [h and (markup.read(h)[0], len(markup.read(h)[1])) for h in html]
