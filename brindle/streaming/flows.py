@@ -44,7 +44,8 @@ def queue_states(log: DataFrame, key: str, most: int = 3) -> DataFrame:
             last = r.seq
             fails = fails + 1 if r.kind == "retry" else 0
             name = {"done": "done", "skip": "skipped"}.get(r.kind, "failed" if fails >= most else "pending")
-            until = r.at + pd.Timedelta(seconds=max(30.0, r.seconds or 0.0)) if name == "pending" else None
+            # whole microseconds, which is what a timestamp holds
+            until = r.at + pd.Timedelta(microseconds=round(max(30.0, r.seconds or 0.0) * 1_000_000)) if name == "pending" else None
         state.update((fails, int(last)))
         yield pd.DataFrame({"key": [k[0]], "fails": [fails], "state": [name], "retry_after": pd.Series([until], dtype="datetime64[ns]")})
 

@@ -138,3 +138,12 @@ def test_enqueue_in_batches(spark, tmp_path):
     run(batch, 0)
     run(batch, 0)
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 1), ("b", 3)]
+
+
+def test_queue_states_of_odd_delays(spark, tmp_path):
+    rows = [("a", 1, "retry", datetime.datetime(2024, 1, 30, 15, 22, 51, 247574), 210.000000001), ("b", 1, "retry", datetime.datetime(2024, 1, 1), 76.1234567), ("c", 1, "retry", datetime.datetime(2024, 1, 1), None)]
+    log = spark.createDataFrame(rows, "k string, seq long, kind string, at timestamp, seconds double")
+    s = flows.queue_states(_stream(spark, log.coalesce(1), tmp_path / "in"), "k").writeStream.outputMode("update").format("memory").queryName("odd_delays").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    s.awaitTermination()
+    got = {r["key"]: r["retry_after"] for r in spark.table("odd_delays").collect()}
+    assert got == {"a": datetime.datetime(2024, 1, 30, 15, 26, 21, 247574), "b": datetime.datetime(2024, 1, 1, 0, 1, 16, 123457), "c": datetime.datetime(2024, 1, 1, 0, 0, 30)}
