@@ -197,3 +197,18 @@ def test_prefix_copies(spark):
     for k in "xy":
         names = {n for g, n in rows if g == k and n}
         assert out[k] == sum(any(m != n and m.startswith(n) for m in names) for n in names)
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_prefixes_never_broadcast_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(prefixes, "BROADCAST_PREFIXES", most)
+    rows = spark.createDataFrame([("Abc", 3), ("abd", 1), ("b%x", 2)], "t string, n int")
+    # far larger than they look: the side of the rows must not be what is sent
+    heads = spark.createDataFrame([("a",), ("AB",), ("b%",), ("abcd",), ("",), (None,)], "p string")
+    joined = prefixes.prefix_join(rows, "t", heads, "p")
+    first = prefixes.first_per_prefix(rows, "t", heads, "p", [F.col("n")], ["t"])
+    assert sorted(map(tuple, joined.select("p", "n").collect())) == [("AB", 1), ("AB", 3), ("a", 1), ("a", 3), ("b%", 2)]
+    assert sorted(map(tuple, first.collect())) == [("AB", "abd"), ("a", "abd"), ("b%", "b%x")]
+    for df in (joined, first):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "leftHint=(strategy=broadcast)" not in plan and ("rightHint=(strategy=broadcast)" in plan if most else "leftHint=(strategy=merge)" in plan)
