@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import html as _html
+from collections.abc import Iterable
+from functools import reduce
+from html import entities as _entities
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +19,11 @@ def unescape(text: pd.Series) -> pd.Series:
     return text.map(_html.unescape, na_action="ignore")
 
 
+def unescape_named(text: Column, names: Iterable[str]) -> Column:
+    """Some named entities as characters, one after the other; others, and those without their semicolon, stay."""
+    return reduce(lambda t, n: F.replace(t, F.lit(f"&{n};"), F.lit(_entities.html5[f"{n};"])), names, text)
+
+
 @F.pandas_udf(T.StringType())
 def decode_email(code: pd.Series) -> pd.Series:
     """An address hidden as hex, each byte combined with the first by exclusive or; null if it isn't one."""

@@ -68,3 +68,8 @@ def test_han_and_counts(spark):
     assert one(spark, clean.join_spaced_han(F.col("c0")), "影 · 片 a b") == "影片 a b"
     assert one(spark, clean.greatest_count(F.col("c0"), "V", 2, 20000), "[12V] 1,300V X-9999V 99999V") == 1300
     assert one(spark, clean.script(F.col("c0")), "漢字かな") == "kana"
+
+
+@pytest.mark.parametrize("text, plain", [("a &copy; b &amp;copy; &amp", "a © b &copy; &amp"), ("&quot;x&middot;&amp;amp;", "&quot;x·&amp;"), (None, None)])
+def test_unescape_named(spark, text, plain):
+    assert one(spark, clean.unescape_named(F.col("c0"), ("copy", "middot", "amp")), text) == plain
