@@ -149,11 +149,27 @@ def ordered_fields(found: Column, aliases: dict[str, str], preferred: list[str])
     return F.transform(ranked, lambda x: x["x"])
 
 
-def format_bytes(size: Column) -> Column:
-    """Up to two digits after the point in the largest unit that fits, up to TB."""
+def _rounded(size: Column, unit: int, digits: int, even: bool) -> Column:
+    """A whole number of bytes over a unit with some digits after the point, in whole numbers; halves go to even digits or up.
+
+    Bytes count as what a double holds of them, which is all of them below 2^53.
+    """
+    n, scale = F.abs(size.cast("double").cast("long")), 10**digits
+    div = lambda a, b: F.call_function("div", a, F.lit(b))
+    rest = n % unit * scale
+    cut, over = div(rest, unit), rest % unit * 2
+    up = (over > unit) | ((over == unit) & ((cut % 2 == 1) if even else F.lit(True)))
+    parts = div(n, unit) * scale + cut + up.cast("long")
+    whole, tail = div(parts, scale).cast("string"), F.lpad((parts % scale).cast("string"), digits, "0")
+    return F.concat(F.when(size < 0, "-").otherwise(""), whole, F.lit("."), tail)
+
+
+def format_bytes(size: Column, largest: str = "TB") -> Column:
+    """Two digits after the point in the largest unit that fits, up to `largest`; halves go to even digits."""
+    units = ("B", "KB", "MB", "GB", "TB")
     out = F.when(F.coalesce(size, F.lit(0)) <= 0, "0 B")
-    for i, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
-        out = out.when(size >= 1024**i, F.concat(F.format_string("%.2f", size / float(1024**i)) if i else size.cast("string"), F.lit(f" {unit}")))
+    for i, unit in reversed(list(enumerate(units[: units.index(largest) + 1]))):
+        out = out.when(size >= 1024**i, F.concat(_rounded(size, 1024**i, 2, True) if i else size.cast("string"), F.lit(f" {unit}")))
     return out
 
 

@@ -73,3 +73,8 @@ def test_han_and_counts(spark):
 @pytest.mark.parametrize("text, plain", [("a &copy; b &amp;copy; &amp", "a © b &copy; &amp"), ("&quot;x&middot;&amp;amp;", "&quot;x·&amp;"), (None, None)])
 def test_unescape_named(spark, text, plain):
     assert one(spark, clean.unescape_named(F.col("c0"), ("copy", "middot", "amp")), text) == plain
+
+
+@pytest.mark.parametrize("size, largest, text", [(2560**3, "GB", "15.62 GB"), (4608**3, "GB", "91.12 GB"), (10322**3, "GB", "1024.22 GB"), (10322**3, "TB", "1.00 TB"), (1029, "TB", "1.00 KB"), (1024**2 - 1, "TB", "1024.00 KB"), (8 * 10**17, "GB", "745058059.69 GB"), (1, "GB", "1 B"), (0, "GB", "0 B")])
+def test_format_bytes_exactly(spark, size, largest, text):
+    assert one(spark, clean.format_bytes(F.col("c0"), largest), size) == text
