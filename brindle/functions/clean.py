@@ -275,13 +275,14 @@ def _quoted(label: str) -> str:
     return re.escape(label)
 
 
-def short_bytes(size: Column) -> Column:
-    """One digit after the point in the largest unit that fits, from KB to GB."""
-    units = ((1024.0**3, "GB"), (1024.0**2, "MB"))
+def short_bytes(size: Column, largest: str = "GB") -> Column:
+    """One digit after the point in the largest unit that fits, from KB to `largest`; halves go up."""
+    units = ("KB", "MB", "GB")
+    shown = lambda i: F.concat(_rounded(size, 1024 ** (i + 1), 1, False), F.lit(f" {units[i]}"))
     out = F
-    for factor, unit in units:
-        out = out.when(size >= factor, F.concat(F.round(size / factor, 1).cast("string"), F.lit(f" {unit}")))
-    return out.otherwise(F.concat(F.round(size / 1024.0, 1).cast("string"), F.lit(" KB")))
+    for i in range(units.index(largest), 0, -1):
+        out = out.when(size >= 1024 ** (i + 1), shown(i))
+    return out.otherwise(shown(0)) if out is not F else shown(0)
 
 
 def size_aligned(total: Column, told: Column, share: float) -> Column:

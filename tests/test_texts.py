@@ -78,3 +78,9 @@ def test_unescape_named(spark, text, plain):
 @pytest.mark.parametrize("size, largest, text", [(2560**3, "GB", "15.62 GB"), (4608**3, "GB", "91.12 GB"), (10322**3, "GB", "1024.22 GB"), (10322**3, "TB", "1.00 TB"), (1029, "TB", "1.00 KB"), (1024**2 - 1, "TB", "1024.00 KB"), (8 * 10**17, "GB", "745058059.69 GB"), (1, "GB", "1 B"), (0, "GB", "0 B")])
 def test_format_bytes_exactly(spark, size, largest, text):
     assert one(spark, clean.format_bytes(F.col("c0"), largest), size) == text
+
+
+@pytest.mark.parametrize("size, largest, text", [(5388**2 * 37 + 1024, "MB", "1024.4 MB"), (899999**2 * 37 + 1024, "MB", "28581555.7 MB"), (1024**3, "GB", "1.0 GB"), (1280, "GB", "1.3 KB"), (-1280, "KB", "-1.3 KB"), (None, "GB", None)])
+def test_short_bytes_exactly(spark, size, largest, text):
+    got = spark.createDataFrame([(size,)], "c0 long").select(clean.short_bytes(F.col("c0"), largest)).first()[0]
+    assert got == text
