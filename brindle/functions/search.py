@@ -46,31 +46,39 @@ def keywords(query: Column, mode: str = "smart", cut: Column | None = None) -> C
     is the only one. Stop words and, but for fuzzy mode, single characters go. A
     keyword said twice stays in its first place with its last flag. Smart mode puts the whole query first.
     """
+    # each step is named once: an expression that is named twice is computed twice, and within a lambda once an element
+    return text.let(plain(query), lambda rest: text.let(_kept(query, rest, mode, cut), lambda kept: text.let(F.array_distinct(F.transform(kept, lambda x: x["keyword"])), lambda names: text.let(F.transform(names, lambda n: _item(n, F.element_at(F.filter(kept, lambda x: x["keyword"] == n), -1)["required"])), lambda once: _chosen(query, rest, names, once, mode)))))
+
+
+def _kept(query: Column, rest_of: Column, mode: str, cut: Column | None) -> Column:
+    """What a query is cut into, without stop words and words that are too short."""
     no, yes = F.lit(False), F.lit(True)
-    rest_of = plain(query)
     quoted = F.transform(F.regexp_extract_all(query, F.lit('"([^"]+)"'), F.lit(1)), lambda k: _item(k, yes))
     words = F.transform(F.filter(F.split(rest_of, SEPARATORS), lambda k: k != ""), lambda k: _item(k, F.lit(mode == "exact")))
     items, none = F.concat(quoted, words), F.array().cast("array<struct<keyword:string,required:boolean>>")
     whole = F.array(_item(rest_of, no)) if cut is None else F.coalesce(cut, none)
     if mode == "fuzzy":
         han = F.regexp_extract_all(rest_of, F.lit("([\\x{4e00}-\\x{9fff}])"), F.lit(1))
-        pairs = F.transform(F.slice(han, 1, F.greatest(F.size(han) - 1, F.lit(0))), lambda c, i: _item(F.concat(c, F.get(han, i + 1)), no))
+        pairs = text.let(han, lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda c, i: _item(F.concat(c, F.get(h, i + 1)), no)))
         items = F.concat(items, F.when(F.length(rest_of) >= 2, whole).otherwise(none), F.when(F.length(rest_of) >= 4, pairs).otherwise(none))
     elif mode == "smart":
-        items = F.concat(items, F.when((F.size(items) == 1) & (F.length(rest_of) >= 4), whole).otherwise(none))
+        items = text.let(items, lambda xs: F.concat(xs, F.when((F.size(xs) == 1) & (F.length(rest_of) >= 4), whole).otherwise(none)))
     trimmed = F.transform(items, lambda x: _item(F.btrim(x["keyword"]), x["required"]))
-    kept = F.filter(trimmed, lambda x: (F.length(x["keyword"]) >= (1 if mode == "fuzzy" else 2)) & ~F.lower(x["keyword"]).isin(*STOP_WORDS))
-    names = F.array_distinct(F.transform(kept, lambda x: x["keyword"]))
-    once = F.transform(names, lambda n: _item(n, F.element_at(F.filter(kept, lambda x: x["keyword"] == n), -1)["required"]))
+    return F.filter(trimmed, lambda x: (F.length(x["keyword"]) >= (1 if mode == "fuzzy" else 2)) & ~F.lower(x["keyword"]).isin(*STOP_WORDS))
+
+
+def _chosen(query: Column, rest_of: Column, names: Column, once: Column, mode: str) -> Column:
+    """Keywords with what is required of them in a mode."""
     rest = F.coalesce(F.nullif(rest_of, F.lit("")), query)
     if mode != "smart":
         flag = F.lit(mode == "exact")
         return F.when(F.size(once) > 0, F.transform(once, lambda x: _item(x["keyword"], flag)) if mode == "exact" else once).otherwise(F.array(_item(rest, flag)))
     by_length = F.array_sort(F.transform(once, lambda x, i: F.struct((-F.length(x["keyword"])).alias("n"), i.alias("i"))))
     longest = F.transform(F.slice(by_length, F.lit(1), F.ceil(F.size(once) / 3).cast("int")), lambda x: x["i"])
-    chosen = F.when(F.exists(once, lambda x: x["required"]), once).otherwise(F.transform(once, lambda x, i: _item(x["keyword"], F.array_contains(longest, i))))
+    by_rank = text.let(longest, lambda at: F.transform(once, lambda x, i: _item(x["keyword"], F.array_contains(at, i))))
+    chosen = F.when(F.exists(once, lambda x: x["required"]), once).otherwise(by_rank)
     full = F.replace(query, F.lit('"'), F.lit(""))
-    return F.when(F.array_contains(names, full), chosen).otherwise(F.concat(F.array(_item(full, no)), chosen))
+    return text.let(chosen, lambda c: F.when(F.array_contains(names, full), c).otherwise(F.concat(F.array(_item(full, F.lit(False))), c)))
 
 
 def plan(spark: SparkSession, query: str, mode: str = "smart", lexicon: DataFrame | None = None) -> list[tuple[str, bool]]:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once a row, as a lambda's variable, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def trigrams(text: Column) -> Column:
     """The distinct 3-grams of lower-cased words of letters and digits of any script, padded by two spaces before and one behind."""
     words = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))

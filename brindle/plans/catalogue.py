@@ -24,6 +24,12 @@ def query(sql: str | None = None):
     return add
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows with much work each over all cores, where their table lies in fewer pieces, as small files do."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(2 * cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

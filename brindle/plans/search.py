@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import clean, search
 from brindle.operators import grams, segment
-from brindle.plans.catalogue import query, table
+from brindle.plans.catalogue import query, spread, table
 from brindle.session import Scratch
 
 
@@ -61,7 +61,7 @@ def x04_keywords(spark, sf_dir):
     """Keywords of queries with a quoted phrase, a stop word and a repeated word, in three modes; required ones are marked."""
     asked = F.concat(F.lit('"'), "p_type", F.lit('" '), "p_name", F.lit(", the "), "p_brand", F.lit(" "), "p_name")
     shown = lambda mode: F.array_join(F.transform(search.keywords(asked, mode), lambda x: F.concat(x["keyword"], F.when(x["required"], "!").otherwise(""))), "|").alias(mode)
-    return table(spark, sf_dir, "part").select("p_partkey", *[shown(m) for m in ("fuzzy", "exact", "smart")])
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", *[shown(m) for m in ("fuzzy", "exact", "smart")])
 
 
 _LONG = "lower(p_name || ' ' || p_type || ' ' || p_name)"

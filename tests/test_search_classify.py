@@ -128,3 +128,19 @@ def test_skip_reason_of_rows_without_value(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = {tuple(r) for r in classification.x22_skip_reason(spark, str(tmp_path)).collect()}
     assert got == {("CLICK", 1), ("click", 1), ("kept", 1), ("skipped", 1), ("view", 1)}
+
+
+@pytest.mark.parametrize("mode", ["exact", "smart", "fuzzy"])
+def test_keywords_name_each_step_once(spark, mode):
+    df = spark.createDataFrame([('"a b" word',)], "q string").select(search.keywords(F.col("q"), mode))
+    # the query itself is cut at its quotes and separators, not once more for each keyword
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 4
+
+
+def test_small_files_with_much_work_are_spread(spark):
+    from brindle.plans.catalogue import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    one, many = spark.range(100).coalesce(1), spark.range(100, numPartitions=3 * cores)
+    assert spread(one).rdd.getNumPartitions() >= cores and sorted(r[0] for r in spread(one).collect()) == list(range(100))
+    assert spread(many).rdd.getNumPartitions() == 3 * cores
