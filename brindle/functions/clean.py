@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.functions.text import let
+
 
 @F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
@@ -134,16 +136,19 @@ def fields(text: Column) -> Column:
     """Lines `【label】value` of a text as an array of (label, value), the first of each label, in order."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x)), lambda x: x.rlike(r"^【[^】]{1,12}】"))
     found = F.transform(lines, lambda x: F.struct(F.btrim(F.regexp_extract(x, r"^【([^】]+)】", 1)).alias("label"), F.btrim(F.regexp_replace(x, r"^【[^】]+】[:：]?", "")).alias("value")))
-    labels = F.transform(found, lambda x: x["label"])
-    return F.filter(found, lambda x, i: F.array_position(labels, x["label"]) == i + 1)
+    return _first_labels(found)
+
+
+def _first_labels(found: Column) -> Column:
+    """Fields with the first of each label only."""
+    return let(found, lambda fs: let(F.transform(fs, lambda x: x["label"]), lambda labels: F.filter(fs, lambda x, i: F.array_position(labels, x["label"]) == i + 1)))
 
 
 def ordered_fields(found: Column, aliases: dict[str, str], preferred: list[str]) -> Column:
     """Fields with aliases of labels resolved, preferred labels first, others in their order; the first of each label."""
     named = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]) if aliases else None
     clear = F.transform(found, lambda x: F.struct(F.coalesce(named[x["label"]], x["label"]).alias("label") if aliases else x["label"].alias("label"), x["value"].alias("value")))
-    labels = F.transform(clear, lambda x: x["label"])
-    once = F.filter(clear, lambda x, i: F.array_position(labels, x["label"]) == i + 1)
+    once = _first_labels(clear)
     place = lambda x: F.array_position(F.array(*[F.lit(p) for p in preferred]).cast("array<string>"), x["label"])
     ranked = F.array_sort(F.transform(once, lambda x, i: F.struct(F.when(place(x) > 0, place(x)).otherwise(10**6).alias("p"), i.alias("i"), x.alias("x"))))
     return F.transform(ranked, lambda x: x["x"])

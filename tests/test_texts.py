@@ -84,3 +84,10 @@ def test_format_bytes_exactly(spark, size, largest, text):
 def test_short_bytes_exactly(spark, size, largest, text):
     got = spark.createDataFrame([(size,)], "c0 long").select(clean.short_bytes(F.col("c0"), largest)).first()[0]
     assert got == text
+
+
+def test_fields_are_read_once(spark):
+    found = clean.ordered_fields(clean.fields(F.col("c0")), {"title": "name"}, ["size", "name"])
+    df = spark.createDataFrame([("【title】a\n【name】b\n【size】: 3",)], "c0 string").select(found.alias("f"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [tuple(x) for x in df.first()["f"]] == [("size", "3"), ("name", "a")]
