@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brindle.functions.text import let
+
 
 def _some(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
@@ -124,6 +128,11 @@ GLUED_KINDS = "mp4 mkv avi wmv ts iso mov flv m4v rmvb mpg mpeg zip rar 7z txt".
 _INVISIBLE = r"[\x{200B}-\x{200D}\x{FEFF}\x{00AD}]"
 
 
+def _behind_first(pieces: Column, read: Callable[[Column], Column]) -> Column:
+    """What is read in the pieces of a text behind its first mark."""
+    return let(pieces, lambda ps: F.transform(F.slice(ps, 2, F.greatest(F.size(ps) - 1, F.lit(0))), read))
+
+
 def broken_file_links(text: Column, kinds: list[str] = GLUED_KINDS, largest: int = 32 * 1024**4) -> Column:
     """The file links of a text however they were damaged, each once and in order: array of (uri, name, size, hash), whole again.
 
@@ -139,15 +148,17 @@ def broken_file_links(text: Column, kinds: list[str] = GLUED_KINDS, largest: int
 
     def read(piece: Column) -> Column:
         block = F.regexp_replace(F.regexp_replace(piece, r"(?s)\n[ \t\r]*\n.*$", ""), r"[ \t\r]*\n[ \t\r]*", "")
-        bar = F.left(block, F.lit(1))
-        fields = F.split(F.when(bar == "｜", F.translate(block, "|｜", " |")).otherwise(block), r"\|")
-        part = lambda i: F.btrim(F.coalesce(F.get(fields, F.lit(i)), F.lit("")))
-        glued = lambda i: F.regexp_extract(part(1), ends, i)
-        whole = part(2).rlike(r"^\d+$") & part(3).rlike(r"(?i)^[0-9a-f]{32}$") & (part(1) != "")
-        pick = lambda plain, i: F.when(whole, plain).otherwise(glued(i))
-        return F.struct(pick(part(1), 1).alias("name"), pick(part(2), 2).alias("size"), F.upper(pick(part(3), 3)).alias("hash"))
+        bars = lambda b: F.split(F.when(F.left(b, F.lit(1)) == "｜", F.translate(b, "|｜", " |")).otherwise(b), r"\|")
+        part = lambda fields, i: F.btrim(F.coalesce(F.get(fields, F.lit(i)), F.lit("")))
+        return let(let(block, bars), lambda fields: let(F.struct(*[part(fields, i).alias(f"p{i}") for i in (1, 2, 3)]), whole_or_glued))
 
-    found = F.filter(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), read), lambda x: x["hash"] != "")
+    def whole_or_glued(p: Column) -> Column:
+        glued = lambda i: F.regexp_extract(p["p1"], ends, i)
+        whole = p["p2"].rlike(r"^\d+$") & p["p3"].rlike(r"(?i)^[0-9a-f]{32}$") & (p["p1"] != "")
+        link = lambda name, size, hash_: F.struct(name.alias("name"), size.alias("size"), F.upper(hash_).alias("hash"))
+        return F.when(whole, link(p["p1"], p["p2"], p["p3"])).otherwise(link(glued(1), glued(2), glued(3)))
+
+    found = F.filter(_behind_first(pieces, read), lambda x: x["hash"] != "")
 
     def built(x: Column) -> Column:
         size = x["size"].try_cast("bigint")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import links, text
 from brindle.operators import boards, facets, intervals, prefixes, sampling, threads, trees
-from brindle.plans.catalogue import query, table
+from brindle.plans.catalogue import query, spread, table
 from brindle.sources import bencode, tables
 
 
@@ -173,7 +173,7 @@ def x42_broken_links(spark, sf_dir):
     ways = [("d2k:/|file|", "|", "|", "|/"), ("e d 2 k : / / | file | ", " | ", " | ", " | /"), ("ed2k://｜file｜", "｜", "｜", "｜"), ("ed2k://&vert;file&#124;", "&#x7C;", "|", "|"), ("ed2k://|file|", "", "", "|/"), ("ed2k:|file|\n", "\n|", "|\n", "|/"), ("ed2k://|file|", "|", "|zz", "|/")]
     broken = F.coalesce(*[F.when(k == i, F.concat(F.lit(a), n, F.lit(b), size, F.lit(c), h, F.lit(d))) for i, (a, b, c, d) in enumerate(ways)])
     text = F.concat(F.lit("see "), broken, F.lit("\n\nED2K:////|file|whole.zip|77|"), F.md5("p_name"), F.lit("|/ and "), broken, F.lit("\n \nend"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(links.broken_file_links(text)).alias("x")).select("p_partkey", "x.*")
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", F.explode(links.broken_file_links(text)).alias("x")).select("p_partkey", "x.*")
 
 
 @query("SELECT p_partkey, upper(sha1(p_partkey::VARCHAR)) AS hash, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE p_name END AS name FROM part UNION ALL SELECT p_partkey, upper(md5(p_name)), NULL FROM part")

@@ -212,3 +212,12 @@ def test_prefixes_never_broadcast_rows(spark, monkeypatch, most):
     for df in (joined, first):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "leftHint=(strategy=broadcast)" not in plan and ("rightHint=(strategy=broadcast)" in plan if most else "leftHint=(strategy=merge)" in plan)
+
+
+def test_pieces_of_links_are_cut_once(spark):
+    from brindle.functions import links
+
+    df = spark.createDataFrame([("ed2k://|file|a|1|" + "0" * 32 + "|/ ed2k://|file|b.mp4777" + "f" * 32 + "/",)], "t string").select(links.broken_file_links(F.col("t")).alias("x"))
+    # once for the links of a text and once for the fields of a link
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+    assert [(x["name"], x["size"]) for x in df.first()["x"]] == [("a", 1), ("b.mp4", 777)]
