@@ -118,9 +118,7 @@ def magnet_links(text: Column) -> Column:
         name = F.try_url_decode(_some(F.regexp_extract(u, r"[?&]dn=([^&]*)", 1)))
         return F.struct(F.upper(F.regexp_extract(u, r"(?i)btih:([0-9a-z]+)", 1)).alias("hash"), name.alias("name"), F.coalesce(_some(F.regexp_extract(u, r"[?&]xl=(\d+)", 1)).try_cast("bigint"), F.lit(0)).alias("size"))
 
-    found = F.transform(uris, parts)
-    hashes = F.transform(found, lambda x: x["hash"])
-    return F.filter(found, lambda x, i: F.array_position(hashes, x["hash"]) == i + 1)
+    return _first_hashes(F.transform(uris, parts))
 
 
 #: Kinds of files whose names end where a size may be glued to them.
@@ -181,9 +179,12 @@ def broken_magnets(text: Column) -> Column:
         joined = F.regexp_extract(F.regexp_replace(F.left(piece, F.lit(160)), r"\s+", ""), r"(?i)^([0-9a-f]{40})", 1)
         return F.struct(F.upper(F.coalesce(_some(direct), joined)).alias("hash"), F.try_url_decode(_some(F.regexp_extract(piece, r"(?i)^[0-9a-z\s]*(?:&[^&\s]*)*?&\s*dn\s*=\s*([^&\s]*)", 1))).alias("name"))
 
-    found = F.filter(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), read), lambda x: x["hash"] != "")
-    hashes = F.transform(found, lambda x: x["hash"])
-    return F.filter(found, lambda x, i: F.array_position(hashes, x["hash"]) == i + 1)
+    return _first_hashes(F.filter(_behind_first(pieces, read), lambda x: x["hash"] != ""))
+
+
+def _first_hashes(found: Column) -> Column:
+    """Links with the first of each hash only."""
+    return let(found, lambda fs: let(F.transform(fs, lambda x: x["hash"]), lambda hashes: F.filter(fs, lambda x, i: F.array_position(hashes, x["hash"]) == i + 1)))
 
 
 def primary(links: Column, archive: str = r"(?i)\.(zip|rar|7z)(\.\d{3})?$") -> Column:

@@ -184,7 +184,7 @@ def x47_broken_magnets(spark, sf_dir):
     cut = F.concat(F.left(h, F.lit(11)), F.lit(" \u200b"), F.substring(h, 12, 9), F.lit("\n"), F.substring(h, 21, 20))
     broken = F.when(k == 0, F.concat(F.lit("magnet:?xt=urn:btih:"), h, F.lit("&amp;dn="), name)).when(k == 1, F.concat(F.lit("xt=urn：btih ： "), F.upper(h), F.lit(" ＆dn＝"), name)).when(k == 2, F.concat(F.lit("magnet:?xt=urn:b t i h:"), cut, F.lit("&dn="), name)).otherwise(F.concat(F.lit("btih:"), h))
     text = F.concat(broken, F.lit(" next\nmagnet:?xt=urn:btih:"), F.md5("p_name"), F.lit(" x\n"), broken, F.lit("\n"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(links.broken_magnets(text)).alias("x")).select("p_partkey", "x.*")
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", F.explode(links.broken_magnets(text)).alias("x")).select("p_partkey", "x.*")
 
 
 @query("""SELECT c_custkey AS scope, unnest(CASE c_custkey % 4 WHEN 0 THEN [a || '⚠', a || '⚠️'] WHEN 1 THEN [a, a || ' more'] WHEN 2 THEN [a, a || ' x', a || ' y'] ELSE [a, '<b>' || a || '</b>'] END) AS name,

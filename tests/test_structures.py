@@ -221,3 +221,13 @@ def test_pieces_of_links_are_cut_once(spark):
     # once for the links of a text and once for the fields of a link
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
     assert [(x["name"], x["size"]) for x in df.first()["x"]] == [("a", 1), ("b.mp4", 777)]
+
+
+@pytest.mark.parametrize("name, cut", [("broken_magnets", "split("), ("magnet_links", "regexp_extract_all(")])
+def test_magnets_are_read_once(spark, name, cut):
+    from brindle.functions import links
+
+    one, other = "magnet:?xt=urn:btih:" + "a" * 40, "magnet:?xt=urn:btih:" + "b" * 40 + "&dn=n"
+    df = spark.createDataFrame([(f"{one} {other} {one}&dn=x",)], "t string").select(getattr(links, name)(F.col("t")).alias("x"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count(cut) == 1
+    assert [(x["hash"], x["name"]) for x in df.first()["x"]] == [("A" * 40, None), ("B" * 40, "n")]
