@@ -16,7 +16,8 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 def trigrams(text: Column) -> Column:
     """The distinct 3-grams of lower-cased words of letters and digits of any script, padded by two spaces before and one behind."""
-    words = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    # a word said again has no new ones, and long texts say most words many times
+    words = F.transform(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     grams = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substr(w, i, F.lit(3))))
     return F.array_distinct(F.flatten(grams))
 

@@ -19,8 +19,8 @@ _WORD = re.compile(r"[^\W_]+")
 
 def postings(df: DataFrame, key: str, name: Column) -> DataFrame:
     """(gram, key, size): each distinct trigram of a name with the row's key and how many it has. Null names have none."""
-    sized = df.select(F.col(key).alias("key"), text.trigrams(name).alias("grams"))
-    return sized.select(F.explode("grams").alias("gram"), "key", F.size("grams").alias("size"))
+    sized = df.select(F.col(key).alias("key"), text.let(text.trigrams(name), lambda g: F.struct(g.alias("grams"), F.size(g).alias("size"))).alias("own"))
+    return sized.select(F.explode("own.grams").alias("gram"), "key", F.col("own.size").alias("size"))
 
 
 def write_index(df: DataFrame, key: str, name: Column, path: str) -> None:

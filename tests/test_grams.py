@@ -76,3 +76,10 @@ def test_long_runs_of_one_word(spark):
     distinct = len({g for w in ("zz",) for g in (f"  {w} "[i : i + 3] for i in range(len(w) + 1))})
     got = spark.range(1).select(clean.word_similarity(F.lit("foo bar"), F.lit(name))).first()[0]
     assert got == pytest.approx(8 / (8 + distinct))
+
+
+def test_repeated_words_are_cut_once(spark):
+    df = spark.createDataFrame([("Ab ab cd AB cd",), (None,), ("",)], "t string").select(text.trigrams(F.col("t")).alias("g"))
+    assert df.collect()[0]["g"] == ["  a", " ab", "ab ", "  c", " cd", "cd "]
+    # words come apart only after they are distinct
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("array_distinct") == 2
