@@ -98,7 +98,7 @@ def p03_fuzzy(spark, sf_dir):
 def p03_by_index(spark, sf_dir):
     """The same from the posting lists of a written index: a part whose lists tell that it can't match isn't read."""
     asked, name, path = "cold widget promo", _part_name(), Scratch(spark, "gram-index").base
-    parts = table(spark, sf_dir, "part")
+    parts = spread(table(spark, sf_dir, "part"))
     grams.write_index(parts, "p_partkey", name, path)
     rows = grams.fuzzy(parts, "p_partkey", name, asked, search.plan(spark, asked, "fuzzy"), grams.read_index(spark, path))
     return rows.select("p_partkey", "enough", F.round("by_word", 6).alias("by_word"), F.round("by_all", 6).alias("by_all"))
