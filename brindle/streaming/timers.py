@@ -7,9 +7,10 @@ processing time, as the clock does.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +20,8 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The least delay of a retry and the life of a lease in seconds, retries until a job fails, the window of a rate.
 LEAST_DELAY, LEASE, MOST_RETRIES, WINDOW = 30.0, 600.0, 3, 60
+#: Rows that leave a task, or wait in it to be counted, at a time.
+AT_ONCE = 10_000
 TRANSITIONS = "key {0}, at timestamp, state string, fails int"
 RATES = "key {0}, at timestamp, n long, per_minute long"
 
@@ -110,6 +113,27 @@ class Jobs(StatefulProcessor):
         pass
 
 
+def _by_second(frames: Iterable[pd.DataFrame]) -> Iterator[tuple[int, int]]:
+    """(second, rows) in order: rows are counted frame by frame, so that only their seconds are held, not they."""
+    held, n = [(np.array([], "int64"), np.array([], "int64"))], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        seconds, where = np.unique(np.concatenate([s for s, _ in held]), return_inverse=True)
+        counts = np.zeros(len(seconds), "int64")
+        np.add.at(counts, where, np.concatenate([c for _, c in held]))
+        return seconds, counts
+
+    for f in frames:
+        part = np.unique(f["at"].to_numpy("datetime64[ns]").astype("int64") // 1_000_000_000, return_counts=True)
+        held.append(part)
+        n += len(part[0])
+        if n > max(AT_ONCE, 2 * len(held[0][0])):
+            held, n = [merged()], 0
+    seconds, counts = merged()
+    for i in range(0, len(seconds), AT_ONCE):
+        yield from zip(seconds[i : i + AT_ONCE].tolist(), counts[i : i + AT_ONCE].tolist())
+
+
 class Rates(StatefulProcessor):
     """Rows of a key within the last `window` seconds, as counts by second, so that state is bounded whatever the traffic.
 
@@ -159,14 +183,16 @@ class Rates(StatefulProcessor):
         before = self._held()
         counts, out = dict(before), []
         newest = max(counts, default=0)
-        seconds = pd.concat(list(rows))["at"].map(lambda at: _ms(at) // 1000).value_counts().sort_index()
-        for second, n in seconds.items():
+        for second, n in _by_second(rows):
             if second + self.window <= newest:
                 continue  # already left
             out.extend(self._leave(key, counts, second))
             newest = max(newest, second)
             counts[second] = counts.get(second, 0) + int(n)
             out.append(self._row(key, counts, newest))
+            if len(out) >= AT_ONCE:
+                yield from self._frame(out)
+                out = []
         self._save(before, counts)
         yield from self._frame(out)
 

@@ -68,3 +68,16 @@ def test_rates_decay(spark, tmp_path):
     got = run(spark, tmp_path, TIMES, timers.decaying_rates, batches)
     assert [r for r in got if r[0] == "a"] == [("a", at(0), 2, 40), ("a", at(20), 3, 9), ("a", at(60), 1, 2), ("a", at(80), 0, 0)]
     assert [r[1:3] for r in got if r[0] == "b"] == [(at(30), 1), (at(75), 2), (at(90), 1), (at(135), 0), (at(300), 1)]
+
+
+def test_rows_are_counted_by_second_without_holding_them(monkeypatch):
+    import collections
+
+    import pandas as pd
+
+    monkeypatch.setattr(timers, "AT_ONCE", 7)
+    dice = random.Random(5)
+    times = [pd.Timestamp(at(dice.randrange(40) + 0.25)) for _ in range(500)]
+    frames = (pd.DataFrame({"at": times[i : i + 20]}) for i in range(0, 500, 20))
+    assert list(timers._by_second(frames)) == sorted(collections.Counter(int(t.timestamp()) for t in times).items())
+    assert list(timers._by_second(iter([]))) == []
