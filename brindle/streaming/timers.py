@@ -81,13 +81,15 @@ class Jobs(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         fails, seq, until = self.job.get() if self.job.exists() else (0, -1, -1)
         before, out = until, []
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-            if r.seq <= seq:
+        columns = ("seq", "kind", "at", "seconds")
+        # a key has few rows, so lists take less time than frames
+        for number, kind, at, seconds in sorted((r for f in rows for r in zip(*(f[c].tolist() for c in columns))), key=lambda r: r[0]):
+            if number <= seq:
                 continue
-            now, seq = _ms(r.at), int(r.seq)
+            now, seq = _ms(at), int(number)
             if 0 <= until <= now:  # came due before this row
                 out.append(self._due(key, until, fails))
-            until, state = -1, {"done": "done", "skip": "skipped", "claim": "running"}.get(r.kind, "waiting")
+            until, state = -1, {"done": "done", "skip": "skipped", "claim": "running"}.get(kind, "waiting")
             if state == "running":
                 until = now + int(self.lease * 1000)
             elif state == "waiting":
@@ -95,10 +97,10 @@ class Jobs(StatefulProcessor):
                 if fails >= self.most:
                     state = "failed"
                 else:
-                    until = now + int(max(LEAST_DELAY, 0.0 if pd.isna(r.seconds) else r.seconds) * 1000)
+                    until = now + int(max(LEAST_DELAY, 0.0 if pd.isna(seconds) else seconds) * 1000)
             else:
                 fails = 0
-            out.append((key[0], r.at, state, fails))
+            out.append((key[0], at, state, fails))
         self._set(fails, seq, until, before)
         yield from self._frame(out)
 
