@@ -68,23 +68,28 @@ def named_links(names: DataFrame, links: DataFrame, scope: str, place: str, name
     Layouts: without names size_then_link if there are two labels of sizes at least, no_name_pack from PACK links on, else
     no_name; names_then_links if all of several names come before the first link (the n-th link is of the n-th name, what
     is over of the last); link_then_name if a link comes before the first name (links are of the name that follows, the
-    last ones of the last name); else name_then_link (of the name before). Names and links are numbered by windows over a
-    scope and joined by number; no pairs are formed.
+    last ones of the last name); else name_then_link (of the name before). Names and links are dealt out once, by scope, and
+    numbered by windows over a scope; then each link stands behind the name of its number. No pairs are formed.
     """
-    w = Window.partitionBy(scope).orderBy(place)
-    numbered = names.select(scope, place, name).withColumn("brindle_k", F.row_number().over(w))
-    of = names.groupBy(scope).agg(F.count("*").alias("brindle_names"), F.min(place).alias("brindle_first"), F.max(place).alias("brindle_last"))
-    own = links.groupBy(scope).agg(F.count("*").alias("brindle_links"), F.min(place).alias("brindle_link"))
-    facts = own.join(of, scope, "left")
+    row, told = F.struct(*links.columns), F.struct(F.col(name).alias("name"))
+    part = lambda df, kind, of, said: df.select(F.col(scope).alias("brindle_scope"), F.col(place).alias("brindle_place"), F.lit(kind).alias("brindle_kind"), of.alias("brindle_row"), said.alias("brindle_name"))
+    no_row, no_name = F.lit(None).cast(links.select(row).schema[0].dataType), F.lit(None).cast(names.select(told).schema[0].dataType)
+    both = part(links, 0, row, no_name).union(part(names, 1, no_row, told))
     if sizes is not None:
-        facts = facts.join(sizes.groupBy(scope).agg(F.count("*").alias("brindle_sizes")), scope, "left")
-    n = F.coalesce("brindle_names", F.lit(0))
-    many = F.coalesce("brindle_sizes", F.lit(0)) >= 2 if sizes is not None else F.lit(False)
-    layout = F.when((n == 0) & many, "size_then_link").when((n == 0) & (F.col("brindle_links") >= PACK), "no_name_pack").when(n == 0, "no_name")
-    layout = layout.when((n > 1) & (F.col("brindle_last") < F.col("brindle_link")), "names_then_links").when(F.col("brindle_link") < F.col("brindle_first"), "link_then_name").otherwise("name_then_link")
-    facts = facts.select(scope, layout.alias("layout"), n.alias("brindle_names"))
-    both = links.withColumn("brindle_is", F.lit(0)).unionByName(names.select(scope, place).withColumn("brindle_is", F.lit(1)), allowMissingColumns=True)
-    order = Window.partitionBy(scope).orderBy(place, F.desc("brindle_is")).rowsBetween(Window.unboundedPreceding, 0)
-    counted = both.withColumns({"brindle_before": F.sum("brindle_is").over(order), "brindle_nth": F.sum(1 - F.col("brindle_is")).over(order)}).where("brindle_is = 0").join(facts, scope)
-    k = F.when(F.col("layout") == "names_then_links", F.least("brindle_nth", "brindle_names")).when(F.col("layout") == "link_then_name", F.least(F.col("brindle_before") + 1, F.col("brindle_names"))).otherwise(F.col("brindle_before"))
-    return counted.withColumn("brindle_k", k).join(numbered.select(scope, "brindle_k", name), [scope, "brindle_k"], "left").select(*links.columns, "layout", name)
+        both = both.union(sizes.select(scope, F.lit(None), F.lit(2), no_row, no_name))
+    scopes, kind = Window.partitionBy("brindle_scope"), F.col("brindle_kind")
+    order = scopes.orderBy("brindle_place", F.desc("brindle_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    at = lambda k: F.when(kind == k, F.col("brindle_place"))
+    counted = both.where("brindle_scope is not null").withColumns({"brindle_before": F.count_if(kind == 1).over(order), "brindle_nth": F.count_if(kind == 0).over(order)})
+    known = counted.withColumns({
+        "brindle_names": F.count_if(kind == 1).over(scopes), "brindle_links": F.count_if(kind == 0).over(scopes), "brindle_sizes": F.count_if(kind == 2).over(scopes),
+        "brindle_first": F.min(at(1)).over(scopes), "brindle_last": F.max(at(1)).over(scopes), "brindle_link": F.min(at(0)).over(scopes),
+    }).where("brindle_kind < 2 and brindle_links > 0")
+    n, link = F.col("brindle_names"), F.col("brindle_link")
+    layout = F.when((n == 0) & (F.col("brindle_sizes") >= 2), "size_then_link").when((n == 0) & (F.col("brindle_links") >= PACK), "no_name_pack").when(n == 0, "no_name")
+    layout = layout.when((n > 1) & (F.col("brindle_last") < link), "names_then_links").when(link < F.col("brindle_first"), "link_then_name").otherwise("name_then_link")
+    laid = known.withColumn("layout", layout)
+    k = F.when((kind == 1) | (F.col("layout") == "name_then_link"), F.col("brindle_before")).when(F.col("layout") == "names_then_links", F.least("brindle_nth", n)).otherwise(F.least(F.col("brindle_before") + 1, n))
+    numbered = scopes.orderBy("brindle_k", F.desc("brindle_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    named = laid.withColumn("brindle_k", k).withColumn("brindle_name", F.last("brindle_name", True).over(numbered)).where("brindle_kind = 0")
+    return named.select("brindle_row.*", "layout", F.col("brindle_name.name").alias(name))

@@ -65,3 +65,24 @@ def test_trees_leave_in_slices():
     parts = list(markup.tree.func(iter([pa.array(html[:300]), pa.array(html[300:])])))
     assert max(map(len, parts)) <= markup.SLICE_PAGES and len(parts) == 5
     assert [r and (r["text"], len(r["nodes"])) for p in parts for r in p.to_pylist()] == [h and (markup.read(h)[0], len(markup.read(h)[1])) for h in html]
+
+
+def test_trees_need_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    html = pa.array(["<p a=1>x<b>y</b>" * 1024] * 40)
+    tracemalloc.start()
+    try:
+        assert sum(map(len, markup.tree.func(iter([html])))) == 40
+        assert tracemalloc.get_traced_memory()[1] < 20e6  # elements as dicts, a million characters at once: 45 MB
+    finally:
+        tracemalloc.stop()
+
+
+def test_quick_and_slow_ways_agree():
+    quoted = """t &lt;<A  HREF="x>&amp;y" href="2" Class="a b"\n>u</a><td></TD >v<script a="1">'<p>'</script>w"""
+    odd = quoted.replace('href="2"', "href=2")  # such a tag is read attribute by attribute
+    assert markup.read(quoted) == markup.read(odd)
+    assert [n["attrs"] for n in markup.read(quoted)[1]] == [[("href", "x>&y"), ("class", "a b")], [], [("a", "1")]]

@@ -144,3 +144,14 @@ def test_small_files_with_much_work_are_spread(spark):
     one, many = spark.range(100).coalesce(1), spark.range(100, numPartitions=3 * cores)
     assert spread(one).rdd.getNumPartitions() >= cores and sorted(r[0] for r in spread(one).collect()) == list(range(100))
     assert spread(many).rdd.getNumPartitions() == 3 * cores
+
+
+def test_named_links_are_dealt_out_once(spark):
+    from brindle.operators import frames
+
+    names = spark.createDataFrame([(1, 1, "a"), (1, 3, None), (2, 9, "z"), (None, 1, "x")], "t long, at int, name string")
+    found = spark.createDataFrame([(1, 0, "h"), (1, 2, "i"), (1, 4, "j"), (2, 9, "k"), (3, 1, "l"), (None, 2, "m")], "t long, at int, hash string")
+    out = frames.named_links(names, found, "t", "at", "name", names.limit(0).select("t", "at"))
+    assert sorted(out.collect(), key=str) == sorted([(1, 0, "h", "link_then_name", "a"), (1, 2, "i", "link_then_name", None), (1, 4, "j", "link_then_name", None), (2, 9, "k", "name_then_link", "z"), (3, 1, "l", "no_name", None)], key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
