@@ -147,3 +147,15 @@ def test_queue_states_of_odd_delays(spark, tmp_path):
     s.awaitTermination()
     got = {r["key"]: r["retry_after"] for r in spark.table("odd_delays").collect()}
     assert got == {"a": datetime.datetime(2024, 1, 30, 15, 26, 21, 247574), "b": datetime.datetime(2024, 1, 1, 0, 1, 16, 123457), "c": datetime.datetime(2024, 1, 1, 0, 0, 30)}
+
+
+def test_packed_files_grow_in_number(spark, monkeypatch):
+    from brindle.plans import flows
+
+    parts = spark.range(1, 60001).select(F.col("id").alias("p_partkey"), F.lit("n").alias("p_name"))
+    made, packed = [], flows._packed
+    monkeypatch.setattr(flows, "table", lambda *_: parts)
+    monkeypatch.setattr(flows, "_packed", lambda rows, *names: made.append(rows) or packed(rows, *names))
+    assert flows.s03_packed(spark, "").count() == 60000
+    sizes = [r["count"] for r in made[0].groupBy("file").count().collect()]
+    assert max(sizes) <= 2000 and sum(sizes) == 60000
