@@ -30,6 +30,11 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(2 * cores)
 
 
+def tasks_of(rows: DataFrame, each: int = 500_000) -> int:
+    """How many tasks hold so many rows of a table each, by the counts in its files, so that a task's memory doesn't grow with the table."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

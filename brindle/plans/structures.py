@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import links, text
 from brindle.operators import boards, facets, intervals, prefixes, sampling, threads, trees
-from brindle.plans.catalogue import query, spread, table
+from brindle.plans.catalogue import query, spread, table, tasks_of
 from brindle.sources import bencode, tables
 
 
@@ -62,8 +62,10 @@ def x83_block_cards(spark, sf_dir):
     blocks = span("o", 0, 90, 1).union(span("i", 20, 60, 2)).union(span("n", 30, 40, 4))
     label = F.expr("case l_linenumber % 4 when 0 then 'size' when 1 then 'name' when 2 then 'title' else 'x' end")
     value = F.when(F.col("l_partkey") % 6 == 0, "").otherwise(F.concat(F.lit("v"), F.col("l_partkey").cast("string")))
-    cards = o.join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("k", (F.col("place") * 100 + F.col("l_linenumber") * 13).alias("at"), label.alias("label"), value.alias("value"))
-    return intervals.cards_of(blocks, cards, "k", {"name": "name", "title": "name", "size": "size"}).select("k", "block", "name", "size")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    tasks = tasks_of(items)
+    cards = o.repartition(tasks, "o_orderkey").join(items.repartition(tasks, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey")).select("k", (F.col("place") * 100 + F.col("l_linenumber") * 13).alias("at"), label.alias("label"), value.alias("value"))
+    return intervals.cards_of(blocks, cards, "k", {"name": "name", "title": "name", "size": "size"}, tasks).select("k", "block", "name", "size")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_acctbal > 0 ORDER BY -ln((('0x' || substr(md5('42:' || c_custkey), 1, 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE) / c_acctbal, c_custkey LIMIT 300")

@@ -231,3 +231,13 @@ def test_magnets_are_read_once(spark, name, cut):
     df = spark.createDataFrame([(f"{one} {other} {one}&dn=x",)], "t string").select(getattr(links, name)(F.col("t")).alias("x"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count(cut) == 1
     assert [(x["hash"], x["name"]) for x in df.first()["x"]] == [("A" * 40, None), ("B" * 40, "n")]
+
+
+def test_blocks_are_dealt_among_tasks(spark):
+    blocks = spark.createDataFrame([(k, f"{m}{k}", 0 + d, 9 - d) for k in range(40) for m, d in (("o", 0), ("i", 3))], "k long, block string, begin long, end long")
+    cards = spark.createDataFrame([(k, p, "name", f"v{p}") for k in range(40) for p in (1, 4, 7)], "k long, at long, label string, value string")
+    args = (cards.withColumnRenamed("at", "p"), blocks, "k", "p", "begin", "end", "block")
+    assert intervals.innermost(*args, tasks=11).rdd.getNumPartitions() == 11
+    assert intervals.innermost(*args, tasks=11).exceptAll(intervals.innermost(*args)).count() == 0
+    got = intervals.cards_of(blocks, cards, "k", {"name": "name"}, 11).select("block", "name").collect()
+    assert sorted(map(tuple, got)) == sorted((f"{m}{k}", v) for k in range(40) for m, v in (("o", "v1"), ("i", "v4")))
