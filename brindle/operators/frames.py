@@ -11,12 +11,14 @@ from brindle.functions import clean
 PACK = 48
 
 
-def fill(assets: DataFrame, thread: str, name: str, link: str, size: str, image: str, stated: str, least_size: int = 0, images: int = 6) -> DataFrame:
+def fill(assets: DataFrame, thread: str, name: str, link: str, size: str, image: str, stated: str, least_size: int = 0, images: int = 6, tasks: int | None = None) -> DataFrame:
     """One row a thread and name: links, n_links, images, n_images, size, slots (which of name, links and size are filled).
 
     The size is the stated one if that is larger than a placeholder, else the sum of the sizes of different links.
-    Links and images count once each; their lists are cut after so many images.
+    Links and images count once each; their lists are cut after so many images. tasks: among how many tasks the threads are
+    dealt out, once for all that follows; else each count is dealt out anew, and Spark may make few tasks with much memory each.
     """
+    assets = assets.repartition(tasks, thread) if tasks else assets
     once = assets.groupBy(thread, name, link).agg(F.max(size).alias("brindle_size"), F.max(stated).alias("brindle_stated"), F.array_distinct(F.array_sort(F.collect_set(image))).alias("brindle_images"))
     per = once.groupBy(thread, name).agg(F.count(F.nullif(link, F.lit(""))).alias("n_links"), F.sum("brindle_size").alias("brindle_sum"), F.max("brindle_stated").alias("brindle_stated"), F.array_distinct(F.array_sort(F.flatten(F.collect_list("brindle_images")))).alias("brindle_images"))
     told = F.when(F.col("brindle_stated") > least_size, F.col("brindle_stated"))

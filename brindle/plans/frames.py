@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import classify, clean, links
 from brindle.operators import frames, ranking
-from brindle.plans.catalogue import query, table
+from brindle.plans.catalogue import query, table, tasks_of
 
 _ASSETS = "SELECT l_orderkey AS t, CASE WHEN l_suppkey % 9 = 0 THEN '' ELSE 'n' || (l_linenumber % 3) END AS name, 'l' || l_partkey AS link, l_quantity::BIGINT AS size, CASE WHEN l_suppkey % 4 > 0 THEN 'i' || (l_partkey % 5) END AS image, CASE WHEN l_suppkey % 7 = 0 THEN 40 ELSE 0 END AS stated FROM lineitem"
 _FILLED = f"""SELECT t, name, count(DISTINCT link) AS n_links, count(DISTINCT image) AS n_images, CASE WHEN max(stated) > 3 THEN max(stated) WHEN (SELECT sum(m) FROM (SELECT max(size) AS m FROM ({_ASSETS}) y WHERE y.t = x.t AND y.name = x.name GROUP BY link)) > 3 THEN (SELECT sum(m) FROM (SELECT max(size) AS m FROM ({_ASSETS}) y WHERE y.t = x.t AND y.name = x.name GROUP BY link)) ELSE 0 END::BIGINT AS size,
@@ -18,7 +18,7 @@ def _filled(spark, sf_dir):
     name = F.when(F.col("l_suppkey") % 9 == 0, "").otherwise(F.concat(F.lit("n"), (F.col("l_linenumber") % 3).cast("string")))
     image = F.when(F.col("l_suppkey") % 4 > 0, F.concat(F.lit("i"), (F.col("l_partkey") % 5).cast("string")))
     assets = i.select(F.col("l_orderkey").alias("t"), name.alias("name"), F.concat(F.lit("l"), F.col("l_partkey").cast("string")).alias("link"), F.col("l_quantity").cast("long").alias("size"), image.alias("image"), F.when(F.col("l_suppkey") % 7 == 0, 40).otherwise(0).cast("long").alias("stated"))
-    return frames.fill(assets, "t", "name", "link", "size", "image", "stated", 3)
+    return frames.fill(assets, "t", "name", "link", "size", "image", "stated", 3, tasks=tasks_of(i))
 
 
 @query(f"SELECT t, name, n_links, n_images, size, coalesce(images, '') AS images, (name <> '')::INT + 1 + (size > 0)::INT AS filled FROM ({_FILLED})")

@@ -89,3 +89,12 @@ def test_samples_avoid_what_is_excluded(spark):
     assert len(set(first)) == 10 and all(100 <= r[0] <= 200 for r in first)
     assert first == rows(sampling.sample_ids(out, "tid", 100, 200, 10)) and first != rows(sampling.sample_ids(out, "tid", 100, 200, 10, seed=1))
     assert sampling.window_quotas([(0, 9, 1.0), (10, 19, 2.0)], 10) == [3, 7] and sampling.window_quotas([], 5) == []
+
+
+def test_filled_rows_are_dealt_out_once(spark):
+    from brindle.operators import frames
+
+    rows = spark.createDataFrame([(t, f"n{t % 2}", f"l{i}", i, "i", 0) for t in range(50) for i in range(3)], "t long, name string, link string, size long, image string, stated long")
+    args = (rows, "t", "name", "link", "size", "image", "stated")
+    out = frames.fill(*args, tasks=11)
+    assert out.rdd.getNumPartitions() == 11 and out.exceptAll(frames.fill(*args)).count() == 0 and out.count() == 50
