@@ -176,7 +176,8 @@ def links(distinct: DataFrame) -> DataFrame:
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))) for k, m in enumerate(_masks())])
     entries = distinct.select("fp", F.explode(keys).alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = entries.join(shared, "key").withColumn("tiles", F.ceil(F.col("n") / F.lit(TILE)).cast("int"))
+    # keys are thirty a fingerprint, which Spark's sizes don't tell: they are merged at every size, never broadcast
+    met = entries.join(shared.hint("merge"), "key").withColumn("tiles", F.ceil(F.col("n") / F.lit(TILE)).cast("int"))
     met = met.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     pairs = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     low, high = F.least("tile", "other"), F.greatest("tile", "other")
