@@ -187,8 +187,9 @@ def near_pairs(classes: DataFrame, scratch: Scratch, edits: int = EDITS) -> Data
     long_enough = classes.where(F.col("len") >= NEAR_CHARS)
     index = long_enough.select(F.explode(segment_keys(F.col("line"), F.col("len"), edits)).alias("key"), F.col("id").alias("a"), F.col("c").alias("ca"))
     probes = long_enough.select(F.explode(probe_keys(F.col("line"), F.col("len"), edits)).alias("key"), F.col("id").alias("b"), F.col("c").alias("cb"))
-    # pairs whose letters rule them out end in the join, so a common segment doesn't bring out all pairs of its lines
-    met = index.join(probes, "key").where((F.col("a") != F.col("b")) & (counts_apart(F.col("ca"), F.col("cb")) <= 2 * edits))
+    # pairs whose letters rule them out end in the join, so a common segment doesn't bring out all pairs of its lines;
+    # Spark sizes keys as the lines that they are cut from, so they are merged at every size, never broadcast
+    met = index.hint("merge").join(probes, "key").where((F.col("a") != F.col("b")) & (counts_apart(F.col("ca"), F.col("cb")) <= 2 * edits))
     pairs = scratch.save(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = scratch.save(_ends(pairs))
     texts = scratch.save(long_enough.join(_bounded(ends), "id", "left_semi").select("id", "len", pack(F.col("line"), F.col("len")).alias("bits")))
