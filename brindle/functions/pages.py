@@ -21,7 +21,7 @@ def _some(c: Column) -> Column:
 
 def first_of(items: Column, key: str) -> Column:
     """An array of structs with the first of each key only; arrays are those of one page or text."""
-    return _let(F.transform(items, lambda x: x[key]), lambda keys: F.filter(items, lambda x, i: F.array_position(keys, x[key]) == i + 1))
+    return _let(items, lambda xs: _let(F.transform(xs, lambda x: x[key]), lambda keys: F.filter(xs, lambda x, i: F.array_position(keys, x[key]) == i + 1)))
 
 
 @F.pandas_udf(T.StringType())
@@ -74,6 +74,8 @@ def anchor_rows(html: Column, page: str = "read.php", skip: tuple[str, ...] = ()
 
 #: How the markup of a thread page names its parts.
 SUBJECT_ID, POST_ID, MESSAGE_ID, AUTHOR_CLASS, CODE_CLASS = "thread_subject", r"^post_\d+$", r"^postmessage_(\d+)$", "xi2", "blockcode"
+#: Trees of what the functions below look at in thread pages, and of what posts() does.
+thread_tree, post_tree = markup.tree_of(("title", "td", "th", "a", "img"), ("id", "class", "href")), markup.tree_of((), ("id", "class"))
 
 
 def _first(nodes: Column) -> Column:
@@ -82,9 +84,9 @@ def _first(nodes: Column) -> Column:
 
 def thread_title(page: Column) -> Column:
     """The text of the element with the id of a subject, else of `<title>` up to its first ` - `."""
-    subject = _first(markup.pick(page, lambda n: markup.attr(n, "id") == SUBJECT_ID))
-    title = _first(markup.pick(page, lambda n: n["tag"] == "title"))
-    return F.coalesce(_some(markup.inner_text(page, subject)), F.split_part(markup.inner_text(page, title), F.lit(" - "), F.lit(1)))
+    text = lambda condition: _let(_first(markup.pick(page, condition)), lambda n: markup.inner_text(page, n))
+    subject, title = text(lambda n: markup.attr(n, "id") == SUBJECT_ID), text(lambda n: n["tag"] == "title")
+    return F.coalesce(_let(subject, _some), F.split_part(title, F.lit(" - "), F.lit(1)))
 
 
 def messages(page: Column) -> Column:
@@ -109,7 +111,7 @@ def posts(page: Column, most: int | None = None) -> Column:
 
     # only these elements matter below, so that each post looks through few
     marked = F.filter(page["nodes"], lambda n: F.coalesce(markup.attr(n, "id").rlike(rf"{POST_ID}|{MESSAGE_ID}"), F.lit(False)) | markup.has_class(n, AUTHOR_CLASS))
-    post = lambda nodes: F.transform(F.filter(nodes, lambda n: markup.attr(n, "id").rlike(POST_ID)), lambda head: parts(markup.within(nodes, head)))
+    post = lambda nodes: F.transform(F.filter(nodes, lambda n: markup.attr(n, "id").rlike(POST_ID)), lambda head: _let(markup.within(nodes, head), parts))
     found = F.transform(_let(marked, post), said)
     filled = F.filter(found, lambda x: x["content"] != "")
     return F.transform(filled, lambda x, i: F.struct(x["pid"].alias("pid"), (i + 1).alias("floor"), x["author"].alias("author"), x["content"].alias("content"), x["begin"].alias("begin"), x["end"].alias("end")))
@@ -133,9 +135,16 @@ def code_blocks(page: Column, mark: str = CODE_CLASS) -> Column:
 
 def table_fields(page: Column) -> Column:
     """The rows of tables that begin with a heading as an array of (label, value), in order."""
-    cells = markup.pick(page, lambda n: n["tag"] == "td")
-    pair = lambda h: F.struct(markup.inner_text(page, h).alias("label"), markup.inner_text(page, _first(F.filter(cells, lambda c: (c["parent"] == h["parent"]) & (c["node"] > h["node"])))).alias("value"))
-    return F.filter(F.transform(markup.pick(page, lambda n: n["tag"] == "th"), pair), lambda x: (x["label"] != "") & (x["value"] != ""))
+    def pairs(cells: Column) -> Column:
+        def behind(h: Column, i: Column) -> Column:
+            """The first cell of the row behind a heading: mostly the next one; others are looked for."""
+            after, others = F.get(cells, i + 1), F.filter(cells, lambda c: (c["tag"] == "td") & (c["parent"] == h["parent"]) & (c["node"] > h["node"]))
+            return _let(after, lambda c: F.when((c["tag"] == "td") & (c["parent"] == h["parent"]), c).otherwise(_first(others)))
+
+        pair = lambda h, i: F.when(h["tag"] == "th", F.struct(markup.inner_text(page, h).alias("label"), _let(behind(h, i), lambda c: markup.inner_text(page, c)).alias("value")))
+        return F.transform(cells, pair)
+
+    return F.filter(_let(markup.pick(page, lambda n: n["tag"].isin("th", "td")), pairs), lambda x: (x["label"] != "") & (x["value"] != ""))
 
 
 def attachments(page: Column, wanted: str | None = None, unwanted: str | None = None) -> Column:
@@ -150,7 +159,7 @@ def absolute(url: Column, base: Column) -> Column:
     """An address as seen from another: with its scheme, from its root, or beside it."""
     root, beside = F.regexp_extract(base, r"^([a-z]+://[^/?#]+)", 1), F.regexp_extract(base, r"^([a-z]+://[^/?#]+(?:/[^?#]*/|/)?)", 1)
     here = F.when(beside.endswith("/"), beside).otherwise(F.concat(beside, F.lit("/")))
-    return F.when(url.rlike(r"^[a-z][a-z0-9+.-]*:"), url).when(url.startswith("//"), F.concat(F.regexp_extract(base, r"^([a-z]+:)", 1), url)).when(url.startswith("/"), F.concat(root, url)).otherwise(F.concat(here, F.regexp_replace(url, r"^(\./)+", "")))
+    return _let(url, lambda url: F.when(url.rlike(r"^[a-z][a-z0-9+.-]*:"), url).when(url.startswith("//"), F.concat(F.regexp_extract(base, r"^([a-z]+:)", 1), url)).when(url.startswith("/"), F.concat(root, url)).otherwise(F.concat(here, F.regexp_replace(url, r"^(\./)+", ""))))
 
 
 def images(page: Column, base: Column, sources: tuple[str, ...] = ("zoomfile", "file", "data-original", "src"), noise: str | None = None, most: int = 6) -> Column:
@@ -158,12 +167,13 @@ def images(page: Column, base: Column, sources: tuple[str, ...] = ("zoomfile", "
 
     The first filled attribute of sources counts; addresses that match noise go.
     """
-    said = messages(page)
-    one = lambda n: F.struct(
-        (~F.exists(said, lambda m: (n["begin"] >= m["begin"]) & (n["end"] <= m["end"]) & (n["depth"] > m["depth"]))).alias("outside"), n["node"].alias("node"), absolute(F.btrim(F.coalesce(*[_some(markup.attr(n, a)) for a in sources], F.lit(""))), base).alias("url")
-    )
-    pictures = markup.pick(page, lambda n: (n["tag"] == "img") & F.coalesce(*[_some(markup.attr(n, a)) for a in sources]).isNotNull())
-    found = F.array_sort(F.transform(pictures, one))
+    def seen(said: Column) -> Column:
+        one = lambda n: F.struct(
+            (~F.exists(said, lambda m: (n["begin"] >= m["begin"]) & (n["end"] <= m["end"]) & (n["depth"] > m["depth"]))).alias("outside"), n["node"].alias("node"), absolute(F.btrim(F.coalesce(*[_some(markup.attr(n, a)) for a in sources], F.lit(""))), base).alias("url")
+        )
+        return F.transform(markup.pick(page, lambda n: (n["tag"] == "img") & F.coalesce(*[_some(markup.attr(n, a)) for a in sources]).isNotNull()), one)
+
+    found = F.array_sort(_let(F.transform(messages(page), lambda m: F.struct(m["begin"].alias("begin"), m["end"].alias("end"), m["depth"].alias("depth"))), seen))
     clear = F.filter(found, lambda x: ~x["url"].rlike(noise)) if noise else found
     return F.slice(F.array_distinct(F.transform(clear, lambda x: x["url"])), 1, most)
 
@@ -177,8 +187,8 @@ def query_ids(page: Column, name: str) -> Column:
 def board_meta(page: Column, preferred: tuple[str, ...], fallback: Column) -> Column:
     """(board, type) of a page: the first preferred board that it links to, else its first one, else a fallback; and the first type."""
     boards, kinds = query_ids(page, "fid"), query_ids(page, "(?:filter=typeid&)?typeid")
-    listed = F.filter(boards, lambda x: x.isin(*preferred))
-    return F.struct(F.coalesce(_first(listed), _first(boards), fallback).alias("board"), _first(kinds).alias("type"))
+    board = _let(boards, lambda xs: F.coalesce(_first(F.filter(xs, lambda x: x.isin(*preferred))), _first(xs)))
+    return F.struct(F.coalesce(board, fallback).alias("board"), _first(kinds).alias("type"))
 
 
 def posted_at(html: Column, labels: tuple[str, ...] = ("发表于", "posted at")) -> Column:

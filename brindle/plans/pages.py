@@ -53,7 +53,7 @@ def _threads(spark, sf_dir):
     piece = F.concat(F.lit('<div class="p" id="post_'), k, F.lit('"><a class="xi2" href="u">'), "o_orderstatus", F.lit('</a><table><tr><td class="t_f" id="postmessage_'), k, F.lit('">'), body, F.lit("</td></tr></table></div>"))
     html = _joined(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", piece)
     head = F.lit('<img src="logo.png"><a href="f.php?fid=7&amp;x=1">b</a><a href="f.php?fid=12&amp;filter=typeid&amp;typeid=5">c</a>')
-    return html.select("o_custkey", F.concat(head, "html").alias("html")).withColumn("page", markup.tree("html"))
+    return html.select("o_custkey", F.concat(head, "html").alias("html")).withColumn("page", pages.thread_tree("html"))
 
 
 _POSTS = "SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS floor FROM orders WHERE o_orderkey % 11 <> 0"
