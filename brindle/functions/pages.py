@@ -117,9 +117,10 @@ def posts(page: Column, most: int | None = None) -> Column:
     return F.transform(filled, lambda x, i: F.struct(x["pid"].alias("pid"), (i + 1).alias("floor"), x["author"].alias("author"), x["content"].alias("content"), x["begin"].alias("begin"), x["end"].alias("end")))
 
 
-def author_posts(found: Column, most: int = 5) -> Column:
-    """Of posts() those by the author of the first, at most so many."""
-    return _let(found, lambda ps: F.slice(F.filter(ps, lambda p: p["author"] == F.get(ps, F.lit(0))["author"]), 1, most))
+def author_posts(found: Column, most: int | None = None) -> Column:
+    """Of posts() those by the author of the first: all, or at most so many."""
+    own = _let(found, lambda ps: F.filter(ps, lambda p: p["author"] == F.get(ps, F.lit(0))["author"]))
+    return own if most is None else F.slice(own, 1, most)
 
 
 def corpus(bodies: Column, attached: Column, link: str) -> Column:

@@ -69,7 +69,7 @@ def x93_posts(spark, sf_dir):
 @query(f"SELECT o_custkey, least(5, count(*) FILTER (WHERE o_orderstatus = first)) AS n, min(first) AS author FROM (SELECT *, first_value(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS first FROM ({_POSTS})) GROUP BY o_custkey")
 def x62_author_posts(spark, sf_dir):
     """How many posts of a thread are by its author, five at most."""
-    own = pages.author_posts(pages.posts(F.col("page")))
+    own = pages.author_posts(pages.posts(F.col("page")), 5)
     return _threads(spark, sf_dir).select("o_custkey", own.alias("own")).where(F.size("own") > 0).select("o_custkey", F.size("own").alias("n"), F.get("own", F.lit(0))["author"].alias("author"))
 
 
@@ -191,7 +191,7 @@ def x92_scope_prefixes(spark, sf_dir):
     return nested.select(F.col("r_name").alias("scope"), F.explode("children").alias("c")).select("scope", "c.name", F.concat(F.left("scope", F.lit(2)), F.lit("-"), "c.k").alias("prefix"))
 
 
-@query("""WITH p AS (SELECT *, first_value(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS first FROM orders), f AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS floor, count(*) OVER (PARTITION BY o_custkey) AS n FROM p WHERE o_orderstatus = first QUALIFY floor <= 5)
+@query("""WITH p AS (SELECT *, first_value(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS first FROM orders), f AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS floor, count(*) OVER (PARTITION BY o_custkey) AS n FROM p WHERE o_orderstatus = first)
 SELECT o_custkey, upper(sha1(o_orderkey::VARCHAR)) AS hash, o_orderpriority AS name, 'name_then_link' AS layout, o_orderkey % 60 AS size FROM f""")
 def x57_thread(spark, sf_dir):
     """A whole thread read: posts of its author, links in them, and the name and size that stand before each."""
@@ -199,7 +199,7 @@ def x57_thread(spark, sf_dir):
     body = F.concat(F.lit("【name】："), "o_orderpriority", F.lit("<br>【size】："), (F.col("o_orderkey") % 60).cast("string"), F.lit("<br>magnet:?xt=urn:btih:"), F.sha1(k))
     piece = F.concat(F.lit('<div id="post_'), k, F.lit('"><a class="xi2">'), "o_orderstatus", F.lit('</a><td id="postmessage_'), k, F.lit('">'), body, F.lit("</td></div>"))
     html = _joined(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", piece)
-    html = html.withColumn("page", markup.tree("html"))
+    html = html.withColumn("page", pages.post_tree("html"))
     own = pages.author_posts(pages.posts(F.col("page")))
     text = pages.corpus(F.transform(own, lambda p: p["content"]), F.array().cast("array<string>"), "magnet:")
     lines = Scratch(spark, "thread").save(html.select("o_custkey", text.alias("t")).select("o_custkey", F.posexplode(F.split("t", "\n")).alias("at", "line")))

@@ -38,3 +38,16 @@ def test_only_what_is_looked_at(spark):
 def test_pages_are_read_once(spark, name):
     plan = getattr(plans, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_all_posts_of_an_author(spark, tmp_path):
+    piece = '<div id="post_{0}"><a class="xi2">{1}</a><td id="postmessage_{0}">said {0}</td></div>'
+    html = "".join(piece.format(i, "bob" if i % 4 == 3 else "ann") for i in range(12))
+    found = pages.posts(F.col("page"))
+    df = spark.createDataFrame([(html,)], "html string").withColumn("page", pages.post_tree("html"))
+    own, some = df.select(pages.author_posts(found), pages.author_posts(found, 5)).first()
+    assert [p["pid"] for p in own] == [str(i) for i in range(12) if i % 4 != 3] and some == own[:5]
+    orders = [(k, k // 40, "F" if k % 40 % 3 else "O", str(k % 5)) for k in range(80)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = plans.x57_thread(spark, str(tmp_path)).select("o_custkey", "name", "size").collect()
+    assert sorted(map(tuple, rows)) == sorted((c, p, k % 60) for k, c, s, p in orders if s == "O")
